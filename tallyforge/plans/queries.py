@@ -35,6 +35,11 @@ def query(name: str) -> Callable[[Query], Query]:
     return register
 
 
+def digests(*columns: str):
+    """Long texts are compared as a whole by digest, which keeps the result small."""
+    return [F.md5(column).alias(column) for column in columns]
+
+
 def hour(column: str = "ts"):
     return F.date_trunc("hour", column)
 
@@ -52,7 +57,7 @@ def _(spark, sf):
             ELSE to_json(struct(doc_id, text, lang)) END"""
     )
     lines = table(spark, sf, "documents").select("doc_id", line.alias("value"))
-    return records.map_record_text(ingest_jsonl_records(lines)).select("doc_id", "kind", "text")
+    return records.map_record_text(ingest_jsonl_records(lines)).select("doc_id", "kind", *digests("text"))
 
 
 @query("map_record_text")
@@ -82,7 +87,7 @@ def _(spark, sf):
         )
         .unionByName(as_records("labels", "concat('label-', doc_id)", "struct(toxic, doc_id, quality)"))
     )
-    return records.map_record_text(rows).select("key", "text")
+    return records.map_record_text(rows).select("key", *digests("text"))
 
 
 @query("map_prompt_reference")
@@ -98,7 +103,7 @@ def _(spark, sf):
         (F.col("conv_id") * 1000 + F.col("turn")).alias("line_index"), F.parse_json(body).alias("payload")
     )
     mapped = records.map_prompt_reference(rows, F.lit("bench"), F.col("line_index"))
-    return mapped.select("line_index", "id", "prompt", F.expr(text_of("reference")).alias("reference"))
+    return mapped.select("line_index", "id", *digests("prompt"), F.expr(text_of("reference")).alias("reference"))
 
 
 @query("map_prediction")
@@ -118,7 +123,9 @@ def _(spark, sf):
     rows = table(spark, sf, "conversations").select(
         "conv_id", "turn", F.parse_json(body).alias("payload"), output.alias("output")
     )
-    return records.map_prediction(rows).select("conv_id", "turn", "sample_prediction", "model_prediction")
+    return records.map_prediction(rows).select(
+        "conv_id", "turn", *digests("sample_prediction", "model_prediction")
+    )
 
 
 @query("read_eval_samples")
@@ -143,7 +150,7 @@ def _(spark, sf):
         Benchmark("Empty One", "vla", ("nowhere",)),
     ]
     samples = read_eval_samples(spark, folder, suite)
-    return samples.select("id", "benchmark", "dataset", "prompt", F.expr(text_of("reference")).alias("reference"))
+    return samples.select("id", "benchmark", "dataset", *digests("prompt"), F.expr(text_of("reference")).alias("reference"))
 
 
 @query("read_predictions")
@@ -159,12 +166,14 @@ def _(spark, sf):
         .select(line.alias("value"))
         .write.text(folder)
     )
-    return read_predictions(spark, folder).select("id", F.expr(text_of("prediction")).alias("prediction"))
+    read = read_predictions(spark, folder).select("id", F.expr(text_of("prediction")).alias("prediction"))
+    return read.select("id", *digests("prediction"))
 
 
 @query("conversation_to_text")
 def _(spark, sf):
-    return records.conversation_to_text(table(spark, sf, "conversations"))
+    texts = records.conversation_to_text(table(spark, sf, "conversations"))
+    return texts.select("conv_id", "segment", "turns", *digests("text"))
 
 
 @query("write_transcripts")
@@ -382,7 +391,8 @@ def metric_rows(scored: DataFrame, metrics: tuple[str, ...], decimals: int = 6)
 def _(spark, sf):
     predictions = last_prediction(fx.label_predictions(spark, sf))
     joined = evaluate.join_predictions(fx.answer_samples(spark, sf), predictions)
-    return joined.select("id", F.expr(text_of("prediction")).alias("prediction"))
+    shown = joined.select("id", F.expr(text_of("prediction")).alias("prediction"))
+    return shown.select("id", *digests("prediction"))
 
 
 @query("exact_match")

@@ -16,6 +16,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
         .appName("tallyforge")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
