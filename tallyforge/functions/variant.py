@@ -49,10 +49,10 @@ def text_of(value: str) -> str:
 def spaced_json(value: str) -> str:
     """JSON with sorted keys and a blank after each structural comma and colon.
 
-    VARIANT keeps object keys sorted; one possessive expression steps over
-    string literals, so the pass is linear in the text.
+    VARIANT keeps object keys sorted; one possessive expression, tied to the end of
+    its last match, steps over string literals, so the pass is linear in the text.
     """
-    structural = r"""((?:"(?:[^"\\]|\\.)*+"|[^",:])*+)([,:])"""
+    structural = r"""\G((?:"(?:[^"\\]|\\.)*+"|[^",:])*+)([,:])"""
     return f"regexp_replace(to_json({value}), r'{structural}', '$1$2 ')"
 
 
@@ -87,10 +87,15 @@ def first_truthy(payload: str, keys: tuple[str, ...]) -> str:
     return "coalesce(" + ", ".join(given) + ")"
 
 
+def element_text(element: str) -> str:
+    """Display text of a list element; Spark hands a JSON null in a list over as SQL NULL."""
+    return f"coalesce({text_of(element)}, 'None')"
+
+
 def references_of(value: str) -> str:
     """Array of display texts: a JSON list element-wise, a scalar as one, absent or null as none."""
     listed = f"""CASE {kind('_r')}
-        WHEN 'ARRAY' THEN transform({items('_r')}, _e -> {text_of('_e')})
+        WHEN 'ARRAY' THEN transform({items('_r')}, _e -> {element_text('_e')})
         WHEN 'VOID' THEN NULL
         ELSE array({text_of('_r')}) END"""
     return f"coalesce({bind(value, '_r', f'CASE WHEN _r IS NOT NULL THEN {listed} END')}, CAST(array() AS ARRAY<STRING>))"

@@ -126,9 +126,9 @@ def catalog_facets(df: DataFrame, facets: list[str]) -> DataFrame:
 
     def values(facet: str) -> Column:
         listed = F.col(facet) if facet in arrays else F.array(F.col(facet))
-        return F.transform(
-            listed, lambda v: F.struct(F.lit(facet).alias("facet"), v.cast("string").alias("value"))
-        )
+        named = F.transform(listed, lambda v: F.struct(F.lit(facet).alias("facet"), v.cast("string").alias("value")))
+        # A missing list has no values; left as NULL it would void the row's other facets.
+        return F.coalesce(named, F.array().cast("array<struct<facet:string,value:string>>"))
 
     pairs = F.flatten(F.array(*[values(facet) for facet in facets]))
     return (

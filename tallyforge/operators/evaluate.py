@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.numbers import lower_is_better, mean4, number_of, vector_of
-from tallyforge.functions.text import normalized_text, normalized_words, words_f1
+from tallyforge.functions.text import normalized_words, words_f1
 from tallyforge.functions.variant import (
     bind,
+    element_text,
     entries,
     field,
     items,
@@ -118,20 +119,25 @@ def batch_score(samples: DataFrame, load_scorer: Callable[[], Scorer]) -> DataFr
 def is_correct(references: str, prediction: str, choices: str) -> str:
     """SQL: 1.0 when the prediction equals a reference, or the choice a reference letter stands for.
 
-    All arguments are normalised. Articles are dropped while normalising, so the
-    letter A equals empty text; an empty prediction therefore counts for it.
+    Texts are given as arrays of normalised words. Articles are dropped while
+    normalising, so the letter A equals empty text; an empty prediction therefore
+    counts for it.
     """
-    lettered = f"transform({choices}, (_c, _i) -> struct({normalized_text('char(_i + 65)')} AS letter, _c AS text))"
+    letter = normalized_words("char(_i + 65)")
+    lettered = f"transform({choices}, (_c, _i) -> struct({letter} AS letter, _c AS text))"
     by_choice = f"""exists({lettered}, _o -> array_contains({references}, _o.letter)
-        AND {prediction} IN (_o.letter, _o.text))"""
+        AND ({prediction} = _o.letter OR {prediction} = _o.text))"""
     return f"""CAST(coalesce(array_contains({references}, {prediction}), false)
         OR coalesce({by_choice}, false) AS DOUBLE)"""
 
 
-def best_f1(references: str, prediction_words: str) -> str:
-    """SQL: the best token F1 over the references, zero without any."""
-    each = bind(normalized_words("_ref"), "_rw", words_f1(prediction_words, "_rw"))
-    return f"coalesce(array_max(transform({references}, _ref -> {each})), 0.0D)"
+def best_f1(references: str, prediction: str) -> str:
+    """SQL: the best token F1 over the references, zero without any.
+
+    Equal texts need no counting.
+    """
+    counted = f"array_max(transform({references}, _ref -> {words_f1(prediction, '_ref')}))"
+    return f"CASE WHEN array_contains({references}, {prediction}) THEN 1.0D ELSE coalesce({counted}, 0.0D) END"
 
 
 def _comparable(value: str) -> str:
@@ -149,12 +155,13 @@ def schema_validity(payload: str, call: str) -> str:
     wanted = entries(field(payload, "expected_arguments"))
     given = f"coalesce({field(call, 'arguments')}, {field(call, 'args')}, parse_json('{{}}'))"
     other = "try_element_at(_have, _arg.key)"
-    same = f"""(is_variant_null(_arg.value) AND coalesce(is_variant_null({other}), true))
+    nothing = "({0} IS NULL OR is_variant_null({0}))"
+    same = f"""({nothing.format('_arg.value')} AND {nothing.format(other)})
         OR coalesce({_comparable('_arg.value')} = {_comparable(other)}, false)"""
     all_given = f"_want IS NULL OR (_have IS NOT NULL AND forall(map_entries(_want), _arg -> {same}))"
     arguments_ok = bind(wanted, "_want", bind(entries(given), "_have", all_given))
 
-    required = f"transform({items(field(payload, 'required_fields'))}, _e -> {text_of('_e')})"
+    required = f"transform({items(field(payload, 'required_fields'))}, _e -> {element_text('_e')})"
     fields_ok = f"coalesce(size(array_except({required}, map_keys({entries(call)}))) = 0, true)"
     return f"CAST(coalesce({call} IS NOT NULL AND {tool_ok} AND {arguments_ok} AND {fields_ok}, false) AS DOUBLE)"
 
@@ -170,27 +177,34 @@ def vectors_match(reference: str, predicted: str) -> str:
     return f"coalesce(size({reference}) > 0 AND size({reference}) = size({predicted}), false)"
 
 
-def score_samples(samples: DataFrame) -> DataFrame:
+def score_samples(samples: DataFrame, suite: list[Benchmark] | None = None) -> DataFrame:
     """Adds what every metric is made of.
 
     ``correct``, ``f1``, ``schema_validity``, ``action_l2``, ``action_valid`` and the
-    parsed prediction ``call``. Unused ones are pruned by the optimiser.
+    parsed prediction ``call``. Unused ones are pruned by the optimiser; with a suite
+    the costly ones are only computed for benchmarks with a metric that needs them.
     """
+
+    def for_users(sql: str, *metrics: str) -> str:
+        if suite is None:
+            return sql
+        users = [b.name.replace("'", "\\'") for b in suite if set(b.metrics) & set(metrics)]
+        listed = ", ".join(f"'{name}'" for name in users)
+        return f"CASE WHEN benchmark IN ({listed}) THEN {sql} END" if users else "CAST(NULL AS DOUBLE)"
+
     read = {
         "call": object_of("prediction"),
         "_words": normalized_words(text_of("prediction")),
-        "_references": references_of("reference"),
-        "_choices": f"transform({items(field('payload', 'choices'))}, _e -> {normalized_text(text_of('_e'))})",
+        "_references": f"transform({references_of('reference')}, _ref -> {normalized_words('_ref')})",
+        "_choices": f"transform({items(field('payload', 'choices'))}, _e -> {normalized_words(element_text('_e'))})",
         "_expected": vector_of(f"coalesce({field('payload', 'reference_action')}, reference)"),
         "_predicted": vector_of(f"coalesce({field('payload', 'predicted_action')}, prediction)"),
     }
     scores = {
-        "correct": is_correct(
-            f"transform(_references, _ref -> {normalized_text('_ref')})", "array_join(_words, ' ')", "_choices"
-        ),
-        "f1": best_f1("_references", "_words"),
-        "schema_validity": schema_validity("payload", "call"),
-        "action_l2": action_l2("_expected", "_predicted"),
+        "correct": is_correct("_references", "_words", "_choices"),
+        "f1": for_users(best_f1("_references", "_words"), *F1_METRICS, *PROXY_METRICS),
+        "schema_validity": for_users(schema_validity("payload", "call"), "schema_validity", "tool_error_rate"),
+        "action_l2": for_users(action_l2("_expected", "_predicted"), "action_l2"),
         "action_valid": vectors_match("_expected", "_predicted"),
     }
     return (

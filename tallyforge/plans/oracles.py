@@ -665,3 +665,10 @@ SELECT window_start, rule, value, severity, {FIRING} FROM long JOIN rules USING
 
 ORACLES["stream_window_alerts"] = windows(1)
 ORACLES["stream_sliding_alerts"] = windows(2)
+
+ORACLES["stream_late_audit"] = """
+WITH top AS (SELECT event_type, max(ts) AS newest FROM events GROUP BY event_type),
+b AS (SELECT event_type, max(newest) OVER (ORDER BY event_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM top),
+r AS (SELECT event_type, CASE WHEN coalesce(ts < seen - INTERVAL 1 HOUR, false) THEN 'late' ELSE 'timely' END AS route
+  FROM events JOIN b USING (event_type))
+SELECT route, event_type, count(*) AS rows FROM r GROUP BY ALL"""

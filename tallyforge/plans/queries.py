@@ -12,7 +12,7 @@ from tallyforge.operators import catalog, corpus, evaluate, gates, monitors, ran
 from tallyforge.operators.suite import Benchmark, gates_table
 from tallyforge.plans import fixtures as fx
 from tallyforge.plans.fixtures import table
-from tallyforge.session import shared_dir
+from tallyforge.session import shared_dir, spread
 from tallyforge.sources import (
     file_manifest,
     ingest_jsonl_records,
@@ -23,6 +23,8 @@ from tallyforge.sources import (
 )
 from tallyforge.streaming import split_late_rows, stream_files, stream_spike_state, stream_window_alerts
 
+EVENT_KINDS = ("click", "error", "purchase", "signup", "view")
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -56,14 +58,14 @@ def _(spark, sf):
             WHEN 4 THEN CASE WHEN lang = 'en' THEN '   ' ELSE CAST(n_chars AS STRING) END
             ELSE to_json(struct(doc_id, text, lang)) END"""
     )
-    lines = table(spark, sf, "documents").select("doc_id", line.alias("value"))
+    lines = spread(table(spark, sf, "documents")).select("doc_id", line.alias("value"))
     return records.map_record_text(ingest_jsonl_records(lines)).select("doc_id", "kind", *digests("text"))
 
 
 @query("map_record_text")
 def _(spark, sf):
     def as_records(name: str, key: str, body: str) -> DataFrame:
-        return table(spark, sf, name).select(
+        return spread(table(spark, sf, name)).select(
             F.expr(key).alias("key"), F.expr(f"parse_json(to_json({body}))").alias("record")
         )
 
@@ -189,7 +191,7 @@ def _(spark, sf):
 
 @query("byte_tokenize")
 def _(spark, sf):
-    tokens = records.byte_tokenize(table(spark, sf, "documents"), seq_len=512)
+    tokens = records.byte_tokenize(spread(table(spark, sf, "documents")), seq_len=512)
     place = F.transform("input_ids", lambda t, i: t.cast("long") * (i + 1))
     return tokens.select(
         "doc_id",
@@ -311,11 +313,10 @@ def _(spark, sf):
 
 @query("probability_map_check")
 def _(spark, sf):
-    kinds = ("click", "error", "purchase", "signup", "view")
     shares = table(spark, sf, "events").groupBy("user_id").agg(
-        *[F.round(F.count_if(F.col("event_type") == k) / F.count(F.lit(1)) - 0.15, 2).alias(k) for k in kinds]
+        *[F.round(F.count_if(F.col("event_type") == k) / F.count(F.lit(1)) - 0.15, 2).alias(k) for k in EVENT_KINDS]
     )
-    weights = F.create_map(*[x for k in kinds for x in (F.lit(k), F.col(k))])
+    weights = F.create_map(*[x for k in EVENT_KINDS for x in (F.lit(k), F.col(k))])
     return catalog.probability_map_check(shares.select("user_id", weights.alias("weights")), "user_id", "weights")
 
 
@@ -345,12 +346,12 @@ NEEDLES = {
 
 @query("keyword_tag")
 def _(spark, sf):
-    return catalog.keyword_tag(table(spark, sf, "documents"), "doc_id", "text", NEEDLES)
+    return catalog.keyword_tag(spread(table(spark, sf, "documents")), "doc_id", "text", NEEDLES)
 
 
 @query("keyword_coverage")
 def _(spark, sf):
-    return catalog.keyword_coverage(table(spark, sf, "documents"), "text", NEEDLES)
+    return catalog.keyword_coverage(spread(table(spark, sf, "documents")), "text", NEEDLES)
 
 
 @query("minmax_utility_rank")
@@ -368,8 +369,8 @@ def _(spark, sf):
 # --- evaluation ------------------------------------------------------------------------------
 
 
-def scored_answers(spark, sf):
-    return evaluate.score_samples(evaluate.join_predictions(fx.answer_samples(spark, sf)))
+def scored_answers(spark, sf, suite=None):
+    return evaluate.score_samples(evaluate.join_predictions(fx.answer_samples(spark, sf)), suite)
 
 
 def scored_tools(spark, sf):
@@ -481,7 +482,7 @@ def _(spark, sf):
 
 
 def answers_scorecard(spark, sf):
-    return evaluate.benchmark_scorecard(scored_answers(spark, sf), fx.SUITE)
+    return evaluate.benchmark_scorecard(scored_answers(spark, sf, fx.SUITE), fx.SUITE)
 
 
 @query("gate_evaluate")
@@ -557,7 +558,7 @@ def _(spark, sf):
 @query("compare_runs")
 def _(spark, sf):
     predictions = last_prediction(fx.label_predictions(spark, sf))
-    other = evaluate.score_samples(evaluate.join_predictions(fx.answer_samples(spark, sf), predictions))
+    other = evaluate.score_samples(evaluate.join_predictions(fx.answer_samples(spark, sf), predictions), fx.SUITE)
     candidate = evaluate.benchmark_scorecard(other, fx.SUITE)
     return evaluate.compare_runs(answers_scorecard(spark, sf), candidate)
 
@@ -752,10 +753,11 @@ def _(spark, sf):
 
 @query("stream_late_audit")
 def _(spark, sf):
-    """Events arrive user by user, so each later file holds rows of the past."""
-    folder = shared_dir(spark, "arrivals")
-    table(spark, sf, "events").repartitionByRange(4, "user_id").write.parquet(folder)
-    stream = stream_files(spark, folder, "*.parquet", "ts", files_per_batch=1)
-    timely, late = split_late_rows(stream, "ts", "1 HOUR", shared_dir(spark, "late"))
+    """Events arrive kind by kind, so each later arrival holds rows of the past; the stream resumes after each."""
+    arrivals, folder = shared_dir(spark, "arrivals"), shared_dir(spark, "late")
+    events = table(spark, sf, "events")
+    for kind in EVENT_KINDS:
+        events.filter(F.col("event_type") == kind).write.mode("append").parquet(arrivals)
+        timely, late = split_late_rows(stream_files(spark, arrivals, "*.parquet", "ts"), "ts", "1 HOUR", folder)
     both = timely.withColumn("route", F.lit("timely")).unionByName(late.withColumn("route", F.lit("late")))
     return both.groupBy("route", "event_type").agg(F.count(F.lit(1)).alias("rows"))

@@ -35,7 +35,7 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
         flat = (
             document.filter(F.col("listed").isNull())
             .select(F.explode(F.expr(entries("doc"))).alias("id", "prediction"))
-            .withColumn("place", F.lit(0))
+            .select("id", F.expr("coalesce(prediction, parse_json('null'))").alias("prediction"), F.lit(0).alias("place"))
         )
         return last_prediction(rows.select(*_id_and_prediction("row"), "place").unionByName(flat))
     lines = scanned_lines(spark, path).filter(F.trim("value") != "")

@@ -80,12 +80,26 @@ def _generated(spark: SparkSession, suite: list[Benchmark]) -> DataFrame:
     ]
     return config_table(spark, rows, {"suite_benchmark": "string", "json": "string"}).select(
         "suite_benchmark",
-        F.col("suite_benchmark").alias("stem"),
+        F.col("suite_benchmark").alias("fallback"),
         F.lit(0).cast("long").alias("line_index"),
         F.parse_json("json").alias("payload"),
     )
 
 
+def _lookup(pairs: list[tuple[str, str]], key: Column) -> Column:
+    """Benchmarks listed under a key; the pairs come from the suite's configuration."""
+    found: dict[str, list[str]] = {}
+    for name, benchmark in pairs:
+        found.setdefault(name, []).append(benchmark)
+    none = F.array().cast("array<string>")
+    if not found:
+        return none
+    table = F.create_map(
+        *[x for name, listed in sorted(found.items()) for x in (F.lit(name), F.array(*map(F.lit, sorted(set(listed)))))]
+    )
+    return F.coalesce(F.try_element_at(table, key), none)
+
+
 def read_eval_samples(spark: SparkSession, path: str, suite: list[Benchmark]) -> DataFrame:
     """``id, benchmark, dataset, prompt, reference, payload`` for each benchmark of the suite.
 
@@ -94,54 +108,41 @@ def read_eval_samples(spark: SparkSession, path: str, suite: list[Benchmark]) ->
     one that has none either gets a generated sample.
     """
     lines = numbered_lines(spark, path).filter(F.trim("value") != "")
-    parsed = lines.withColumn("payload", F.parse_json("value")).drop("value")
-    wrapped = f"to_variant_object(struct({text_of('payload')} AS prompt, {text_of('payload')} AS answer))"
-    parsed = parsed.withColumn(
-        "payload", F.expr(f"CASE WHEN {kind('payload')} = 'OBJECT' THEN payload ELSE {wrapped} END")
-    )
+    wrapped = f"to_variant_object(struct({text_of('_json')} AS prompt, {text_of('_json')} AS answer))"
+    parsed = lines.select(
+        "stem", "line_index", F.parse_json("value").alias("_json")
+    ).withColumn("payload", F.expr(f"CASE WHEN {kind('_json')} = 'OBJECT' THEN _json ELSE {wrapped} END"))
 
-    names = sorted(
-        {
-            (b.name, stem)
-            for b in suite
-            for stem in (b.name, _plain_name(b.name), b.dimension, _plain_name(b.dimension))
-        }
-    )
-    by_stem = config_table(spark, names, {"suite_benchmark": "string", "stem": "string"})
-    direct = parsed.join(F.broadcast(by_stem), "stem")  # bounded by the suite
+    by_stem = [
+        (stem, b.name)
+        for b in suite
+        for stem in (b.name, _plain_name(b.name), b.dimension, _plain_name(b.dimension))
+    ]
+    by_name = [(b.name, b.name) for b in suite]
+    by_dataset = [(dataset, b.name) for b in suite for dataset in b.datasets]
+    own = F.coalesce(F.expr(first_truthy("payload", ("benchmark",))), F.col("stem"))
+    dataset = F.coalesce(F.expr(first_truthy("payload", ("dataset", "source"))), F.col("stem"))
 
-    suite_names = config_table(spark, [(b.name,) for b in suite], {"suite_benchmark": "string"})
-    without = suite_names.join(direct.select("suite_benchmark").distinct(), "suite_benchmark", "left_anti")
+    def tagged(benchmarks: Column, rank: int) -> Column:
+        return F.transform(
+            benchmarks, lambda b: F.struct(b.alias("suite_benchmark"), F.lit(rank).alias("rank"))
+        )
 
-    by_name = [(b.name, b.name) for b in suite]
-    by_dataset = sorted({(b.name, dataset) for b in suite for dataset in b.datasets})
-    named = sample_from_payload(parsed, F.col("stem"), F.col("line_index")).select(
-        "stem", "line_index", "payload", "benchmark", "dataset"
-    )
-    via_name = named.join(
-        F.broadcast(config_table(spark, by_name, {"suite_benchmark": "string", "benchmark": "string"})), "benchmark"
-    )
-    via_dataset = named.join(
-        F.broadcast(config_table(spark, by_dataset, {"suite_benchmark": "string", "dataset": "string"})), "dataset"
-    ).filter(F.col("benchmark") != F.col("suite_benchmark"))
-    columns = ["suite_benchmark", "stem", "line_index", "payload"]
-    scanned = via_name.select(columns).unionByName(via_dataset.select(columns))
-    found = scanned.join(F.broadcast(without), "suite_benchmark", "left_semi")
-
-    still_without = without.join(found.select("suite_benchmark").distinct(), "suite_benchmark", "left_anti")
-    generated = _generated(spark, suite).join(still_without, "suite_benchmark", "left_semi")
-
-    # A file picked by name gives its samples the suite's benchmark name as fallback;
-    # a scanned one its own stem.
-    direct = direct.select(columns).withColumn("fallback", F.col("suite_benchmark"))
-    others = found.unionByName(generated.select(columns)).withColumn("fallback", F.col("stem"))
-    rows = direct.unionByName(others)
-    samples = sample_from_payload(rows, F.col("fallback"), F.col("line_index"))
+    direct = _lookup(by_stem, F.col("stem"))
+    scanned = F.array_union(_lookup(by_name, own), _lookup(by_dataset, dataset))
+    candidates = parsed.select(
+        "stem", "line_index", "payload", F.explode(F.concat(tagged(direct, 0), tagged(scanned, 1))).alias("c")
+    ).select("stem", "line_index", "payload", "c.suite_benchmark", "c.rank")
+
+    # One small row per benchmark says whether files matched by name.
+    best = candidates.groupBy("suite_benchmark").agg(F.min("rank").alias("rank"))
+    found = candidates.join(best, ["suite_benchmark", "rank"])
+    # A file picked by name gives its samples the benchmark's name as fallback, a scanned one its own.
+    fallback = F.when(F.col("rank") == 0, F.col("suite_benchmark")).otherwise(F.col("stem"))
+    chosen = found.select("suite_benchmark", fallback.alias("fallback"), "line_index", "payload")
+    generated = _generated(spark, suite).join(best, "suite_benchmark", "left_anti")
+
+    samples = sample_from_payload(chosen.unionByName(generated), F.col("fallback"), F.col("line_index"))
     return samples.select(
-        "id",
-        F.col("suite_benchmark").alias("benchmark"),
-        "dataset",
-        "prompt",
-        "reference",
-        "payload",
+        "id", F.col("suite_benchmark").alias("benchmark"), "dataset", "prompt", "reference", "payload"
     )
