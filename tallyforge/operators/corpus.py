@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import compact_text_hash, digest_prefix
-from tallyforge.session import config_table
+from tallyforge.session import broadcast_if_small, config_table
 
 # Fixed values.
 REQUIRED_MODALITIES = ("pure_text", "multimodal", "video_pretraining", "audio_speech", "vla")
@@ -90,8 +90,13 @@ def license_allowlist(sources: DataFrame, blocked: tuple[str, ...] = BLOCKED_LIC
 
 
 def source_join_license(docs: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Documents with the attributes of their source. Spark picks the join by the ledger's measured size."""
-    return docs.join(ledger, "source", "left")
+    """Documents with the attributes of their source.
+
+    A ledger that was counted and is small goes to every task, so a source that
+    holds much of the documents is not gathered anywhere; a larger ledger joins by
+    shuffle, where Spark splits skewed partitions.
+    """
+    return docs.join(broadcast_if_small(ledger), "source", "left")
 
 
 def risk_counts(df: DataFrame, column: str = "risks") -> DataFrame:

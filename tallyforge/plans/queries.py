@@ -12,7 +12,7 @@ from tallyforge.operators import catalog, corpus, evaluate, gates, monitors, ran
 from tallyforge.operators.suite import Benchmark, gates_table
 from tallyforge.plans import fixtures as fx
 from tallyforge.plans.fixtures import table
-from tallyforge.session import shared_dir, spread
+from tallyforge.session import config_table, shared_dir, spread
 from tallyforge.sources import (
     file_manifest,
     ingest_jsonl_records,
@@ -652,9 +652,12 @@ def _(spark, sf):
         "max_kl": 0.12,
         "nan_incidents": 0.0,
     }
-    each = F.array(*[F.struct(F.lit(g).alias("gate"), F.lit(t).alias("threshold")) for g, t in limits.items()])
-    stages = wide.select("stage", F.explode(each).alias("limit"))
-    return gates.stage_gate_check(metrics, stages.select("stage", "limit.gate", "limit.threshold"))
+    table_of_gates = config_table(
+        spark,
+        [(stage, gate, limit) for stage in EVENT_KINDS for gate, limit in limits.items()],
+        {"stage": "string", "gate": "string", "threshold": "double"},
+    )
+    return gates.stage_gate_check(metrics, table_of_gates)
 
 
 @query("envelope_check")

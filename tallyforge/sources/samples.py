@@ -134,9 +134,9 @@ def read_eval_samples(spark: SparkSession, path: str, suite: list[Benchmark]) ->
         "stem", "line_index", "payload", F.explode(F.concat(tagged(direct, 0), tagged(scanned, 1))).alias("c")
     ).select("stem", "line_index", "payload", "c.suite_benchmark", "c.rank")
 
-    # One small row per benchmark says whether files matched by name.
+    # One row per benchmark of the suite says whether files matched by name.
     best = candidates.groupBy("suite_benchmark").agg(F.min("rank").alias("rank"))
-    found = candidates.join(best, ["suite_benchmark", "rank"])
+    found = candidates.join(F.broadcast(best), ["suite_benchmark", "rank"])
     # A file picked by name gives its samples the benchmark's name as fallback, a scanned one its own.
     fallback = F.when(F.col("rank") == 0, F.col("suite_benchmark")).otherwise(F.col("stem"))
     chosen = found.select("suite_benchmark", fallback.alias("fallback"), "line_index", "payload")

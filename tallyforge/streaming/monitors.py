@@ -122,7 +122,7 @@ def split_late_rows(events: DataFrame, ts: str, delay: str, folder: str) -> tupl
     such rows are kept for audit instead of being dropped by a watermark.
     """
     spark = events.sparkSession
-    timely, late, seen = f"{folder}/timely", f"{folder}/late", f"{folder}/seen"
+    rows, seen = f"{folder}/rows", f"{folder}/seen"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
@@ -132,10 +132,10 @@ def split_late_rows(events: DataFrame, ts: str, delay: str, folder: str) -> tupl
             before = session.read.parquet(f"{seen}/batch={batch_id - 1}")
             newest = newest.unionByName(before).agg(F.max("newest").alias("newest"))
             limit = before.select(F.col("newest") - F.expr(f"INTERVAL {delay}")).scalar()
-        is_late = F.coalesce(F.col(ts) < limit, F.lit(False))
-        _write(batch.filter(~is_late), timely, batch_id)
-        _write(batch.filter(is_late), late, batch_id)
+        routed = batch.withColumn("route", F.when(F.col(ts) < limit, "late").otherwise("timely"))
+        routed.write.mode("overwrite").partitionBy("route").parquet(f"{rows}/batch={batch_id}")
         _write(newest, seen, batch_id)
 
     _drain(events, "append", folder, handle)
-    return spark.read.parquet(timely), spark.read.parquet(late)
+    routed = spark.read.parquet(rows).drop("batch")
+    return tuple(routed.filter(F.col("route") == route).drop("route") for route in ("timely", "late"))
