@@ -1,8 +1,11 @@
-"""Ordered computations per key that stay distributed when one key is hot.
+"""Ordered computations per key that stay distributed when a key is hot.
 
-A plain window over a key sends all rows of the key to one task. Here a key is
-cut into blocks; rows are handled within their block, and only one row per block
-travels along the key.
+A plain window over a key sends all rows of the key to one task. Here a key with
+more than ``hot_rows`` rows is cut into blocks; rows are handled within their
+block, and only one row per block travels along the key. Other keys are one block.
+
+``block`` is an expression that must not decrease along ``order`` and is fine
+enough for the rows of one block to fit a task, for example the hour.
 """
 
 from __future__ import annotations
@@ -10,30 +13,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+HOT_ROWS = 1_000_000
 
-def running_sum(
-    df: DataFrame, keys: list[str], order: list[str], block: Column, value: Column, out: str
-) -> DataFrame:
-    """Adds the sum of ``value`` from the key's first row up to this one.
 
-    ``block`` must not decrease along ``order``.
+def _with_blocks(df: DataFrame, keys: list[str], block: Column, hot_rows: int) -> DataFrame:
+    """Adds ``_block``, which is NULL for keys that are not hot.
+
+    Hot keys are broadcast: there are at most (all rows / ``hot_rows``) of them.
     """
-    blocked = df.withColumn("_block", block).withColumn("_value", value)
-    totals = blocked.groupBy(*keys, "_block").agg(F.sum("_value").alias("_total"))
+    hot = (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .filter(F.col("_rows") > hot_rows)
+        .select(*keys, F.lit(True).alias("_hot"))
+    )
+    return df.join(F.broadcast(hot), keys, "left").withColumn("_block", F.when(F.col("_hot"), block)).drop("_hot")
+
+
+def running_sum(
+    df: DataFrame, keys: list[str], order: list[str], block: Column, value: Column, out: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Adds the sum of ``value`` from the key's first row up to this one."""
+    blocked = _with_blocks(df.withColumn("_value", value), keys, block, hot_rows)
+    totals = (
+        blocked.filter(F.col("_block").isNotNull()).groupBy(*keys, "_block").agg(F.sum("_value").alias("_total"))
+    )
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*keys, "_block", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    before = totals.select(*keys, "_block", F.sum("_total").over(earlier).alias("_before"))
     inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         blocked.withColumn("_inside", F.sum("_value").over(inside))
-        .join(before, [*keys, "_block"])
-        .withColumn(out, F.col("_before") + F.coalesce("_inside", F.lit(0)))
+        .join(before, [*keys, "_block"], "left")
+        .withColumn(out, F.coalesce("_before", F.lit(0)) + F.coalesce("_inside", F.lit(0)))
         .drop("_block", "_value", "_before", "_inside")
     )
 
 
-def row_numbers(df: DataFrame, keys: list[str], order: list[str], block: Column, out: str) -> DataFrame:
+def row_numbers(
+    df: DataFrame, keys: list[str], order: list[str], block: Column, out: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Adds the row number, from one, along the key."""
-    return running_sum(df, keys, order, block, F.lit(1), out).withColumn(out, F.col(out).cast("long"))
+    numbered = running_sum(df, keys, order, block, F.lit(1), out, hot_rows)
+    return numbered.withColumn(out, F.col(out).cast("long"))
 
 
 def trailing_mean(
@@ -44,18 +65,18 @@ def trailing_mean(
     value: Column,
     rows: int,
     out: str,
-    chunk_rows: int = 100_000,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Adds the mean of ``value`` over the ``rows`` rows before this one.
 
-    Rows are numbered along the key and cut into chunks of equal size; the last
+    Rows are numbered along the key and cut into chunks of ``hot_rows``; the last
     ``rows`` of a chunk are also sent to the next one, which is all it lacks.
     """
-    if chunk_rows < rows:
+    if hot_rows < rows:
         raise ValueError("a chunk must hold at least the trailing rows")
-    numbered = row_numbers(df.withColumn("_trailed", value), keys, order, block, "_row")
-    chunk = F.floor((F.col("_row") - 1) / chunk_rows)
-    closing = (F.col("_row") - 1) % chunk_rows >= chunk_rows - rows
+    numbered = row_numbers(df.withColumn("_trailed", value), keys, order, block, "_row", hot_rows)
+    chunk = F.floor((F.col("_row") - 1) / hot_rows)
+    closing = (F.col("_row") - 1) % hot_rows >= hot_rows - rows
     homes = F.when(closing, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
     spread = numbered.withColumn("_home", chunk).withColumn("_chunk", F.explode(homes))
     frame = Window.partitionBy(*keys, "_chunk").orderBy("_row").rowsBetween(-rows, -1)
@@ -67,17 +88,19 @@ def trailing_mean(
 
 
 def next_matching(
-    df: DataFrame, keys: list[str], order: list[str], block: Column, value: Column, out: str
+    df: DataFrame, keys: list[str], order: list[str], block: Column, value: Column, out: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Adds the smallest non-null ``value`` among the key's later rows.
 
     Meant for a value that grows along ``order``, such as the time of the next success.
     """
-    blocked = df.withColumn("_block", block).withColumn("_value", value)
-    firsts = blocked.groupBy(*keys, "_block").agg(F.min("_value").alias("_first"))
-    later = Window.partitionBy(*keys).orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
-    after = firsts.select(*keys, "_block", F.min("_first").over(later).alias("_after"))
+    blocked = _with_blocks(df.withColumn("_value", value), keys, block, hot_rows)
+    firsts = (
+        blocked.filter(F.col("_block").isNotNull()).groupBy(*keys, "_block").agg(F.min("_value").alias("_first"))
+    )
     # Descending order turns "following" into a running frame, which costs one step per row.
+    later = Window.partitionBy(*keys).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    after = firsts.select(*keys, "_block", F.min("_first").over(later).alias("_after"))
     inside = (
         Window.partitionBy(*keys, "_block")
         .orderBy(*[F.col(c).desc() for c in order])
@@ -85,7 +108,7 @@ def next_matching(
     )
     return (
         blocked.withColumn("_inside", F.min("_value").over(inside))
-        .join(after, [*keys, "_block"])
+        .join(after, [*keys, "_block"], "left")
         .withColumn(out, F.coalesce("_inside", "_after"))
         .drop("_block", "_value", "_after", "_inside")
     )

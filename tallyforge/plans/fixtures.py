@@ -20,13 +20,13 @@ SAMPLE_FIELDS = {
     "cost": "CASE WHEN doc_id % 4 <> 3 THEN CAST(n_chars AS DOUBLE) / 1000 END",
     "latency_ms": "CAST(n_chars AS DOUBLE) / 10",
     "peak_memory_gb": "CAST(doc_id % 30 AS DOUBLE)",
-    "power_w": "CASE WHEN doc_id % 10 = 0 THEN 'unplugged' ELSE CAST(doc_id % 50 AS VARCHAR(10)) END",
+    "power_w": "CASE WHEN doc_id % 10 = 0 THEN 'unplugged' ELSE concat('', doc_id % 50) END",
 }
 SCORE_FIELDS = {
     "wer": "CAST(doc_id % 20 AS DOUBLE) / 20",
     "mos": "CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id % 5 AS DOUBLE) END",
     "consensus_pass": "CASE WHEN doc_id % 6 = 0 THEN CAST(doc_id % 4 AS DOUBLE) / 4 END",
-    "memory_gb": "CASE WHEN doc_id % 8 = 0 THEN 'n/a' ELSE CAST(doc_id % 40 AS VARCHAR(10)) END",
+    "memory_gb": "CASE WHEN doc_id % 8 = 0 THEN 'n/a' ELSE concat('', doc_id % 40) END",
 }
 
 SUITE = [
