@@ -13,14 +13,18 @@ from tallyforge.session import config_table
 
 @dataclass(frozen=True)
 class Rule:
-    """One requirement on a column: ``required``, ``type``, ``minimum``, ``above``, ``allowed``, ``prefix``, ``not_empty``."""
+    """One requirement on a column.
+
+    Kinds: ``required``, ``type``, ``minimum``, ``above``, ``allowed``, ``prefix``, ``not_empty`` (text, list or
+    map) and ``listed_in``, whose argument is a list column that must hold the value.
+    """
 
     column: str
     kind: str
     argument: Any = None
 
 
-def _broken(rule: Rule) -> tuple[Column, Column]:
+def _broken(rule: Rule, is_collection: bool) -> tuple[Column, Column]:
     value = F.col(rule.column)
     shown = value.cast("string")
     if rule.kind == "required":
@@ -36,21 +40,25 @@ def _broken(rule: Rule) -> tuple[Column, Column]:
         allowed = ", ".join(str(item) for item in rule.argument)
         return ~value.isin(list(rule.argument)), F.concat(F.lit(f"expected one of {allowed}, got "), shown)
     if rule.kind == "prefix":
-        starts = [F.startswith(value, F.lit(prefix)) for prefix in rule.argument]
+        starts = [F.startswith(F.coalesce(value, F.lit("")), F.lit(prefix)) for prefix in rule.argument]
         anyone = starts[0]
         for start in starts[1:]:
             anyone = anyone | start
         return ~anyone, F.lit("must start with " + ", ".join(rule.argument))
     if rule.kind == "not_empty":
-        return value.isNull() | (F.length(shown) == 0), F.lit("must not be empty")
+        size = F.size(value) if is_collection else F.length(shown)
+        return value.isNull() | (size == 0), F.lit("must not be empty")
+    if rule.kind == "listed_in":
+        return ~F.array_contains(rule.argument, value), F.lit(f"must be listed in {rule.argument}")
     raise ValueError(f"unknown rule kind {rule.kind}")
 
 
 def validate_rules(df: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
     """``key, column, rule, message``, one row per broken rule; no shuffle."""
+    collections = {field.name for field in df.schema.fields if field.dataType.typeName() in ("array", "map")}
     checks = []
     for rule in rules:
-        broken, message = _broken(rule)
+        broken, message = _broken(rule, rule.column in collections)
         checks.append(
             F.when(
                 F.coalesce(broken, F.lit(False)),

@@ -166,6 +166,8 @@ def test_rules(spark):
         Rule("url", "prefix", ("https://", "s3://")),
         Rule("url", "not_empty"),
         Rule("priority", "type", "int"),
+        Rule("modalities", "not_empty"),
+        Rule("name", "listed_in", "modalities"),
     ]
     out = {(r.i, r.column, r.rule) for r in catalog.validate_rules(entries(spark), "i", rules).collect()}
     assert {k for k in out if k[2] != "type"} == {
@@ -176,6 +178,12 @@ def test_rules(spark):
         (2, "size", "above"),
         (3, "name", "required"),
         (3, "url", "not_empty"),
+        (3, "url", "prefix"),
+        (2, "modalities", "not_empty"),
+        (3, "modalities", "not_empty"),
+        (0, "name", "listed_in"),
+        (1, "name", "listed_in"),
+        (2, "name", "listed_in"),
     }
     assert {k[0] for k in out if k[2] == "type"} == {0, 1, 2, 3}
 
