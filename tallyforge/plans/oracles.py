@@ -404,17 +404,19 @@ WITH {TAGS}
 SELECT v.tag, count(doc_id) AS records, count(doc_id) = 0 AS missing
 FROM (VALUES ('contact'), ('license'), ('secret'), ('never')) v(tag) LEFT JOIN tags USING (tag) GROUP BY v.tag"""
 
-RANK = """m AS (
-  SELECT l_partkey, round(avg(l_discount), 6) AS m1, round(sum(l_quantity), 6) AS m2, round(sum(l_extendedprice), 2) AS m3,
-    round(avg(l_tax), 6) AS m4, CAST(count(*) AS DOUBLE) AS m5 FROM lineitem GROUP BY l_partkey),
+def share(m: str) -> str:
+    """A metric scaled to its range; the weight multiplies the scaled value."""
+    return f"(({m} - min({m}) OVER ()) / (max({m}) OVER () - min({m}) OVER ()))"
+
+
+RANK = f"""m AS (
+  SELECT l_partkey, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*) AS m1, round(sum(l_quantity), 6) AS m2, round(sum(l_extendedprice), 2) AS m3,
+    CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / count(*) AS m4, CAST(count(*) AS DOUBLE) AS m5 FROM lineitem GROUP BY l_partkey),
 e AS (SELECT p_partkey, p_brand AS family, m.* FROM part JOIN m ON p_partkey = l_partkey),
 u AS (
   SELECT p_partkey, family, round(
-    0.25 * (1 - (m1 - min(m1) OVER ()) / (max(m1) OVER () - min(m1) OVER ()))
-    + 0.20 * (m2 - min(m2) OVER ()) / (max(m2) OVER () - min(m2) OVER ())
-    + 0.25 * (m3 - min(m3) OVER ()) / (max(m3) OVER () - min(m3) OVER ())
-    + 0.15 * (1 - (m4 - min(m4) OVER ()) / (max(m4) OVER () - min(m4) OVER ()))
-    + 0.15 * (m5 - min(m5) OVER ()) / (max(m5) OVER () - min(m5) OVER ()), 4) AS utility_score FROM e)"""
+    0.25::DOUBLE * (1 - {share('m1')}) + 0.20::DOUBLE * {share('m2')} + 0.25::DOUBLE * {share('m3')}
+    + 0.15::DOUBLE * (1 - {share('m4')}) + 0.15::DOUBLE * {share('m5')}, 4) AS utility_score FROM e)"""
 
 ORACLES["minmax_utility_rank"] = f"""
 WITH {RANK}
