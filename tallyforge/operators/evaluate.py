@@ -288,34 +288,32 @@ def benchmark_scorecard(scored: DataFrame, suite: list[Benchmark]) -> DataFrame:
     """
     table = benchmarks_table(scored.sparkSession, suite)
     plain = [m for m in suite_metrics(suite) if m != "macro_average"]
-    wanted = {m: [b.name for b in suite if m in b.metrics] for m in plain}
+    places = range(len(plain))  # columns go by place: a metric's name may hold any character
+    wanted = [[b.name for b in suite if m in b.metrics] for m in plain]
     values = scored.select(
         "benchmark",
         "dataset",
         "correct",
-        *[F.when(F.col("benchmark").isin(wanted[m]), metric_value(m)).alias(f"v_{m}") for m in plain],
+        *[F.when(F.col("benchmark").isin(wanted[i]), metric_value(plain[i])).alias(f"v{i}") for i in places],
     )
     per_dataset = values.groupBy("benchmark", "dataset").agg(
         F.count(F.lit(1)).alias("n"),
         mean4(F.sum("correct"), F.count("correct")).alias("dataset_mean"),
-        *[F.sum(f"v_{m}").alias(f"s_{m}") for m in plain],
-        *[F.count(f"v_{m}").alias(f"c_{m}") for m in plain],
-    )
-    per_benchmark = per_dataset.groupBy("benchmark").agg(
-        F.sum("n").alias("sample_count"),
-        mean4(F.sum("dataset_mean"), F.count("dataset_mean")).alias("macro_average"),
-        *[mean4(F.sum(f"s_{m}"), F.sum(f"c_{m}")).alias(m) for m in plain],
-    )
-    pairs = F.array(
-        *[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in [*plain, "macro_average"]]
+        *[F.sum(f"v{i}").alias(f"s{i}") for i in places],
+        *[F.count(f"v{i}").alias(f"c{i}") for i in places],
     )
+    means = {m: mean4(F.sum(f"s{i}"), F.sum(f"c{i}")) for i, m in enumerate(plain)}
+    means["macro_average"] = mean4(F.sum("dataset_mean"), F.count("dataset_mean"))
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), mean.alias("value")) for m, mean in means.items()])
+    per_benchmark = per_dataset.groupBy("benchmark").agg(F.sum("n").alias("sample_count"), pairs.alias("pairs"))
+    scored_here = F.filter("pairs", lambda p: F.array_contains("metrics", p["metric"]))
     return (
         per_benchmark.join(F.broadcast(table), "benchmark")  # bounded by the suite
         .select(
             "benchmark",
             "dimension",
             "sample_count",
-            F.explode(F.filter(pairs, lambda p: F.array_contains("metrics", p["metric"]))).alias("entry"),
+            F.explode(scored_here).alias("entry"),
         )
         .select("benchmark", "dimension", F.col("entry.metric").alias("metric"), F.col("entry.value").alias("value"), "sample_count")
     )

@@ -185,6 +185,15 @@ def test_system_metric_without_values_is_zero_and_macro_rounds_twice(spark):
     assert ev.macro_average(score(spark, sevenths)).first().macro_average == 0.1429
 
 
+def test_metric_names_may_hold_any_character(spark):
+    suite = [Benchmark("odd", "odd", (), ("pass@1.strict", "accuracy"))]
+    rows = [{"benchmark": "odd", "answer": "x", "prediction": "x", "scores": {"pass@1.strict": 0.25}}]
+    assert {r.metric: r.value for r in ev.benchmark_scorecard(score(spark, rows), suite).collect()} == {
+        "pass@1.strict": 0.25,
+        "accuracy": 1.0,
+    }
+
+
 def test_gate_directions(spark):
     card = config_table(
         spark,
