@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 #: Tokens of a packed row.
 ROW_TOKENS = 2048
@@ -120,7 +121,7 @@ def token_ids(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id
         for texts in batches:
             yield pa.array([ids(t.as_py()).tobytes() if t.is_valid else b"" for t in texts], pa.binary())
 
-    to_ids = F.arrow_udf(encode, "binary")
+    to_ids = F.arrow_udf(encode, BinaryType())
     return docs.select(F.col(id_col).cast("long").alias("id"), to_ids(F.col(text_col)).alias("ids"))
 
 

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from tallyforge.llm.common import own_name
 
@@ -191,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(chains, marks)
 
 
-@F.arrow_udf("array<double>")
+@F.arrow_udf(ArrayType(DoubleType()))
 def _chain_features(texts: pa.Array) -> pa.Array:
     bound = CHAIN_LINES * CHAINS_PER_DOC
     return pa.array([measure(t.as_py())[1][:bound].ravel() for t in texts], pa.list_(pa.float64()))
@@ -207,10 +209,9 @@ COLUMNS = {
     "content_share": pa.float64(),
     "kept": pa.bool_(),
 }
-_VERDICT = (
-    "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
-    "base_failed boolean, content_share double, kept boolean"
-)
+_VERDICT = StructType()
+for _name, _kind in COLUMNS.items():
+    _VERDICT.add(_name, from_arrow_type(_kind))
 
 
 def judge(text: str | None, model: LineModel) -> dict:

@@ -7,6 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tallyforge.llm.common import components, own_name, settle
 
@@ -39,7 +40,7 @@ def simhash(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> i
     return int(bits.view(np.int64)[0])
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def fingerprint_of(texts: pa.Array) -> pa.Array:
     return pa.array([simhash(t.as_py()) for t in texts], pa.int64())
 
