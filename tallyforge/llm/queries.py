@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import mixing, packing, quality, simhash
+from tallyforge.llm import langid, mixing, packing, quality, simhash
 from tallyforge.plans.fixtures import table
 
 QUERIES = {}
@@ -19,6 +19,15 @@ def query(name: str):
     return register
 
 
+@query("op1_language_id")
+def language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held_out = (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out")
+    ranks, _ = vocabulary("byte_bpe_multi_50k.tiktoken")
+    model = langid.train(docs.where(~F.coalesce(held_out, F.lit(False))), ranks)
+    return langid.identify(docs, model, ranks, ["doc_id", held_out])
+
+
 @query("op2_quality_rules")
 def quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
