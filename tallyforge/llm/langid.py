@@ -23,7 +23,7 @@ BLOCK_BYTES = 48
 #: Factor per byte that keeps sums of products of probabilities within a double's range.
 LIFT = 16.0
 #: Bound of the training sample: documents, taken in the order of their ids' hashes.
-SAMPLE_DOCS = 8_000
+SAMPLE_DOCS = 3_000
 EM_ROUNDS = 2
 #: Mass added to every piece of every language, relative to one expected piece.
 SMOOTHING = 0.02
