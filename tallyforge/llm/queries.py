@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import langid, mixing, packing, quality, simhash
+from tallyforge.llm import bpe, langid, mixing, packing, quality, simhash
 from tallyforge.plans.fixtures import table
 
 QUERIES = {}
@@ -44,6 +44,17 @@ def source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf, "documents"))
 
 
+@query("op7_byte_bpe")
+def byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    coded = bpe.tokenize(table(spark, sf, "documents"), *vocabulary("byte_bpe_multi_50k.tiktoken"), ["doc_id"])
+    return coded.select(
+        "doc_id",
+        F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query("op10_packed_ids")
 def packed_ids(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(packing.token_ids(table(spark, sf, "documents"), *vocabulary("byte_bpe_50k.tiktoken")))
