@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, langid, mixing, packing, quality, simhash
+from tallyforge.llm import bpe, chat, langid, mixing, packing, quality, simhash
 from tallyforge.plans.fixtures import table
 
 QUERIES = {}
@@ -44,6 +44,17 @@ def source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf, "documents"))
 
 
+@query("op5_chat_format")
+def chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(
+        f"SELECT * FROM VALUES (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)"
+    )
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    messages = rows.withColumn("parts", chat.text_part(F.col("text")))
+    return chat.digests(chat.format_conversations(messages))
+
+
 @query("op7_byte_bpe")
 def byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     coded = bpe.tokenize(table(spark, sf, "documents"), *vocabulary("byte_bpe_multi_50k.tiktoken"), ["doc_id"])
