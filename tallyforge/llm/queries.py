@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, chat, langid, mixing, packing, quality, simhash
+from tallyforge.llm import bpe, chat, html, langid, mixing, packing, quality, simhash
 from tallyforge.plans.fixtures import table
 
 QUERIES = {}
@@ -55,6 +55,12 @@ def chat_format(spark: SparkSession, sf: str) -> DataFrame:
     return chat.digests(chat.format_conversations(messages))
 
 
+@query("op6_html_text")
+def html_text(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    return html.extract(pages, html.train(pages), ["page_id", "url"])
+
+
 @query("op7_byte_bpe")
 def byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     coded = bpe.tokenize(table(spark, sf, "documents"), *vocabulary("byte_bpe_multi_50k.tiktoken"), ["doc_id"])
