@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from tallyforge.llm.bpe import splitter
+
 #: Tokens of a packed row.
 ROW_TOKENS = 2048
 #: Tokens that a task gathers before it packs them; bounds its memory.
@@ -90,23 +94,20 @@ class WordIds:
     """Ids of texts by a rank file, remembered by word; the memory is emptied when it is full."""
 
     def __init__(self, ranks: bytes, pattern: str):
-        import regex
-        import tiktoken
-
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.split = regex.compile(pattern).findall
+        self.split = splitter(pattern)
         self.known: dict[str, bytes] = {}
 
-    def __call__(self, text: str) -> np.ndarray:
+    def __call__(self, text: str) -> bytes:
         words, known = self.split(text), self.known
-        missing = {w for w in words if w not in known}
+        missing = set(words) - known.keys()
         if len(known) + len(missing) > MEMORY_WORDS:
             known.clear()
             missing = set(words)
         for w in missing:
-            known[w] = np.array(self.encoding.encode_ordinary(w), dtype="<u4").tobytes()
-        return np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4")
+            known[w] = array("I", self.encoding.encode_ordinary(w)).tobytes()
+        return b"".join([known[w] for w in words])
 
 
 def token_ids(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,7 +120,7 @@ def token_ids(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ids = WordIds(shared.value, pattern)
         for texts in batches:
-            yield pa.array([ids(t.as_py()).tobytes() if t.is_valid else b"" for t in texts], pa.binary())
+            yield pa.array([ids(t.as_py()) if t.is_valid else b"" for t in texts], pa.binary())
 
     to_ids = F.arrow_udf(encode, BinaryType())
     return docs.select(F.col(id_col).cast("long").alias("id"), to_ids(F.col(text_col)).alias("ids"))
