@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import ann, bpe, chat, html, langid, mixing, packing, quality, simhash
+from tallyforge.llm import ann, bpe, chat, html, langid, lines, mixing, packing, quality, simhash
 from tallyforge.plans.fixtures import table
 
 QUERIES = {}
@@ -72,6 +72,11 @@ def byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op8_line_dedup")
+def line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query("op9_nearest_vectors")
 def nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return ann.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
