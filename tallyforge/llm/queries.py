@@ -63,12 +63,8 @@ def html_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op7_byte_bpe")
 def byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
-    coded = bpe.tokenize(table(spark, sf, "documents"), *vocabulary("byte_bpe_multi_50k.tiktoken"), ["doc_id"])
-    return coded.select(
-        "doc_id",
-        F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+    return token_digests(
+        bpe.tokenize(table(spark, sf, "documents"), *vocabulary("byte_bpe_multi_50k.tiktoken"), ["doc_id"])
     )
 
 
@@ -93,3 +89,13 @@ def vocabulary(name: str) -> tuple[bytes, str]:
 
     with open(public_tokenizers.path(name), "rb") as file:
         return file.read(), public_tokenizers.PATTERN
+
+
+def token_digests(coded: DataFrame) -> DataFrame:
+    """Number of ids, and digests of the ids and of the bytes they decode to."""
+    return coded.select(
+        "doc_id",
+        F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
