@@ -260,6 +260,8 @@ class Scorer:
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
         split = [words_of(t) for t in texts]
+        if not self.model.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
         missing = {w for words in split for w in words if w not in self.place}
         if missing:
             if len(self.place) + len(missing) > MEMORY_WORDS:
@@ -268,7 +270,7 @@ class Scorer:
         return [self._decide(words) for words in split]
 
     def _decide(self, words: list[str]) -> tuple[str, float]:
-        if not words or not self.model.languages:
+        if not words:
             return UNKNOWN, 0.0
         place = self.place
         total = np.log(self.model.prior) + self.scores[[place[w] for w in words]].sum(axis=0)

@@ -15,7 +15,7 @@ SHINGLE = 5
 #: Signatures: ``BANDS`` bands of ``BAND_ROWS`` minima over anchored shingles of ``ANCHORED`` characters.
 BANDS = 8
 BAND_ROWS = 4
-ANCHORED = 8
+ANCHORED = 7
 #: Lines with fewer blanks than one in so many characters are anchored at every character.
 SPARSE = 16
 #: Up to so many candidate lines (a long each) are broadcast to fetch their texts; more are joined by shuffle.
