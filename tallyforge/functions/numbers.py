@@ -64,27 +64,31 @@ def _numbers(value: str) -> str:
     return bind(listed, "_l", "CASE WHEN NOT exists(_l, _x -> _x IS NULL) THEN _l END")
 
 
-def _held(tree: str) -> str:
-    """The list itself, or what an object holds under an action field."""
-    return f"CASE WHEN {kind(tree)} = 'OBJECT' THEN {first_present(tree, ACTION_FIELDS)} ELSE {tree} END"
+# Objects and texts inside one another are opened so many times.
+NESTED = 6
+
+
+def _opened(value: str) -> str:
+    """One level less: what an object holds under an action field, or what a JSON text says; else the value itself."""
+    return bind(
+        value,
+        "_u",
+        f"""CASE {kind('_u')} WHEN 'OBJECT' THEN {first_present('_u', ACTION_FIELDS)}
+        WHEN 'STRING' THEN coalesce(try_parse_json(CAST(_u AS STRING)), _u) ELSE _u END""",
+    )
 
 
 def vector_of(value: str) -> str:
-    """SQL for a numeric array from a JSON list, an object that holds one, or text of either.
+    """SQL for a numeric array from a JSON list, an object that holds one, or text of either, inside one another.
 
     Text that is not JSON gives the numbers found in it. One element that is no
     number voids the whole vector.
     """
-    found = r"regexp_extract_all(_w, r'-?\d+(?:\.\d+)?', 0)"
+    found = r"regexp_extract_all(CAST(_v AS STRING), r'-?\d+(?:\.\d+)?', 0)"
     loose = f"CASE WHEN size({found}) > 0 THEN transform({found}, _c -> CAST(_c AS DOUBLE)) END"
-    from_text = bind(
-        "try_parse_json(_w)",
-        "_j",
-        f"CASE WHEN _j IS NULL THEN {loose} ELSE {bind(_held('_j'), '_h', _numbers('_h'))} END",
-    )
-    vector = f"""CASE WHEN {kind('_v')} = 'STRING' THEN {bind('CAST(_v AS STRING)', '_w', from_text)}
-        ELSE {_numbers('_v')} END"""
-    return bind(bind(value, "_u", _held("_u")), "_v", vector)
+    for _ in range(NESTED):
+        value = _opened(value)
+    return bind(value, "_v", f"CASE WHEN {kind('_v')} = 'STRING' THEN {loose} ELSE {_numbers('_v')} END")
 
 
 def mean4(total: Column, count: Column) -> Column:

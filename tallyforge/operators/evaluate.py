@@ -92,7 +92,7 @@ def batch_score(samples: DataFrame, load_scorer: Callable[[], Scorer]) -> DataFr
             try:
                 return scorer([payload])[0], None
             except Exception as problem:  # a bad row must not end the job
-                return None, json.dumps({"error": "scorer_failed", "message": str(problem)[-2000:]})
+                return None, json.dumps({"error": "scorer_failed", "message": str(problem)})
 
         for batch in batches:
             payloads = batch["payload"].tolist()
@@ -140,16 +140,31 @@ def best_f1(references: str, prediction: str) -> str:
     return f"CASE WHEN array_contains({references}, {prediction}) THEN 1.0D ELSE coalesce({counted}, 0.0D) END"
 
 
+# Steps over JSON texts, and over what is not the start of the value looked for.
+_OUTSIDE_TEXTS = r'\G((?:"(?:[^"\\]|\\.)*+"|{other})*+)'
+
+
+def _plain_amounts(json: str) -> str:
+    """SQL: JSON with whole amounts without a fraction and booleans as 1 and 0, outside its texts."""
+    whole = _OUTSIDE_TEXTS.format(other=r'[^".]|\.(?!0++(?![0-9]))') + r"\.0++(?![0-9])"
+    yes, no = _OUTSIDE_TEXTS.format(other='[^"t]') + "true", _OUTSIDE_TEXTS.format(other='[^"f]') + "false"
+    for pattern, shown in ((whole, "$1"), (yes, "$11"), (no, "$10")):
+        json = f"regexp_replace({json}, r'{pattern}', '{shown}')"
+    return json
+
+
 def _comparable(value: str) -> str:
-    """SQL key under which JSON values are equal: numbers and booleans by amount, the rest as written."""
+    """SQL key under which JSON values are equal in type and value: numbers and booleans by amount, at any depth."""
     amount = f"CASE WHEN {kind('_q')} <> 'STRING' THEN {number_of('_q')} END"
-    return bind(value, "_q", f"coalesce(concat('n', CAST({amount} AS STRING)), concat({kind('_q')}, to_json(_q)))")
+    held = f"concat({kind('_q')}, CASE {kind('_q')} WHEN 'STRING' THEN to_json(_q) ELSE {_plain_amounts('to_json(_q)')} END)"
+    return bind(value, "_q", f"coalesce(concat('n', CAST({amount} AS STRING)), {held})")
 
 
 def schema_validity(payload: str, call: str) -> str:
     """SQL: 1.0 when a parsed call names the expected tool, its arguments and the required fields."""
-    named = f"coalesce({text_of('_tool')} IN ({text_of(field(call, 'tool'))}, {text_of(field(call, 'name'))}), false)"
-    tool_ok = bind(field(payload, "expected_tool"), "_tool", f"NOT {truthy('_tool')} OR {named}")
+    given_names = [_comparable(field(call, key)) for key in ("tool", "name")]
+    named = f"coalesce({_comparable('_tool')} = {given_names[0]}, false) OR coalesce({_comparable('_tool')} = {given_names[1]}, false)"
+    tool_ok = bind(field(payload, "expected_tool"), "_tool", f"(NOT {truthy('_tool')} OR {named})")
 
     # Arguments that are absent count as an empty object; arguments that are no object fail.
     wanted = entries(field(payload, "expected_arguments"))
@@ -345,14 +360,28 @@ def gate_evaluate(scorecard: DataFrame, gates: DataFrame) -> DataFrame:
     ).select("benchmark", "metric", "threshold", "value", "gate_passed", "benchmark_passed")
 
 
-def evaluation_results(scorecard: DataFrame, gates: DataFrame) -> DataFrame:
-    """``benchmark, dimension, sample_count, passed``; a benchmark without gates passes."""
+def evaluation_results(scorecard: DataFrame, gates: DataFrame, benchmarks: DataFrame | None = None) -> DataFrame:
+    """``benchmark, dimension, sample_count, passed``; a benchmark without gates passes.
+
+    With the suite's ``benchmarks`` given, those without samples or metrics are
+    listed too, with no samples and their gates failed.
+    """
     per_benchmark = gates.groupBy("benchmark").agg(F.collect_list(F.struct("metric", "threshold")).alias("gates"))
 
     def holds(gate: Column) -> Column:
         return _gate_passes(gate["metric"], F.try_element_at("metrics", gate["metric"]), gate["threshold"])
 
-    joined = scorecard_maps(scorecard).join(per_benchmark, "benchmark", "left")
+    maps = scorecard_maps(scorecard)
+    if benchmarks is not None:
+        none = F.create_map().cast("map<string,double>")
+        listed = benchmarks.select("benchmark", F.col("dimension").alias("_dimension"))
+        maps = listed.join(maps, "benchmark", "left").select(
+            "benchmark",
+            F.coalesce("dimension", "_dimension").alias("dimension"),
+            F.coalesce("sample_count", F.lit(0).cast("long")).alias("sample_count"),
+            F.coalesce("metrics", none).alias("metrics"),
+        )
+    joined = maps.join(per_benchmark, "benchmark", "left")
     return joined.select(
         "benchmark", "dimension", "sample_count", F.coalesce(F.forall("gates", holds), F.lit(True)).alias("passed")
     )

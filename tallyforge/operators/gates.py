@@ -61,6 +61,7 @@ def targets_table(spark: SparkSession, targets: tuple[Target, ...] = DEPLOYMENT_
 def envelope_check(targets: DataFrame, measured: DataFrame) -> DataFrame:
     """Issues of each target; ``measured`` has one row per measured target.
 
+    A latency, memory or decode rate that a measurement leaves out is an issue.
     Power is only checked when the target limits it, and counts as zero when a
     measurement leaves it out.
     """
@@ -86,7 +87,9 @@ def envelope_check(targets: DataFrame, measured: DataFrame) -> DataFrame:
     def issue(name: str, limit: str, word: str):
         broken = F.col(name) > F.col(limit) if word == "exceeds" else F.col(name) < F.col(limit)
         text = F.concat(F.lit(f"{name} "), F.col(name).cast("string"), F.lit(f" {word} "), F.col(limit).cast("string"))
-        return F.when(broken, text)
+        if name == "power_w":
+            return F.when(broken, text)
+        return F.when(F.col(name).isNull(), F.lit(f"{name} was not measured")).when(broken, text)
 
     issues = F.concat_ws(
         "; ",

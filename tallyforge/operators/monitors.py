@@ -129,10 +129,16 @@ def nan_incidents(steps: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
-def ingestion_lag(records: DataFrame, source: str, ts: str, limit_hours: float = INGESTION_LAG_HOURS) -> DataFrame:
-    """Hours from a source's last record to the newest record of all."""
+def ingestion_lag(
+    records: DataFrame, source: str, ts: str, limit_hours: float = INGESTION_LAG_HOURS, now: Column | None = None
+) -> DataFrame:
+    """Hours from a source's last record to ``now``, by default the newest record of all.
+
+    Give the present time, as in ``F.current_timestamp()``, to see all sources stall.
+    """
     last = records.groupBy(source).agg(F.max(ts).alias("last_seen"))
-    now = last.agg(F.max("last_seen").alias("now")).scalar()
+    if now is None:
+        now = last.agg(F.max("last_seen").alias("now")).scalar()
     hours = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_seen").cast("timestamp"))) / 3.6e9
     return last.select(source, F.round(hours, 6).alias("lag_hours"), (hours > limit_hours).alias("firing"))
 

@@ -54,7 +54,7 @@ def utility(entities: DataFrame, criteria: tuple[Criterion, ...]) -> DataFrame:
 def minmax_utility_rank(
     entities: DataFrame, criteria: tuple[Criterion, ...], position: str, block_rows: int = 1_000_000
 ) -> DataFrame:
-    """Adds ``utility_score`` and ``rank``: best first, ties in order of ``position``.
+    """Adds ``utility_score`` and ``rank``: best first, ties in order of ``position``, rows without a score last.
 
     Scores have four decimals, so there are few distinct ones. A rank is the count
     of better scores, plus earlier blocks of the same score, plus the place inside
@@ -69,17 +69,16 @@ def minmax_utility_rank(
     offsets = (
         cells.withColumn("_earlier", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
         .drop("n")
-        .join(
-            scores.select("utility_score", F.coalesce(F.sum("n").over(better), F.lit(0)).alias("_better")),
-            "utility_score",
-        )
+        .withColumnsRenamed({"utility_score": "_score", "_block": "_part"})
     )
+    above = scores.select(F.col("utility_score").alias("_other"), F.coalesce(F.sum("n").over(better), F.lit(0)).alias("_better"))
+    offsets = offsets.join(above, F.col("_score").eqNullSafe(F.col("_other"))).drop("_other")
     inside = F.row_number().over(Window.partitionBy("utility_score", "_block").orderBy(position))
     return (
         scored.withColumn("_inside", inside)
-        .join(offsets, ["utility_score", "_block"])
+        .join(offsets, F.col("utility_score").eqNullSafe(F.col("_score")) & F.col("_block").eqNullSafe(F.col("_part")))
         .withColumn("rank", (F.col("_better") + F.col("_earlier") + F.col("_inside")).cast("long"))
-        .drop("_block", "_inside", "_better", "_earlier")
+        .drop("_block", "_inside", "_better", "_earlier", "_score", "_part")
     )
 
 

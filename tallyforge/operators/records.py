@@ -90,26 +90,21 @@ def map_prediction(df: DataFrame, payload_column: str = "payload", output_column
     )
 
 
-def conversation_to_text(
-    turns: DataFrame, key: str = "conv_id", turn: str = "turn", segment_turns: int = 4096
-) -> DataFrame:
-    """``role: text`` lines in turn order.
-
-    One row per conversation and run of ``segment_turns`` turns, so that a
-    conversation of any length never has to fit one row; an ordinary one has the
-    single segment 0. Joining the segments by a line break gives the whole text.
-    """
+def conversation_lines(turns: DataFrame, key: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """``key, turn, line``: one ``role: text`` line per turn, for conversations of any length."""
     line = F.concat(F.coalesce(F.col("role"), F.lit("user")), F.lit(": "), F.coalesce(F.col("text"), F.lit("")))
-    ordered = F.sort_array(F.collect_list(F.struct(F.col(turn).alias("turn"), line.alias("line"))))
-    return (
-        turns.groupBy(key, F.floor(F.col(turn) / segment_turns).alias("segment"))
-        .agg(ordered.alias("lines"))
-        .select(
-            key,
-            "segment",
-            F.size("lines").cast("long").alias("turns"),
-            F.array_join(F.col("lines.line"), "\n").alias("text"),
-        )
+    return turns.select(key, turn, line.alias("line"))
+
+
+def conversation_to_text(turns: DataFrame, key: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """One row per conversation: its lines in turn order, ties in order of the lines.
+
+    The whole text is one value; use ``conversation_lines`` where it may not fit.
+    """
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(turn).alias("turn"), "line")))
+    lines = conversation_lines(turns, key, turn).groupBy(key).agg(ordered.alias("lines"))
+    return lines.select(
+        key, F.size("lines").cast("long").alias("turns"), F.array_join(F.col("lines.line"), "\n").alias("text")
     )
 
 

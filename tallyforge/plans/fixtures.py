@@ -105,10 +105,11 @@ def tool_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         "dataset": "source",
         "prompt": "concat('Look up ', doc_id)",
         "expected_tool": "'lookup'",
-        "expected_arguments": "struct(lang AS lang, n_chars AS n)",
+        "expected_arguments": "struct(lang AS lang, n_chars AS n, array(1, n_chars) AS more)",
         "required_fields": "CASE WHEN doc_id % 3 = 0 THEN array('arguments', 'trace') ELSE array('arguments') END",
         "prediction": """CASE doc_id % 4
-            WHEN 0 THEN concat('{"tool": "lookup", "arguments": {"lang": "', lang, '", "n": ', n_chars, '}}')
+            WHEN 0 THEN concat('{"tool": "lookup", "arguments": {"lang": "', lang, '", "n": ', n_chars, ', "more": [1e0, ',
+                CASE doc_id % 7 WHEN 2 THEN concat('"', n_chars, '"') WHEN 3 THEN concat(n_chars, '.0') ELSE concat(n_chars, '') END, ']}}')
             WHEN 1 THEN concat('{"name": "other", "arguments": {"lang": "', lang, '", "n": ', n_chars, '}}')
             WHEN 2 THEN concat('{"name": "lookup", "arguments": {"lang": "', lang, '"}}')
             ELSE 'call lookup' END""",
@@ -120,15 +121,18 @@ def tool_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def action_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two halves of each embedding as reference and predicted action; some of unequal length."""
+    """The two halves of each embedding as reference and predicted action; some held in objects, some of unequal length."""
+    said = "transform(slice(embedding, 33, CASE WHEN vec_id % 10 = 0 THEN 31 ELSE 32 END), x -> CAST(x AS DOUBLE))"
     fields = {
         "id": "concat('vec-', vec_id)",
         "benchmark": "'actions'",
         "dataset": "CAST(label AS STRING)",
         "prompt": "'move'",
         "reference_action": "transform(slice(embedding, 1, 32), x -> CAST(x AS DOUBLE))",
-        "prediction": """to_json(transform(slice(embedding, 33, CASE WHEN vec_id % 10 = 0 THEN 31 ELSE 32 END),
-            x -> CAST(x AS DOUBLE)))""",
+        "prediction": f"""CASE vec_id % 10 WHEN 1 THEN to_json(struct({said} AS action))
+            WHEN 2 THEN to_json(struct(to_json(struct({said} AS trajectory)) AS predicted_action))
+            WHEN 3 THEN to_json(struct(struct(to_json({said}) AS action) AS action))
+            WHEN 9 THEN to_json(struct({said} AS other)) ELSE to_json({said}) END""",
     }
     rows = _payload(table(spark, sf_dir, "embeddings"), fields, ["vec_id"])
     return sample_from_payload(rows, F.lit("actions"), F.col("vec_id"))
@@ -212,7 +216,9 @@ def part_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("family"))
-    return parts.join(measures, parts.p_partkey == measures.l_partkey).drop("l_partkey")
+    joined = parts.join(measures, parts.p_partkey == measures.l_partkey).drop("l_partkey")
+    # Some parts were not measured by one of the criteria.
+    return joined.withColumn("reasoning_score", F.expr("CASE WHEN p_partkey % 50 <> 7 THEN reasoning_score END"))
 
 
 def modality_pool(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,6 @@ from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -72,11 +71,3 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """A broadcast hint for a side that was counted and found small; any other side joins by shuffle.
-
-    The count stops once the bound is passed.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
