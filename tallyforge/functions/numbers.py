@@ -68,13 +68,19 @@ def _numbers(value: str) -> str:
 NESTED = 6
 
 
+# The parser stops behind the first value; this tells texts that are one value from texts that go on.
+WHOLE_JSON = r'([\]}"]\s*$)|(^\s*(-?[0-9][0-9.eE+-]*|true|false|null)\s*$)'
+
+
 def _opened(value: str) -> str:
     """One level less: what an object holds under an action field, or what a JSON text says; else the value itself."""
     return bind(
         value,
         "_u",
         f"""CASE {kind('_u')} WHEN 'OBJECT' THEN {first_present('_u', ACTION_FIELDS)}
-        WHEN 'STRING' THEN coalesce(try_parse_json(CAST(_u AS STRING)), _u) ELSE _u END""",
+        WHEN 'STRING' THEN coalesce(
+            CASE WHEN CAST(_u AS STRING) RLIKE r'{WHOLE_JSON}' THEN try_parse_json(CAST(_u AS STRING)) END, _u)
+        ELSE _u END""",
     )
 
 

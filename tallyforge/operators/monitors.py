@@ -94,11 +94,9 @@ def rollout_monitor(rollouts: DataFrame, group: str) -> DataFrame:
     )
 
 
-def token_accounting(
-    steps: DataFrame, stage: str, order: list[str], tokens: str, block: Column
-) -> DataFrame:
+def token_accounting(steps: DataFrame, stage: str, order: list[str], tokens: str) -> DataFrame:
     """Adds ``tokens_seen``, the running total of a stage."""
-    return running_sum(steps, [stage], order, block, F.col(tokens), "tokens_seen")
+    return running_sum(steps, [stage], order, F.col(tokens), "tokens_seen")
 
 
 def loss_spike_ratio(
@@ -106,12 +104,11 @@ def loss_spike_ratio(
     keys: list[str],
     order: list[str],
     value: str,
-    block: Column,
     rows: int = 10,
     limit: float = LOSS_SPIKE_RATIO,
 ) -> DataFrame:
     """Adds ``ratio`` of a value to the mean of the previous ``rows`` steps, and ``spike``."""
-    trailed = trailing_mean(steps, keys, order, block, F.col(value), rows, "_trailing")
+    trailed = trailing_mean(steps, keys, order, F.col(value), rows, "_trailing")
     ratio = F.try_divide(F.col(value), F.col("_trailing"))
     return (
         trailed.withColumn("ratio", ratio)
@@ -150,7 +147,6 @@ def slo_report(
     ts: str,
     failed: Column,
     succeeded: Column,
-    block: Column,
 ) -> DataFrame:
     """Success share, age of the last success and slowest recovery per source, each against its level.
 
@@ -158,10 +154,10 @@ def slo_report(
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     timed = events.select(
-        source, *order, micros.alias("_at"), failed.alias("_failed"), succeeded.alias("_succeeded"), block.alias("_part")
+        source, *order, micros.alias("_at"), failed.alias("_failed"), succeeded.alias("_succeeded")
     )
     success_at = F.when(F.col("_succeeded"), F.col("_at"))
-    followed = next_matching(timed, [source], order, F.col("_part"), success_at, "_next")
+    followed = next_matching(timed, [source], order, success_at, "_next")
     wait = F.when(F.col("_failed"), (F.col("_next") - F.col("_at")) / 6e7)
     per_source = followed.groupBy(source).agg(
         F.count(F.lit(1)).alias("events"),

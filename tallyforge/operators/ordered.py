@@ -1,59 +1,56 @@
-"""Ordered computations per key that stay distributed when a key is hot.
+"""Ordered computations per key that stay distributed however rows are spread over keys.
 
-A plain window over a key sends all rows of the key to one task. Here a key with
-more than ``hot_rows`` rows is cut into blocks; rows are handled within their
-block, and only one row per block travels along the key. Other keys are one block.
-
-``block`` is an expression that must not decrease along ``order`` and is fine
-enough for the rows of one block to fit a task, for example the hour.
+A plain window over a key sends all rows of the key to one task. Here rows are
+dealt by ranges of key and order into blocks of like size, whatever the keys;
+each block is handled by itself, and one row per key and block carries what lies
+before or behind it. The dealt rows are written once, because two passes have to
+see the same blocks.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
+from tallyforge.session import settled
 
+#: Rows of a chunk in which trailing frames are computed.
+CHUNK_ROWS = 1_000_000
 
-def _with_blocks(df: DataFrame, keys: list[str], block: Column, hot_rows: int) -> DataFrame:
-    """Adds ``_block``, which is NULL for keys that are not hot.
 
-    Hot keys are broadcast: there are at most (all rows / ``hot_rows``) of them.
-    """
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
-    return df.join(F.broadcast(hot), keys, "left").withColumn("_block", F.when(F.col("_hot"), block)).drop("_hot")
+def _in_blocks(df: DataFrame, keys: list[str], order: list[str], value: Column) -> DataFrame:
+    """Adds ``_value`` and ``_block``, which grows along ``order`` within a key; rows of one block fit a task."""
+    ranged = df.withColumn("_value", value).repartitionByRange(*keys, *order)
+    return settled(ranged.withColumn("_block", F.spark_partition_id()), "blocks")
 
 
-def running_sum(
-    df: DataFrame, keys: list[str], order: list[str], block: Column, value: Column, out: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def _carried(blocked: DataFrame, per_block: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with what their key's block was given; null keys are keys like any other."""
+    names = [*keys, "_block"]
+    renamed = per_block.withColumnsRenamed({n: f"_of_{n}" for n in names})
+    same = reduce(lambda a, b: a & b, [blocked[n].eqNullSafe(renamed[f"_of_{n}"]) for n in names])
+    return blocked.join(renamed, same, "left").drop(*[f"_of_{n}" for n in names])
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str) -> DataFrame:
     """Adds the sum of ``value`` from the key's first row up to this one."""
-    blocked = _with_blocks(df.withColumn("_value", value), keys, block, hot_rows)
-    totals = (
-        blocked.filter(F.col("_block").isNotNull()).groupBy(*keys, "_block").agg(F.sum("_value").alias("_total"))
-    )
+    blocked = _in_blocks(df, keys, order, value)
+    totals = blocked.groupBy(*keys, "_block").agg(F.sum("_value").alias("_total"))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(*keys, "_block", F.sum("_total").over(earlier).alias("_before"))
     inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        blocked.withColumn("_inside", F.sum("_value").over(inside))
-        .join(before, [*keys, "_block"], "left")
+        _carried(blocked.withColumn("_inside", F.sum("_value").over(inside)), before, keys)
         .withColumn(out, F.coalesce("_before", F.lit(0)) + F.coalesce("_inside", F.lit(0)))
         .drop("_block", "_value", "_before", "_inside")
     )
 
 
-def row_numbers(
-    df: DataFrame, keys: list[str], order: list[str], block: Column, out: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def row_numbers(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
     """Adds the row number, from one, along the key."""
-    numbered = running_sum(df, keys, order, block, F.lit(1), out, hot_rows)
+    numbered = running_sum(df, keys, order, F.lit(1), out)
     return numbered.withColumn(out, F.col(out).cast("long"))
 
 
@@ -61,43 +58,38 @@ def trailing_mean(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    block: Column,
     value: Column,
     rows: int,
     out: str,
-    hot_rows: int = HOT_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Adds the mean of ``value`` over the ``rows`` rows before this one.
 
-    Rows are numbered along the key and cut into chunks of ``hot_rows``; the last
+    Rows are numbered along the key and cut into chunks of ``chunk_rows``; the last
     ``rows`` of a chunk are also sent to the next one, which is all it lacks.
     """
-    if hot_rows < rows:
+    if chunk_rows < rows:
         raise ValueError("a chunk must hold at least the trailing rows")
-    numbered = row_numbers(df.withColumn("_trailed", value), keys, order, block, "_row", hot_rows)
-    chunk = F.floor((F.col("_row") - 1) / hot_rows)
-    closing = (F.col("_row") - 1) % hot_rows >= hot_rows - rows
+    numbered = row_numbers(df.withColumn("_trailed", value), keys, order, "_row")
+    chunk = F.floor((F.col("_row") - 1) / chunk_rows)
+    closing = (F.col("_row") - 1) % chunk_rows >= chunk_rows - rows
     homes = F.when(closing, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
-    spread = numbered.withColumn("_home", chunk).withColumn("_chunk", F.explode(homes))
+    lent = numbered.withColumn("_home", chunk).withColumn("_chunk", F.explode(homes))
     frame = Window.partitionBy(*keys, "_chunk").orderBy("_row").rowsBetween(-rows, -1)
     return (
-        spread.withColumn(out, F.avg("_trailed").over(frame))
+        lent.withColumn(out, F.avg("_trailed").over(frame))
         .filter(F.col("_chunk") == F.col("_home"))
         .drop("_trailed", "_row", "_home", "_chunk")
     )
 
 
-def next_matching(
-    df: DataFrame, keys: list[str], order: list[str], block: Column, value: Column, out: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def next_matching(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str) -> DataFrame:
     """Adds the smallest non-null ``value`` among the key's later rows.
 
     Meant for a value that grows along ``order``, such as the time of the next success.
     """
-    blocked = _with_blocks(df.withColumn("_value", value), keys, block, hot_rows)
-    firsts = (
-        blocked.filter(F.col("_block").isNotNull()).groupBy(*keys, "_block").agg(F.min("_value").alias("_first"))
-    )
+    blocked = _in_blocks(df, keys, order, value)
+    firsts = blocked.groupBy(*keys, "_block").agg(F.min("_value").alias("_first"))
     # Descending order turns "following" into a running frame, which costs one step per row.
     later = Window.partitionBy(*keys).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     after = firsts.select(*keys, "_block", F.min("_first").over(later).alias("_after"))
@@ -107,8 +99,7 @@ def next_matching(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        blocked.withColumn("_inside", F.min("_value").over(inside))
-        .join(after, [*keys, "_block"], "left")
+        _carried(blocked.withColumn("_inside", F.min("_value").over(inside)), after, keys)
         .withColumn(out, F.coalesce("_inside", "_after"))
         .drop("_block", "_value", "_after", "_inside")
     )

@@ -40,10 +40,6 @@ def digests(*columns: str):
     return [F.md5(column).alias(column) for column in columns]
 
 
-def hour(column: str = "ts"):
-    return F.date_trunc("hour", column)
-
-
 # --- records, samples, predictions -----------------------------------------------------------
 
 
@@ -588,14 +584,14 @@ def _(spark, sf):
 @query("token_accounting")
 def _(spark, sf):
     steps = fx.step_metrics(spark, sf).select("event_id", "ts", "event_type", "tokens")
-    counted = monitors.token_accounting(steps, "event_type", ["ts", "event_id"], "tokens", hour())
+    counted = monitors.token_accounting(steps, "event_type", ["ts", "event_id"], "tokens")
     return counted.select("event_id", "event_type", "tokens", F.col("tokens_seen").cast("long").alias("tokens_seen"))
 
 
 @query("loss_spike_ratio")
 def _(spark, sf):
     steps = fx.step_metrics(spark, sf).select("event_id", "ts", "user_id", "value")
-    judged = monitors.loss_spike_ratio(steps, ["user_id"], ["ts", "event_id"], "value", hour())
+    judged = monitors.loss_spike_ratio(steps, ["user_id"], ["ts", "event_id"], "value")
     return judged.select("event_id", "user_id", F.round("ratio", 6).alias("ratio"), "spike")
 
 
@@ -638,7 +634,7 @@ def _(spark, sf):
 def _(spark, sf):
     kind = F.col("event_type")
     return monitors.slo_report(
-        table(spark, sf, "events"), "user_id", ["ts", "event_id"], "ts", kind == "error", kind == "purchase", hour()
+        table(spark, sf, "events"), "user_id", ["ts", "event_id"], "ts", kind == "error", kind == "purchase"
     )
 
 
@@ -753,7 +749,7 @@ def _(spark, sf):
 @query("stream_spike_state")
 def _(spark, sf):
     steps = event_stream(spark, sf).select("event_id", "ts", "user_id", "value")
-    judged = stream_spike_state(steps, ["user_id"], ["ts", "event_id"], "value", hour, shared_dir(spark, "spikes"))
+    judged = stream_spike_state(steps, ["user_id"], ["ts", "event_id"], "value", shared_dir(spark, "spikes"))
     return judged.select("event_id", "user_id", F.round("ratio", 6).alias("ratio"), "spike")
 
 

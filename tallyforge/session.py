@@ -43,6 +43,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once below the shared folder and read back, so that later passes see the same rows."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @cache
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="tallyforge-")

@@ -8,12 +8,13 @@ failure replaces its own output.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators.monitors import ALERT_RULES, LOSS_SPIKE_RATIO, AlertRule, alert_rules, loss_spike_ratio
-from tallyforge.operators.ordered import running_sum
+from tallyforge.session import settled
 
 
 def stream_files(
@@ -78,43 +79,55 @@ def stream_window_alerts(
     return alert_rules(long, rules)
 
 
-def _last_rows(df: DataFrame, keys: list[str], order: list[str], block: Column, rows: int) -> DataFrame:
-    numbered = running_sum(df, keys, order, block, F.lit(1), "_row")
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return numbered.join(counts, keys).filter(F.col("_row") > F.col("_rows") - rows).select(df.columns)
-
-
 def stream_spike_state(
     steps: DataFrame,
     keys: list[str],
     order: list[str],
     value: str,
-    block: Callable[[], Column],
     folder: str,
     rows: int = 10,
     limit: float = LOSS_SPIKE_RATIO,
 ) -> DataFrame:
     """Spike ratio against the trailing mean, across micro-batches.
 
-    The state is the last ``rows`` rows of each key, kept as a table; a batch runs
-    the batch operator over state and new rows, so a hot key is split there too.
+    The state is the last ``rows`` rows of each key, kept as a table with one
+    folder per batch. A batch reads the newest state of the keys it touches, runs
+    the batch operator over that and its own rows, and writes the state of those
+    keys only; a hot key is split there too.
     """
     spark = steps.sparkSession
     out, tail = f"{folder}/ratios", f"{folder}/tail"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        new = batch.withColumn("_new", F.lit(True))
+        new = settled(batch.withColumn("_new", F.lit(True)), "spike-batch")
+        touched = new.select(*keys).distinct()
+        seen = new
         if batch_id > 0:
-            new = new.unionByName(session.read.parquet(f"{tail}/batch={batch_id - 1}").withColumn("_new", F.lit(False)))
-        judged = loss_spike_ratio(new, keys, order, value, block(), rows, limit)
+            # Only folders of earlier batches count, also when a batch runs again.
+            states = session.read.parquet(tail).filter(F.col("batch") < batch_id)
+            theirs = states.join(touched, _same_keys(states, touched, keys), "left_semi")
+            newest = theirs.groupBy(*keys).agg(F.max("batch").alias("_newest"))
+            kept = theirs.join(newest, _same_keys(theirs, newest, keys) & (theirs["batch"] == newest["_newest"]), "left_semi")
+            seen = new.unionByName(kept.drop("batch").withColumn("_new", F.lit(False)))
+        judged = loss_spike_ratio(seen, keys, order, value, rows, limit)
         _write(judged.filter("_new").drop("_new"), out, batch_id)
-        _write(_last_rows(new.drop("_new"), keys, order, block(), rows), tail, batch_id)
+        _write(_last_rows(seen.drop("_new"), keys, order, rows), tail, batch_id)
 
     _drain(steps, "append", folder, handle)
     return spark.read.parquet(out).drop("batch")
 
 
+def _same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+
+
+def _last_rows(df: DataFrame, keys: list[str], order: list[str], rows: int) -> DataFrame:
+    """The last rows of each key: a rank limit, which tasks apply to their own rows before any move."""
+    backward = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+    return df.withColumn("_row", F.row_number().over(backward)).filter(F.col("_row") <= rows).drop("_row")
+
+
 def split_late_rows(events: DataFrame, ts: str, delay: str, folder: str) -> tuple[DataFrame, DataFrame]:
     """Rows in time and late rows, as two tables.
 

@@ -76,6 +76,12 @@ def test_schema_validity(spark):
         ({"expected_arguments": {"k": None}, "prediction": {"arguments": {}}}, 1.0),
         ({"expected_arguments": {"k": None}, "prediction": {"arguments": {"k": 1}}}, 0.0),
         ({"expected_arguments": {"k": [1, {"a": 2}]}, "prediction": {"arguments": {"k": [1, {"a": 2}]}}}, 1.0),
+        ({"expected_arguments": {"k": [1, {"a": 20.5}]}, "prediction": '{"arguments": {"k": [1e0, {"a": 20.50}]}}'}, 1.0),
+        ({"expected_arguments": {"k": [True]}, "prediction": {"arguments": {"k": [1]}}}, 1.0),
+        ({"expected_arguments": {"k": ["1.0", "true"]}, "prediction": {"arguments": {"k": ["1", "true"]}}}, 0.0),
+        ({"expected_arguments": {"k": ["1"]}, "prediction": {"arguments": {"k": [1]}}}, 0.0),
+        ({"expected_tool": "1", "prediction": {"tool": 1}}, 0.0),
+        ({"expected_tool": 1, "prediction": {"tool": 1.0}}, 1.0),
     ]
     assert values(spark, "schema_validity", [c for c, _ in cases]) == [v for _, v in cases]
     assert values(spark, "tool_error_rate", [{"prediction": "no"}, {"tool_error": False, "prediction": "no"}]) == [1.0, 0.0]
@@ -88,10 +94,13 @@ def test_action_distance_of_unequal_vectors_is_zero(spark):
         {"reference_action": [1, 2], "predicted_action": [1]},
         {"reference_action": [], "predicted_action": []},
         {"reference_action": [1, "x"], "predicted_action": [1, 2]},
+        {"reference_action": [0, 3], "predicted_action": {"action": "[4, 0]"}},
+        {"reference_action": [0, 3], "prediction": {"action": {"trajectory": '{"action": "4 and 0"}'}}},
+        {"reference_action": [0, 3], "predicted_action": {"other": [4, 0]}},
     ]
     rows = score(spark, payloads).orderBy("i").collect()
-    assert [r.action_l2 for r in rows] == [5.0, 5.0, 0.0, 0.0, 0.0]
-    assert [r.action_valid for r in rows] == [True, True, False, False, False]
+    assert [r.action_l2 for r in rows] == [5.0, 5.0, 0.0, 0.0, 0.0, 5.0, 5.0, 0.0]
+    assert [r.action_valid for r in rows] == [True, True, False, False, False, True, True, False]
 
 
 def test_supplied_values_and_fallbacks(spark):
@@ -120,49 +129,58 @@ def test_first_place_with_the_key_decides(spark):
 
 
 SUITE = [
-    Benchmark("general", "general", ("A", "B"), ("accuracy", "macro_average", "calibration_error"), 1.0, {"macro_average": 0.72}),
-    Benchmark("speech", "audio", ("C",), ("wer", "cer", "accuracy", "mos"), 0.9, {"wer": 0.18, "cer": 0.12, "accuracy": 0.75}),
-    Benchmark("tools", "tools", ("D",), ("schema_validity", "task_success", "tool_error_rate"), 0.8, {"schema_validity": 0.97}),
-    Benchmark("policy", "vla", ("E",), ("success_rate", "collision_free_rate", "action_l2", "recovery_rate"), 1.2, {"success_rate": 0.58}),
-    Benchmark("agent", "agent", ("F",), ("task_success", "steps_to_success", "unsafe_action_rate", "cost_per_success"), 1.1, {"task_success": 0.5}),
-    Benchmark("edge", "edge", ("G",), ("prefill_ms", "decode_tok_s", "power_w"), 0.9, {"decode_tok_s": 24}),
+    Benchmark("quiz", "facts", ("rivers", "lakes"), ("accuracy", "macro_average", "calibration_error"), 1.0, {"macro_average": 0.6}),
+    Benchmark("dictation", "sound", ("radio",), ("wer", "cer", "accuracy"), 0.9, {"wer": 0.3, "accuracy": 0.5}),
+    Benchmark("calls", "tools", ("ledger",), ("schema_validity", "task_success", "tool_error_rate"), 0.8, {"schema_validity": 0.9}),
+    Benchmark("arm", "motion", ("bench",), ("success_rate", "action_l2", "collision_free_rate"), 1.2, {"action_l2": 2.0}),
+    Benchmark("errand", "agent", ("town",), ("steps_to_success", "unsafe_action_rate", "cost_per_success"), 1.1, {"steps_to_success": 9}),
+    Benchmark("board", "chips", ("rack",), ("prefill_ms", "decode_tok_s", "power_w"), 0.9, {"decode_tok_s": 10}),
 ]
 SMOKE = [
-    {"id": "g", "benchmark": "general", "dataset": "A", "prompt": "Which?", "choices": ["x", "yes"], "answer": "B", "prediction": "Yes", "confidence": 0.92},
-    {"id": "s", "benchmark": "speech", "dataset": "C", "prompt": "Write down", "answer": "hello there", "prediction": "hello there", "scores": {"wer": 0.0, "cer": 0.0, "mos": 4.5, "accuracy": 1.0}},
-    {"id": "t", "benchmark": "tools", "dataset": "D", "prompt": "Call", "expected_tool": "w", "expected_arguments": {"c": "S"}, "prediction": '{"tool":"w","arguments":{"c":"S"}}', "success": True, "tool_error": False},
-    {"id": "p", "benchmark": "policy", "dataset": "E", "prompt": "Move", "reference_action": [0.1, 1.0], "predicted_action": [0.1, 1.0], "prediction": "[0.1,1.0]", "success": True, "collision_free": True, "recovered": True},
-    {"id": "a", "benchmark": "agent", "dataset": "F", "prompt": "Find", "prediction": "done", "success": True, "steps": 5, "unsafe_action": False, "cost": 1.25},
-    {"id": "e", "benchmark": "edge", "dataset": "G", "prompt": "Replay", "prediction": "ready", "prefill_ms": 22.0, "decode_tok_s": 45.0, "power_w": 42.0},
+    {"id": "q1", "benchmark": "quiz", "dataset": "rivers", "question": "Longest of these?", "choices": ["Po", "Rhone"], "answer": "B", "prediction": "the rhone", "confidence": 0.75},
+    {"id": "d1", "benchmark": "dictation", "dataset": "radio", "input": "clip", "answer": "seven small boats", "prediction": "Seven small boats.", "scores": {"wer": 0.25, "cer": 0.125}},
+    {"id": "c1", "benchmark": "calls", "dataset": "ledger", "prompt": "Book it", "expected_tool": "book", "expected_arguments": {"sum": 12}, "prediction": '{"name": "book", "args": {"sum": 12.0}}', "success": True},
+    {"id": "m1", "benchmark": "arm", "dataset": "bench", "prompt": "Lift", "reference_action": [2, 0, 1], "predicted_action": [2, 1, 1], "success": True, "collision_free": True},
+    {"id": "e1", "benchmark": "errand", "dataset": "town", "prompt": "Fetch milk", "prediction": "fetched", "steps": 8, "cost": 0.5},
+    {"id": "b1", "benchmark": "board", "dataset": "rack", "prompt": "Run", "prediction": "ran", "ttft_ms": 31.5, "tokens_per_second": 12.5, "power_watts": 7},
 ]
 
 
-def test_smoke_suite_passes(spark):
+def test_small_suite_passes(spark):
     scored = ev.score_samples(ev.join_predictions(samples(spark, SMOKE)), SUITE)
     card = ev.benchmark_scorecard(scored, SUITE)
     found = {(r.benchmark, r.metric): r.value for r in card.collect()}
-    assert found["general", "accuracy"] == found["general", "macro_average"] == 1.0
-    assert found["general", "calibration_error"] == 0.08
-    assert found["agent", "steps_to_success"] == 5.0 and found["policy", "action_l2"] == 0.0
-    assert found["tools", "tool_error_rate"] == 0.0 and found["edge", "power_w"] == 42.0
+    assert found["quiz", "accuracy"] == found["quiz", "macro_average"] == 1.0
+    assert found["quiz", "calibration_error"] == 0.25 and found["dictation", "cer"] == 0.125
+    assert found["errand", "steps_to_success"] == 8.0 and found["arm", "action_l2"] == 1.0
+    assert found["calls", "tool_error_rate"] == 0.0 and found["board", "power_w"] == 7.0
     results = ev.evaluation_results(card, gates_table(spark, SUITE))
     report = {r.dimension: r for r in ev.eval_report(results).collect()}
     assert (report["*"].benchmarks, report["*"].samples, report["*"].passed, report["*"].failed) == (6, 6, 6, 0)
-    assert report["audio"].pass_share == 1.0
+    assert report["sound"].pass_share == 1.0
 
 
-def test_predictions_replace_sample_fields(spark):
+def test_report_lists_benchmarks_without_samples(spark):
+    suite = [*SUITE, Benchmark("silent", "facts", (), ("accuracy",), 1.0, {"accuracy": 0.1}), Benchmark("bare", "facts")]
+    card = ev.benchmark_scorecard(ev.score_samples(ev.join_predictions(samples(spark, SMOKE)), suite), suite)
+    results = ev.evaluation_results(card, gates_table(spark, suite), benchmarks_table(spark, suite))
+    rows = {r.benchmark: (r.dimension, r.sample_count, r.passed) for r in results.collect()}
+    assert rows["silent"] == ("facts", 0, False) and rows["bare"] == ("facts", 0, True) and len(rows) == 8
+
+
+def test_table_comes_before_the_samples_own_prediction(spark):
     given = [
-        {"id": "1", "benchmark": "general", "dataset": "A", "prompt": "2 + 2?", "answer": "4", "prediction": "wrong", "confidence": 0.5},
-        {"id": "2", "benchmark": "general", "dataset": "B", "prompt": "Capital?", "answer": "Paris", "prediction": "wrong", "confidence": 0.5},
-        {"id": "2", "benchmark": "general", "dataset": "B", "prompt": "Again?", "answer": "Paris", "prediction": "wrong"},
+        {"id": "r", "benchmark": "quiz", "dataset": "rivers", "question": "Through Cologne?", "answer": "Rhine", "prediction": "Elbe", "confidence": 0.2},
+        {"id": "l", "benchmark": "quiz", "dataset": "lakes", "question": "Deepest?", "answer": "Baikal", "prediction": "Garda"},
+        {"id": "l", "benchmark": "quiz", "dataset": "lakes", "question": "Deepest by far?", "answer": "Baikal", "prediction": "Como"},
+        {"id": "o", "benchmark": "quiz", "dataset": "lakes", "question": "Own?", "answer": "Como", "prediction": "Garda", "confidence": 0.5},
     ]
-    table = spark.createDataFrame([("1", '"4"'), ("2", '"Paris"'), ("9", '"x"')], "id string, j string").select(
+    table = spark.createDataFrame([("r", '"the Rhine"'), ("l", '"Baikal!"'), ("none", '"x"')], "id string, j string").select(
         "id", F.parse_json("j").alias("prediction")
     )
     card = ev.benchmark_scorecard(score(spark, given, table), SUITE)
-    found = {r.metric: (r.value, r.sample_count) for r in card.filter("benchmark = 'general'").collect()}
-    assert found == {"accuracy": (1.0, 3), "macro_average": (1.0, 3), "calibration_error": (0.3333, 3)}
+    found = {r.metric: (r.value, r.sample_count) for r in card.filter("benchmark = 'quiz'").collect()}
+    assert found == {"accuracy": (0.75, 4), "macro_average": (0.8334, 4), "calibration_error": (0.325, 4)}
 
 
 def test_scorer_comes_before_sample_fields_and_after_the_table(spark):
@@ -176,7 +194,7 @@ def test_scorer_comes_before_sample_fields_and_after_the_table(spark):
 
 
 def test_system_metric_without_values_is_zero_and_macro_rounds_twice(spark):
-    rows = [{"id": str(i), "benchmark": "edge", "dataset": "G", "answer": "x", "prediction": "x"} for i in range(2)]
+    rows = [{"id": str(i), "benchmark": "board", "dataset": "rack", "answer": "x", "prediction": "x"} for i in range(2)]
     card = {r.metric: r.value for r in ev.benchmark_scorecard(score(spark, rows), SUITE).collect()}
     assert card == {"prefill_ms": 0.0, "decode_tok_s": 0.0, "power_w": 0.0}
     thirds = [{"benchmark": "m", "dataset": d, "answer": "x", "prediction": p} for d, p in [("1", "x"), ("1", ""), ("1", ""), ("2", "x"), ("2", "x"), ("2", "")]]
@@ -231,7 +249,7 @@ def test_published_dimension_weights(spark):
 
 def test_select_and_compare(spark):
     table = benchmarks_table(spark, SUITE)
-    assert {r.benchmark for r in ev.benchmark_select(table, ["agent", "vla"]).collect()} == {"agent", "policy"}
+    assert {r.benchmark for r in ev.benchmark_select(table, ["agent", "arm"]).collect()} == {"errand", "arm"}
     assert ev.benchmark_select(table, None).count() == len(SUITE)
     columns = {"benchmark": "string", "metric": "string", "value": "double"}
     base = config_table(spark, [("b", "accuracy", 0.9), ("b", "wer", 0.1), ("b", "f1", 0.5), ("x", "f1", 1.0)], columns)
@@ -272,4 +290,4 @@ def test_evaluators(spark):
 def test_scorecard_maps(spark):
     card = ev.benchmark_scorecard(score(spark, SMOKE), SUITE)
     maps = {r.benchmark: r.metrics for r in ev.scorecard_maps(card).collect()}
-    assert maps["tools"] == {"schema_validity": 1.0, "task_success": 1.0, "tool_error_rate": 0.0}
+    assert maps["calls"] == {"schema_validity": 1.0, "task_success": 1.0, "tool_error_rate": 0.0}

@@ -34,14 +34,24 @@ def frame(spark):
     return spark.createDataFrame(steps(), "i long, k string, ts timestamp, v double").cache()
 
 
-def hour():
-    return F.date_trunc("hour", "ts")
-
-
-@pytest.mark.parametrize("hot_rows", [0, 150, 10_000])
-def test_running_sum_and_numbers(frame, hot_rows):
-    summed = ordered.running_sum(frame, ["k"], ["ts", "i"], hour(), F.coalesce("v", F.lit(0.0)), "s", hot_rows)
-    numbered = ordered.row_numbers(summed, ["k"], ["ts", "i"], hour(), "n", hot_rows)
+@pytest.mark.parametrize("key", ["one", None])
+def test_one_key_in_one_hour_is_split(spark, key):
+    rows = [(i, key, datetime(2024, 1, 1), 1.0) for i in range(4000)]
+    df = spark.createDataFrame(rows, "i long, k string, ts timestamp, v double")
+    # A few rows would be put together into one block.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        blocks = ordered._in_blocks(df, ["k"], ["ts", "i"], F.col("v")).groupBy("_block").count().collect()
+        assert len(blocks) > 1 and max(b["count"] for b in blocks) < 3000
+        out = ordered.running_sum(df, ["k"], ["ts", "i"], F.col("v"), "s").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(out) == 4000 and all(r.s == r.i + 1 for r in out)
+
+
+def test_running_sum_and_numbers(frame):
+    summed = ordered.running_sum(frame, ["k"], ["ts", "i"], F.coalesce("v", F.lit(0.0)), "s")
+    numbered = ordered.row_numbers(summed, ["k"], ["ts", "i"], "n")
     out = {r.i: r for r in numbered.collect()}
     assert len(out) == 600
     for rows in by_key(steps()).values():
@@ -51,9 +61,9 @@ def test_running_sum_and_numbers(frame, hot_rows):
             assert out[row[0]].n == place and out[row[0]].s == pytest.approx(total)
 
 
-@pytest.mark.parametrize("hot_rows", [4, 7, 100, 10_000])
-def test_trailing_mean(frame, hot_rows):
-    df = ordered.trailing_mean(frame, ["k"], ["ts", "i"], hour(), F.col("v"), 4, "m", hot_rows)
+@pytest.mark.parametrize("chunk_rows", [4, 7, 100, 10_000])
+def test_trailing_mean(frame, chunk_rows):
+    df = ordered.trailing_mean(frame, ["k"], ["ts", "i"], F.col("v"), 4, "m", chunk_rows)
     out = {r.i: r.m for r in df.collect()}
     assert len(out) == 600
     for rows in by_key(steps()).values():
@@ -63,10 +73,9 @@ def test_trailing_mean(frame, hot_rows):
             assert out[row[0]] == (None if expected is None else pytest.approx(expected))
 
 
-@pytest.mark.parametrize("hot_rows", [0, 150, 10_000])
-def test_next_matching(frame, hot_rows):
+def test_next_matching(frame):
     good = F.when(F.col("v") > 8, F.col("ts"))
-    out = {r.i: r.n for r in ordered.next_matching(frame, ["k"], ["ts", "i"], hour(), good, "n", hot_rows).collect()}
+    out = {r.i: r.n for r in ordered.next_matching(frame, ["k"], ["ts", "i"], good, "n").collect()}
     for rows in by_key(steps()).values():
         for place, row in enumerate(rows):
             later = [r[2] for r in rows[place + 1 :] if r[3] is not None and r[3] > 8]
@@ -85,7 +94,7 @@ def test_rewards(spark):
 def test_spikes_and_incidents(spark):
     rows = [(i, "k", datetime(2024, 1, 1, i), v) for i, v in enumerate([1.0, 1.0, 1.5, 0.0, 9.0])]
     df = spark.createDataFrame(rows, "i long, k string, ts timestamp, v double")
-    out = {r.i: (r.ratio, r.spike) for r in monitors.loss_spike_ratio(df, ["k"], ["ts", "i"], "v", hour(), rows=2).collect()}
+    out = {r.i: (r.ratio, r.spike) for r in monitors.loss_spike_ratio(df, ["k"], ["ts", "i"], "v", rows=2).collect()}
     assert out == {0: (None, False), 1: (1.0, False), 2: (1.5, True), 3: (0.0, False), 4: (12.0, True)}
     odd = spark.createDataFrame([("k", x) for x in (1.0, None, float("nan"), float("inf"))], "k string, v double")
     row = monitors.nan_incidents(odd, ["k"], "v").first()
@@ -114,6 +123,9 @@ def test_stage_gates(spark):
 def test_envelopes(spark):
     columns = {"target": "string", "latency_ms": "double", "memory_gb": "double", "decode_tokens_per_second": "double", "power_w": "double"}
     measured = config_table(spark, [("server-h100-vllm", 200.0, 81.0, 79.5, 900.0), ("edge-orin", 10.0, 1.0, 20.0, None)], columns)
+    silent = config_table(spark, [("edge-orin", None, 1.0, 20.0, None)], columns)
+    row = gates.envelope_check(gates.targets_table(spark), silent).filter("target = 'edge-orin'").first()
+    assert (row.issues, row.passed) == ("latency_ms was not measured", False)
     out = {r.target: r for r in gates.envelope_check(gates.targets_table(spark), measured).collect()}
     assert out["server-h100-vllm"].issues == (
         "latency_ms 200.0 exceeds 180.0; memory_gb 81.0 exceeds 80.0; decode_tokens_per_second 79.5 below 80.0"
@@ -169,8 +181,8 @@ def test_spike_state_over_batches_of_ordered_time(spark, tmp_path):
     for part in range(4):
         df.filter((F.col("i") >= part * 30) & (F.col("i") < (part + 1) * 30)).coalesce(1).write.mode("append").parquet(folder)
     stream = stream_files(spark, folder, "*.parquet", "ts", files_per_batch=1)
-    live = stream_spike_state(stream, ["k"], ["ts", "i"], "v", hour, str(tmp_path / "state"), rows=5)
-    batch = monitors.loss_spike_ratio(df, ["k"], ["ts", "i"], "v", hour(), rows=5)
+    live = stream_spike_state(stream, ["k"], ["ts", "i"], "v", str(tmp_path / "state"), rows=5)
+    batch = monitors.loss_spike_ratio(df, ["k"], ["ts", "i"], "v", rows=5)
     pick = lambda d: {r.i: (r.ratio and round(r.ratio, 9), r.spike) for r in d.collect()}
     assert pick(live) == pick(batch)
     assert len(list((tmp_path / "state" / "ratios").glob("batch=*"))) == 4

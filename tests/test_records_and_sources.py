@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.variant import text_of
 from tallyforge.operators.evaluate import join_predictions
-from tallyforge.operators.records import byte_tokenize, conversation_to_text, map_prediction, map_record_text
+from tallyforge.operators.records import byte_tokenize, conversation_lines, conversation_to_text, map_prediction, map_record_text
 from tallyforge.operators.suite import Benchmark
 from tallyforge.sources import (
     file_manifest,
@@ -74,12 +74,14 @@ def test_byte_tokenize(spark):
     assert [r.labels for r in rows] == [[-100 if t == 0 else t for t in encode(w, 8)] for w in words]
 
 
-def test_long_conversation_is_split_and_whole(spark):
-    turns = [("c", i, "user" if i % 2 == 0 else None, f"t{i}") for i in range(25)] + [("d", 0, "assistant", "x")]
+def test_conversations_are_one_row_each_at_any_length(spark):
+    turns = [("c", i, "user" if i % 2 == 0 else None, f"t{i}") for i in range(5000)] + [("d", 0, "assistant", "x")]
     df = spark.createDataFrame(turns, "conv_id string, turn long, role string, text string")
-    rows = conversation_to_text(df, segment_turns=10).orderBy("conv_id", "segment").collect()
-    assert [(r.conv_id, r.segment, r.turns) for r in rows] == [("c", 0, 10), ("c", 1, 10), ("c", 2, 5), ("d", 0, 1)]
-    assert "\n".join(r.text for r in rows[:3]) == "\n".join(f"user: t{i}" for i in range(25))
+    rows = conversation_to_text(df).orderBy("conv_id").collect()
+    assert [(r.conv_id, r.turns) for r in rows] == [("c", 5000), ("d", 1)]
+    assert rows[0].text == "\n".join(f"user: t{i}" for i in range(5000))
+    lines = conversation_lines(df).filter("conv_id = 'd'").collect()
+    assert [(r.turn, r.line) for r in lines] == [(0, "assistant: x")]
 
 
 def test_map_prediction(spark):
