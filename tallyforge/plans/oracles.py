@@ -216,6 +216,7 @@ ORACLES["read_eval_samples"] = digest(
 SELECT 'doc-' || doc_id AS id, 'core_en' AS benchmark, source AS dataset, text AS prompt, lang AS reference
   FROM documents WHERE lang = 'en'
 UNION ALL SELECT 'doc-' || doc_id, 'core_fr', source, text, lang FROM documents WHERE lang = 'fr'
+UNION ALL SELECT 'doc-' || doc_id, 'Core, German +1', source, text, lang FROM documents WHERE lang = 'de'
 UNION ALL SELECT 'doc-' || doc_id, 'by_dataset', source, text, lang FROM documents WHERE source IN ('src1', 'src2')
 UNION ALL SELECT 'empty_one-generated-0', 'Empty One', 'nowhere', 'Generated smoke sample for Empty One', 'yes'""",
 )

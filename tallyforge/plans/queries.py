@@ -137,9 +137,12 @@ def _(spark, sf):
             F.col("lang").alias("answer"),
         )
     )
-    stem = F.when(F.col("lang") == "en", "core_en.jsonl").otherwise("mixed.jsonl")
-    docs.select(stem.alias("file"), body.alias("value")).write.partitionBy("file").text(folder)
+    stem = F.when(F.col("lang") == "en", "core_en.jsonl").when(F.col("lang") == "de", "Core, German +1.jsonl")
+    docs.select(stem.otherwise("mixed.jsonl").alias("file"), body.alias("value")).write.partitionBy("file").text(folder)
+    # A file that is not JSON Lines lies among them.
+    docs.select(F.concat(F.lit("# "), "source").alias("value")).write.text(f"{folder}/file=README.md")
     suite = [
+        Benchmark("Core, German +1", "languages"),
         Benchmark("core_en", "general"),
         Benchmark("core_fr", "reasoning"),
         Benchmark("by_dataset", "reasoning", ("src1", "src2")),

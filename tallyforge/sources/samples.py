@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import json
-import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.functions.text import safe_name
 from tallyforge.functions.variant import first_truthy, kind, text_of
 from tallyforge.operators.records import map_prompt_reference
 from tallyforge.operators.suite import Benchmark
-from tallyforge.session import config_table
+from tallyforge.session import config_table, settled
 from tallyforge.sources.lines import numbered_lines
 
-# The payload that stands in for a benchmark without samples.
+# The payload that stands in for a benchmark without samples, its id and its prompt.
+GENERATED_ID, GENERATED_PROMPT = "-generated-0", "Generated smoke sample for "
 GENERATED_PAYLOAD = {
     "answer": "yes",
     "prediction": "yes",
@@ -44,10 +45,6 @@ GENERATED_PAYLOAD = {
 }
 
 
-def _plain_name(name: str) -> str:
-    return re.sub(r"[^A-Za-z0-9_.-]+", "_", name).strip("_").lower()
-
-
 def sample_from_payload(df: DataFrame, fallback: Column, index: Column) -> DataFrame:
     """Adds id, benchmark, dataset, prompt and reference to rows with a ``payload``."""
     return map_prompt_reference(
@@ -63,26 +60,22 @@ def sample_from_payload(df: DataFrame, fallback: Column, index: Column) -> DataF
 
 
 def _generated(spark: SparkSession, suite: list[Benchmark]) -> DataFrame:
-    rows = [
-        (
-            b.name,
-            json.dumps(
-                {
-                    "id": f"{_plain_name(b.name)}-generated-0",
-                    "benchmark": b.name,
-                    "dataset": b.datasets[0] if b.datasets else b.name,
-                    "prompt": f"Generated smoke sample for {b.name}",
-                    **GENERATED_PAYLOAD,
-                }
-            ),
+    """One row per benchmark: its generated sample as JSON."""
+    rows = [(b.name, b.datasets[0] if b.datasets else b.name, json.dumps(GENERATED_PAYLOAD)) for b in suite]
+    listed = config_table(spark, rows, {"suite_benchmark": "string", "dataset": "string", "json": "string"})
+    name = F.col("suite_benchmark")
+    own = F.to_json(
+        F.struct(
+            F.concat(safe_name(name), F.lit(GENERATED_ID)).alias("id"),
+            name.alias("benchmark"),
+            "dataset",
+            F.concat(F.lit(GENERATED_PROMPT), name).alias("prompt"),
         )
-        for b in suite
-    ]
-    return config_table(spark, rows, {"suite_benchmark": "string", "json": "string"}).select(
-        "suite_benchmark",
-        F.col("suite_benchmark").alias("fallback"),
-        F.lit(0).cast("long").alias("line_index"),
-        F.parse_json("json").alias("payload"),
+    )
+    # Two objects become one: the first without its closing brace, the second without its opening one.
+    whole = F.concat(F.substring(own, F.lit(1), F.length(own) - 1), F.lit(","), F.substring("json", 2, 1_000_000))
+    return listed.select(
+        "suite_benchmark", name.alias("fallback"), F.lit(0).cast("long").alias("line_index"), whole.alias("value")
     )
 
 
@@ -100,24 +93,24 @@ def _lookup(pairs: list[tuple[str, str]], key: Column) -> Column:
     return F.coalesce(F.try_element_at(table, key), none)
 
 
+def _with_payload(rows: DataFrame) -> DataFrame:
+    """Adds ``payload``: the object a line holds, or what else it holds as prompt and answer."""
+    wrapped = f"to_variant_object(struct({text_of('_json')} AS prompt, {text_of('_json')} AS answer))"
+    payload = F.expr(f"CASE WHEN {kind('_json')} = 'OBJECT' THEN _json ELSE {wrapped} END")
+    return rows.withColumn("_json", F.parse_json("value")).withColumn("payload", payload).drop("_json")
+
+
 def read_eval_samples(spark: SparkSession, path: str, suite: list[Benchmark]) -> DataFrame:
     """``id, benchmark, dataset, prompt, reference, payload`` for each benchmark of the suite.
 
     Files named after a benchmark or its dimension come first. A benchmark without
     such a file takes the samples that name it, or one of its datasets, in any file;
-    one that has none either gets a generated sample.
+    one that has none either gets a generated sample. Files other than JSON Lines
+    are passed over. The lines that some benchmark may take are written once below
+    the shared folder, so the files are read twice: to count and to match.
     """
     lines = numbered_lines(spark, path).filter(F.trim("value") != "")
-    wrapped = f"to_variant_object(struct({text_of('_json')} AS prompt, {text_of('_json')} AS answer))"
-    parsed = lines.select(
-        "stem", "line_index", F.parse_json("value").alias("_json")
-    ).withColumn("payload", F.expr(f"CASE WHEN {kind('_json')} = 'OBJECT' THEN _json ELSE {wrapped} END"))
-
-    by_stem = [
-        (stem, b.name)
-        for b in suite
-        for stem in (b.name, _plain_name(b.name), b.dimension, _plain_name(b.dimension))
-    ]
+    parsed = _with_payload(lines)
     by_name = [(b.name, b.name) for b in suite]
     by_dataset = [(dataset, b.name) for b in suite for dataset in b.datasets]
     own = F.coalesce(F.expr(first_truthy("payload", ("benchmark",))), F.col("stem"))
@@ -128,21 +121,28 @@ def read_eval_samples(spark: SparkSession, path: str, suite: list[Benchmark]) ->
             benchmarks, lambda b: F.struct(b.alias("suite_benchmark"), F.lit(rank).alias("rank"))
         )
 
-    direct = _lookup(by_stem, F.col("stem"))
+    stem = F.col("stem")
+    named = [
+        F.when(stem.isin(b.name, b.dimension) | (stem == safe_name(F.lit(b.name))) | (stem == safe_name(F.lit(b.dimension))), b.name)
+        for b in suite
+    ]
+    direct = F.array_compact(F.array(*named)) if suite else F.array().cast("array<string>")
     scanned = F.array_union(_lookup(by_name, own), _lookup(by_dataset, dataset))
     candidates = parsed.select(
-        "stem", "line_index", "payload", F.explode(F.concat(tagged(direct, 0), tagged(scanned, 1))).alias("c")
-    ).select("stem", "line_index", "payload", "c.suite_benchmark", "c.rank")
+        "stem", "line_index", "value", F.explode(F.concat(tagged(direct, 0), tagged(scanned, 1))).alias("c")
+    ).select("stem", "line_index", "value", "c.suite_benchmark", "c.rank")
+    candidates = settled(candidates, "sample-lines")
 
     # One row per benchmark of the suite says whether files matched by name.
     best = candidates.groupBy("suite_benchmark").agg(F.min("rank").alias("rank"))
     found = candidates.join(F.broadcast(best), ["suite_benchmark", "rank"])
     # A file picked by name gives its samples the benchmark's name as fallback, a scanned one its own.
     fallback = F.when(F.col("rank") == 0, F.col("suite_benchmark")).otherwise(F.col("stem"))
-    chosen = found.select("suite_benchmark", fallback.alias("fallback"), "line_index", "payload")
+    chosen = found.select("suite_benchmark", fallback.alias("fallback"), "line_index", "value")
     generated = _generated(spark, suite).join(best, "suite_benchmark", "left_anti")
 
-    samples = sample_from_payload(chosen.unionByName(generated), F.col("fallback"), F.col("line_index"))
+    rows = _with_payload(chosen.unionByName(generated))
+    samples = sample_from_payload(rows, F.col("fallback"), F.col("line_index"))
     return samples.select(
         "id", F.col("suite_benchmark").alias("benchmark"), "dataset", "prompt", "reference", "payload"
     )

@@ -3,6 +3,7 @@
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions.variant import text_of
@@ -165,6 +166,15 @@ def test_samples_by_file_name_dimension_scan_and_generation(spark, tmp_path):
     assert rows["nothing", "nothing-generated-0"].dataset == "ds"
 
 
+@pytest.mark.parametrize("name", ["Core One", "50% more", "a+b", "Übung 1", "c%20d", "plain"])
+def test_samples_of_files_with_odd_names_beside_other_files(spark, tmp_path, name):
+    (tmp_path / f"{name}.jsonl").write_text('{"id": "x", "prompt": "p", "answer": "a"}\n\n{"prompt": "q"}\n')
+    (tmp_path / "README.md").write_text("# no JSON\n")
+    (tmp_path / "notes.json").write_text("{broken")
+    samples = read_eval_samples(spark, str(tmp_path), [Benchmark(name, "dim")])
+    assert sorted(r.id for r in samples.collect()) == sorted(["x", f"{name}-000002"])
+
+
 def test_transcripts(spark, tmp_path):
     df = spark.createDataFrame(
         [("1", "My Bench", "d", "p", None), ("2", "My Bench", "d", "p", '"r"'), ("3", "b", "d", "p", "[1]")],
