@@ -623,23 +623,37 @@ i AS (
     CASE WHEN power_w > mp THEN 'power_w ' || power_w || ' exceeds ' || mp END) AS issues FROM j)
 SELECT *, issues = '' AS passed FROM i"""
 
+def envelope(target: str) -> str:
+    return f"(SELECT bool_and(passed) FROM ({ORACLES['envelope_check']}) WHERE target = '{target}')"
+
+
 ORACLES["release_gates"] = f"""
-WITH {SAMPLES}, {scores()}, {POOL}, {LEDGER},
+WITH {SAMPLES}, {scores()}, {card()}, {judged()}, {POOL}, {LEDGER},
 ev AS (
   SELECT summary.*, (SELECT bool_and(license NOT IN ('unknown', 'restricted')) FROM attrs) AS lic,
     (SELECT count(*) FROM events WHERE event_type IN ('error', 'signup')) AS nans,
-    (SELECT min(macro_average) >= 0.2 FROM ({macro('f')})) AS core FROM summary),
-v AS (
-  SELECT 'data_license_and_privacy_approved' AS gate, 'data-governance' AS owner, true AS evidence_present, lic AS passed FROM ev
-  UNION ALL SELECT 'data_scale_and_modalities_met', 'data-platform', true, total_size >= 2500 AND language_count >= 20
-    AND modalities = 'audio_speech,multimodal,pure_text,video_pretraining,vla' FROM ev
-  UNION ALL SELECT 'training_stability_met', 'training-platform', true, nans = 0 FROM ev
-  UNION ALL SELECT 'checkpoint_conversion_verified', 'model-platform', false, false
-  UNION ALL SELECT 'core_evaluation_passed', 'evaluation-platform', true, core FROM ev
-  UNION ALL SELECT 'multimodal_vla_evaluation_passed', 'evaluation-platform', false, false
-  UNION ALL SELECT 'audio_speech_evaluation_passed', 'evaluation-platform', false, false
-  UNION ALL SELECT 'deployment_envelope_passed', 'serving-platform', true, true
-  UNION ALL SELECT 'safety_and_governance_signoff', 'release', false, false)
+    (SELECT avg(CAST(props->>'$.k' AS BIGINT)) / 100 FROM events) AS gpu,
+    (SELECT bool_and(gate_passed) FROM judged) AS core,
+    (SELECT min(value) FROM card WHERE dimension = 'vla' AND metric = 'success_rate') AS vla,
+    {envelope('server-h100-vllm')} AS server, {envelope('edge-orin')} AS edge FROM summary),
+-- No operator measures redaction, conversion, agent tasks, audio scores or sign-off.
+absent AS (SELECT CAST(NULL AS BOOLEAN) AS flag, CAST(NULL AS DOUBLE) AS amount),
+held AS (
+  SELECT 'data_license_and_privacy_approved' AS gate, 'data-governance' AS owner, lic AND flag AS holds,
+    lic IS NOT NULL AND flag IS NOT NULL AS evidence_present FROM ev, absent
+  UNION ALL SELECT 'data_scale_and_modalities_met', 'data-platform', total_size / 1e12 >= 2500 AND language_count >= 20
+    AND len(list_filter(['pure_text', 'multimodal', 'video_pretraining', 'audio_speech', 'vla'],
+      lambda m: NOT list_contains(string_split(modalities, ','), m))) = 0,
+    total_size IS NOT NULL AND language_count IS NOT NULL AND modalities IS NOT NULL FROM ev
+  UNION ALL SELECT 'training_stability_met', 'training-platform', nans = 0 AND gpu >= 0.88, nans IS NOT NULL AND gpu IS NOT NULL FROM ev
+  UNION ALL SELECT 'checkpoint_conversion_verified', 'model-platform', flag, flag IS NOT NULL FROM absent
+  UNION ALL SELECT 'core_evaluation_passed', 'evaluation-platform', core, core IS NOT NULL FROM ev
+  UNION ALL SELECT 'multimodal_vla_evaluation_passed', 'evaluation-platform', vla >= 0.58 AND amount >= 0.5,
+    vla IS NOT NULL AND amount IS NOT NULL FROM ev, absent
+  UNION ALL SELECT 'audio_speech_evaluation_passed', 'evaluation-platform', flag, flag IS NOT NULL FROM absent
+  UNION ALL SELECT 'deployment_envelope_passed', 'serving-platform', server AND edge, server IS NOT NULL AND edge IS NOT NULL FROM ev
+  UNION ALL SELECT 'safety_and_governance_signoff', 'release', flag, flag IS NOT NULL FROM absent),
+v AS (SELECT gate, owner, evidence_present, evidence_present AND coalesce(holds, false) AS passed FROM held)
 SELECT *, NOT passed AS blocked FROM v"""
 
 ORACLES["run_ledger"] = """
