@@ -53,30 +53,55 @@ def _signatures(lines: DataFrame) -> DataFrame:
     return hashed.groupBy("h").agg(*minima)
 
 
-def _candidates(signatures: DataFrame) -> DataFrame:
-    """``band``, ``rep``, ``h``: each line of a band's bucket against the bucket's representative."""
-    bands = F.array(
-        *[
-            F.xxhash64(F.lit(b), *[f"m{b * BAND_ROWS + r}" for r in range(BAND_ROWS)])
-            for b in range(BANDS)
-        ]
-    )
-    rows = signatures.select("h", F.explode(bands).alias("band"))
+def _bands(signatures: DataFrame) -> DataFrame:
+    """``h`` and the keys of its bands, which tell the bands apart too."""
+    keys = [F.xxhash64(F.lit(b), *[f"m{b * BAND_ROWS + r}" for r in range(BAND_ROWS)]) for b in range(BANDS)]
+    return signatures.select("h", F.array(*keys).alias("bands"))
+
+
+def _star(rows: DataFrame) -> DataFrame:
+    """``band``, ``rep``, ``h``: each line of a bucket against the bucket's representative, its smallest line."""
     least = F.min("h").over(Window.partitionBy("band"))
     return rows.select("band", least.alias("rep"), "h").where("rep <> h")
 
 
+def _candidates(bands: DataFrame) -> DataFrame:
+    return _star(bands.select("h", F.explode("bands").alias("band")))
+
+
+def _finer(rest: DataFrame, star: DataFrame, bands: DataFrame) -> DataFrame:
+    """Stars of finer buckets, which share a second band as well, within the buckets that have odd lines.
+
+    Lines that are alike share several bands, so they meet again in some finer
+    bucket, and mostly without the lines that were in the way. Each line is in
+    as many finer buckets as there are other bands, however large a bucket is.
+    """
+    mixed = star.join(rest.select("band").distinct(), "band")
+    members = mixed.select("band", "h").union(mixed.select("band", F.col("rep").alias("h"))).distinct()
+    second = members.join(bands, "h").select("h", F.col("band").alias("one"), F.explode("bands").alias("two"))
+    pairs = second.where("one <> two").select("h", F.xxhash64(F.least("one", "two"), F.greatest("one", "two")).alias("band"))
+    return _star(pairs.distinct())
+
+
+def _pieces(text: Column, size: int) -> Column:
+    """Pieces that begin every ``size`` characters and overlap by a shingle less one character."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - SHINGLE + 1, F.lit(1)), F.lit(size))
+    return F.transform(starts, lambda p: F.substring(text, p, F.lit(size + SHINGLE - 1)))
+
+
 def _shingles(line: Column) -> Column:
-    """All shingles of a line in chunks, so that long lines are not walked from the start for each."""
-    n, chunk = F.length(line), 256
+    """Hashes (64 bits) of all shingles of a line, each once.
+
+    A character is found by walking from the start, so the line is cut into
+    pieces, and those again, before shingles are taken.
+    """
 
     def within(part: Column) -> Column:
         last = F.greatest(F.length(part) - SHINGLE + 1, F.lit(1))
-        return F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(part, i, F.lit(SHINGLE)))
+        return F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(part, i, F.lit(SHINGLE))))
 
-    starts = F.sequence(F.lit(1), F.greatest(n - SHINGLE + 1, F.lit(1)), F.lit(chunk))
-    parts = F.transform(starts, lambda p: F.substring(line, p, F.lit(chunk + SHINGLE - 1)))
-    return F.array_distinct(F.flatten(F.transform(parts, within)))
+    small = F.flatten(F.transform(_pieces(line, 4096), lambda part: _pieces(part, 32)))
+    return F.array_distinct(F.flatten(F.transform(small, within)))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -98,27 +123,21 @@ def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
 def _links(lines: DataFrame) -> DataFrame:
     """Verified links ``a``, ``b`` between the hashes of different lines.
 
-    In each bucket all lines are compared with its representative. Lines that
-    are not alike to it are compared with every other line of their bucket, so
-    that no link inside a bucket is missed, while a bucket of alike lines
-    costs one comparison each.
+    In each bucket all lines are compared with its representative. Where some
+    are not alike to it, the bucket is cut into finer ones and those are
+    compared in the same way. The work grows with the lines, not with the pairs
+    of a bucket.
     """
-    star = settle(_candidates(_signatures(lines)), "lines-star")
+    bands = settle(_bands(_signatures(lines)), "lines-bands")
+    star = settle(_candidates(bands), "lines-star")
     wanted = settle(star.select("h").union(star.select("rep")).distinct(), "lines-wanted")
     texts = settle(_texts(lines, wanted), "lines-texts")
     first = star.select(F.col("rep").alias("a"), F.col("h").alias("b")).distinct()
     alike = settle(_verified(first, texts), "lines-alike")
     done = alike.select(F.col("a").alias("rep"), F.col("b").alias("h"))
     rest = star.join(done, ["rep", "h"], "left_anti")
-    members = star.select("band", "h").union(star.select("band", "rep")).distinct()
-    second = (
-        rest.select("band", F.col("h").alias("odd"))
-        .join(members, "band")
-        .where("odd <> h")
-        .select(F.least("odd", "h").alias("a"), F.greatest("odd", "h").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
+    finer = _finer(rest, star, bands).select(F.col("rep").alias("a"), F.col("h").alias("b")).distinct()
+    second = finer.join(first, ["a", "b"], "left_anti")
     return alike.union(settle(_verified(second, texts), "lines-alike"))
 
 
