@@ -85,12 +85,22 @@ def reward_advantage(rollouts: DataFrame, batch: str = "batch") -> DataFrame:
     )
 
 
-def rollout_monitor(rollouts: DataFrame, group: str) -> DataFrame:
-    """Rollouts and mean reward per group, for the reward gate."""
+def rollout_monitor(rollouts: DataFrame, group: str, response: str = "response") -> DataFrame:
+    """Rollouts, mean reward and response lengths in characters per group, for the reward gate and the length monitor.
+
+    A missing response has no length; percentiles are exact, over the distinct lengths of a group.
+    """
+    length = F.length(response)
     return (
         rollouts.withColumn("reward_value", reward(F.col("reward"), F.col("success")))
         .groupBy(group)
-        .agg(F.count(F.lit(1)).alias("rollouts"), F.round(F.avg("reward_value"), 6).alias("mean_reward"))
+        .agg(
+            F.count(F.lit(1)).alias("rollouts"),
+            F.round(F.avg("reward_value"), 6).alias("mean_reward"),
+            F.round(F.avg(length), 6).alias("mean_length"),
+            F.round(F.percentile(length, 0.5), 6).alias("median_length"),
+            F.round(F.percentile(length, 0.95), 6).alias("p95_length"),
+        )
     )
 
 

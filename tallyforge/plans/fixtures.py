@@ -249,6 +249,7 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "role",
         F.expr("CASE WHEN (conv_id + turn) % 3 <> 0 THEN CAST(length(text) AS DOUBLE) / 1000 END").alias("reward"),
         F.expr("CASE WHEN role <> 'system' THEN length(text) > 200 END").alias("success"),
+        F.col("text").alias("response"),
     )
 
 

@@ -519,7 +519,7 @@ FROM card a JOIN card2 b ON a.benchmark = b.benchmark AND a.metric = b.metric"""
 # --- rewards, monitors, gates, ledgers -------------------------------------------------------
 
 REWARDS = """r AS (
-  SELECT conv_id, turn, role, coalesce(CASE WHEN (conv_id + turn) % 3 <> 0 THEN CAST(length(text) AS DOUBLE) / 1000 END,
+  SELECT conv_id, turn, role, length(text) AS n, coalesce(CASE WHEN (conv_id + turn) % 3 <> 0 THEN CAST(length(text) AS DOUBLE) / 1000 END,
     CASE WHEN coalesce(CASE WHEN role <> 'system' THEN length(text) > 200 END, true) THEN 1.0 ELSE 0.0 END) AS reward_value
   FROM conversations)"""
 
@@ -529,7 +529,9 @@ SELECT conv_id, turn, round(reward_value, 6) AS reward_value,
   round(reward_value - avg(reward_value) OVER (PARTITION BY conv_id), 6) AS advantage FROM r"""
 
 ORACLES["rollout_monitor"] = f"""
-WITH {REWARDS} SELECT role, count(*) AS rollouts, round(avg(reward_value), 6) AS mean_reward FROM r GROUP BY role"""
+WITH {REWARDS} SELECT role, count(*) AS rollouts, round(avg(reward_value), 6) AS mean_reward,
+  round(avg(n), 6) AS mean_length, round(CAST(quantile_cont(n, 0.5) AS DOUBLE), 6) AS median_length,
+  round(CAST(quantile_cont(n, 0.95) AS DOUBLE), 6) AS p95_length FROM r GROUP BY role"""
 
 ORACLES["token_accounting"] = """
 SELECT event_id, event_type, CAST(props->>'$.k' AS BIGINT) AS tokens,
@@ -691,3 +693,12 @@ b AS (SELECT arrival, max(newest) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED
 r AS (SELECT event_type, CASE WHEN coalesce(ts < seen - INTERVAL 1 HOUR, false) THEN 'late' ELSE 'timely' END AS route
   FROM a JOIN b USING (arrival))
 SELECT route, event_type, count(*) AS rows FROM r GROUP BY ALL"""
+
+ORACLES["stream_sessions"] = """
+WITH e AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 30 MINUTE, true) AS opens FROM events
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+n AS (SELECT user_id, ts, sum(CAST(opens AS INT)) OVER (PARTITION BY user_id ORDER BY ts
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS number FROM e),
+s AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 30 MINUTE AS b, count(*) AS events FROM n GROUP BY user_id, number)
+SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS session_start, strftime(b, '%Y-%m-%d %H:%M:%S') AS session_end, events
+FROM s WHERE b <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""

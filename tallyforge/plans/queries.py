@@ -21,7 +21,7 @@ from tallyforge.sources import (
     read_predictions,
     write_transcripts,
 )
-from tallyforge.streaming import split_late_rows, stream_files, stream_spike_state, stream_window_alerts
+from tallyforge.streaming import split_late_rows, stream_files, stream_sessions, stream_spike_state, stream_window_alerts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -765,6 +765,14 @@ def _(spark, sf):
     return judged.select("event_id", "user_id", F.round("ratio", 6).alias("ratio"), "spike")
 
 
+@query("stream_sessions")
+def _(spark, sf):
+    """Sessions that the watermark has closed by the end of the table."""
+    sessions = stream_sessions(event_stream(spark, sf), "ts", "user_id", shared_dir(spark, "sessions"))
+    shown = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("session_start", "session_end")]
+    return sessions.select("user_id", *shown, "events")
+
+
 @query("stream_late_audit")
 def _(spark, sf):
     """Events arrive in five lots over the whole time, so each later lot holds rows of the past."""

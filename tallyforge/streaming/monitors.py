@@ -79,6 +79,30 @@ def stream_window_alerts(
     return alert_rules(long, rules)
 
 
+def stream_sessions(
+    events: DataFrame, ts: str, key: str, folder: str, gap: str = "30 minutes", watermark: str = "1 hour"
+) -> DataFrame:
+    """``key, session_start, session_end, events`` of sessions that end ``gap`` after their last event.
+
+    A session is written once, when the watermark has passed its end, and its
+    state is dropped then. Sessions that are still open come with later events.
+    """
+    sessions = (
+        events.withWatermark(ts, watermark)
+        .groupBy(key, F.session_window(ts, gap))
+        .agg(F.count(F.lit(1)).alias("events"))
+        .select(
+            key,
+            F.col("session_window.start").alias("session_start"),
+            F.col("session_window.end").alias("session_end"),
+            "events",
+        )
+    )
+    out = f"{folder}/sessions"
+    _drain(sessions, "append", folder, lambda rows, batch_id: _write(rows, out, batch_id))
+    return events.sparkSession.read.parquet(out).drop("batch")
+
+
 def stream_spike_state(
     steps: DataFrame,
     keys: list[str],
