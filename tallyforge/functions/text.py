@@ -63,3 +63,30 @@ def digest_prefix(text: Column, length: int) -> Column:
 def compact_text_hash(text: Column) -> Column:
     """Hash under which two texts count as copies: case and white space ignored."""
     return F.md5(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")))
+
+
+def char_error_rate(reference: Column, answer: Column) -> Column:
+    """Edits from reference to answer per character of the reference; an empty reference counts as one character."""
+    return F.levenshtein(reference, answer) / F.greatest(F.length(reference), F.lit(1))
+
+
+def word_error_rate(reference: Column, answer: Column) -> Column:
+    """Edits in words per word of the reference; words are runs between blanks, an empty reference counts as one word.
+
+    Each distinct word of the two is written as one character, so that the
+    built-in edit distance counts words.
+    """
+
+    def words(text: Column) -> Column:
+        return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+    known = F.array_distinct(F.concat(words(reference), words(answer)))
+
+    def written(text: Column) -> Column:
+        def sign(word: Column) -> Column:
+            number = F.hex(F.array_position(known, word) + 0x10000)
+            return F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32")
+
+        return F.array_join(F.transform(words(text), sign), "")
+
+    return F.levenshtein(written(reference), written(answer)) / F.greatest(F.size(words(reference)), F.lit(1))

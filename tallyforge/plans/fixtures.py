@@ -266,3 +266,12 @@ def step_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
             "CASE event_type WHEN 'error' THEN CAST('NaN' AS DOUBLE) WHEN 'signup' THEN NULL ELSE value END"
         ).alias("loss"),
     )
+
+
+def transcript_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark text, and an answer without every fifth word and with every seventh one twice."""
+    words = "split(text, ' ')"
+    heard = f"transform({words}, (w, i) -> CASE WHEN i % 5 = 4 THEN '' WHEN i % 7 = 6 THEN concat(w, ' ', w) ELSE w END)"
+    return table(spark, sf_dir, "benchmark").select(
+        "item_id", F.col("text").alias("reference"), F.expr(f"array_join(filter({heard}, w -> w <> ''), ' ')").alias("answer")
+    )

@@ -702,3 +702,22 @@ n AS (SELECT user_id, ts, sum(CAST(opens AS INT)) OVER (PARTITION BY user_id ORD
 s AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 30 MINUTE AS b, count(*) AS events FROM n GROUP BY user_id, number)
 SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS session_start, strftime(b, '%Y-%m-%d %H:%M:%S') AS session_end, events
 FROM s WHERE b <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+
+# The twin's edit distance counts bytes, so every distinct unit of a pair is written as one byte.
+HEARD = r"""pairs AS (SELECT item_id, string_split(text, ' ') AS words, text FROM benchmark),
+heard AS (SELECT item_id, text, array_to_string(list_filter(list_transform(words, lambda w, i:
+  CASE WHEN i % 5 = 0 THEN '' WHEN i % 7 = 0 THEN w || ' ' || w ELSE w END), lambda w: w <> ''), ' ') AS answer FROM pairs)"""
+
+
+def error_rate(name: str, units: str) -> str:
+    def written(column: str) -> str:
+        return f"array_to_string(list_transform({column}, lambda u: chr(CAST(list_position(k, u) AS INT))), '')"
+
+    return f"""
+WITH {HEARD}, u AS (SELECT item_id, {units.format('text')} AS a, {units.format('answer')} AS b FROM heard),
+n AS (SELECT item_id, a, b, list_distinct(list_concat(a, b)) AS k FROM u)
+SELECT item_id, round(CAST(levenshtein({written('a')}, {written('b')}) AS DOUBLE) / greatest(len(a), 1), 6) AS {name} FROM n"""
+
+
+ORACLES["word_error_rate"] = error_rate("wer", r"list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> '')")
+ORACLES["char_error_rate"] = error_rate("cer", "string_split({0}, '')")

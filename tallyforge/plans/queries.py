@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.functions.text import char_error_rate, word_error_rate
 from tallyforge.functions.variant import text_of
 from tallyforge.operators import catalog, corpus, evaluate, gates, monitors, ranking, records
 from tallyforge.operators.suite import Benchmark, benchmarks_table, gates_table
@@ -568,6 +569,18 @@ def _(spark, sf):
     return evaluate.compare_runs(answers_scorecard(spark, sf), candidate)
 
 
+@query("word_error_rate")
+def _(spark, sf):
+    rate = word_error_rate(F.col("reference"), F.col("answer"))
+    return fx.transcript_pairs(spark, sf).select("item_id", F.round(rate, 6).alias("wer"))
+
+
+@query("char_error_rate")
+def _(spark, sf):
+    rate = char_error_rate(F.col("reference"), F.col("answer"))
+    return fx.transcript_pairs(spark, sf).select("item_id", F.round(rate, 6).alias("cer"))
+
+
 # --- rewards, monitors, gates, ledgers -------------------------------------------------------
 
 

@@ -127,3 +127,12 @@ def test_small_helpers(spark):
     assert row.digest == "2d711642b726"
     assert (row.low, row.high, row.listed, row.scored) == ("wer<=0.18", "min_wer>=0.18", "cost_per_success>=2.0", True)
     assert (row.share, row.empty, row.no_words) == ("12.5%", 0.0, 0)
+
+
+def test_error_rates(spark):
+    from tallyforge.functions.text import char_error_rate, word_error_rate
+
+    rows = [("a b c d", "a x c"), ("", ""), ("", "x y"), ("é b", "e b"), ("a  b", "a b"), (None, "x")]
+    df = spark.createDataFrame(rows, "r string, h string")
+    out = df.select(word_error_rate(df.r, df.h), char_error_rate(df.r, df.h)).collect()
+    assert [tuple(r) for r in out] == [(0.5, 3 / 7), (0.0, 0.0), (2.0, 3.0), (0.5, 1 / 3), (0.0, 0.25), (None, None)]
