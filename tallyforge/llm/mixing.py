@@ -14,7 +14,7 @@ from tallyforge.llm.common import own_name, settle, word_count
 #: A document is taken this often at most.
 MAX_COPIES = 3
 #: Units in a leaf of the reduction tree, and residuals in an inner node.
-LEAF_UNITS = 20_000
+LEAF_UNITS = 4_000
 FAN_IN = 256
 
 
