@@ -44,10 +44,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once below the shared folder and read back, so that later passes see the same rows."""
+    """``df`` written once below the shared folder and read back.
+
+    Later passes see the same rows, and lineage is cut without tying the rows to
+    the executors that made them.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
