@@ -153,9 +153,9 @@ def nearest(
     is indexed. Lists are searched in parts of bounded size.
 
     Rows without an id or with an invalid vector (see ``valid``) take no part,
-    nor do vectors of another length than the most frequent one. Repeated ids
-    are rows of their own. With fewer than ``k`` others all are returned;
-    an empty table gives no rows.
+    nor do vectors of another length than the most frequent one. Rows that
+    repeat an id are all searched, and ask as one query. With fewer than ``k``
+    others all are returned; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select(

@@ -5,23 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.session import shared_dir
+from tallyforge.session import settled as settle
 
 #: Code points that end a word; every other code point belongs to one.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once below the shared folder and read back.
-
-    This cuts lineage without tying the rows to the executors that made them.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def word_count(text):
     """Number of words; null texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

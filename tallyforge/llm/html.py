@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: What a region pays to go on behind an element that is dropped.
+DROPPED_COST = 2.0
 #: Bound of the training sample: pages that mark their content themselves, in the order of their hashes.
 SAMPLE_PAGES = 2_000
 
@@ -52,7 +54,11 @@ MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 
 @dataclass
 class Item:
-    """A text or tag of a page; ``inside``: within a content element, ``dropped``: within boilerplate by name."""
+    """A text or tag of a page.
+
+    ``inside``: within a content element; ``dropped``: in or of an element that
+    is boilerplate by name; ``edge``: the tag that opens such an element.
+    """
 
     key: str
     text: str = ""
@@ -60,6 +66,7 @@ class Item:
     block: bool = False
     inside: bool = False
     dropped: bool = False
+    edge: bool = False
 
 
 @dataclass
@@ -69,7 +76,12 @@ class Weights:
     seen: dict[str, float] = field(default_factory=dict)
 
     def of(self, item: Item) -> float:
-        """Words score above zero, the more so in elements that hold content; tags below, the more so outside it."""
+        """Words score above zero, the more so in elements that hold content; tags below, the more so outside it.
+
+        What is boilerplate by name goes anyway, so it costs as one tag, however much it holds.
+        """
+        if item.dropped:
+            return -DROPPED_COST if item.edge else 0.0
         share = self.seen.get(item.key)
         if share is None:
             share = 0.1 if _suspicious(item.key) else 0.9
@@ -103,7 +115,8 @@ def items_of(page: str) -> list[Item]:
         if not name:
             continue
         closing = bool(token["close"] or token["close2"])
-        suspect = False
+        suspect = edge = False
+        dropped = any(g for _, _, g, _ in stack)
         if closing:
             if any(n == name for n, *_ in stack):
                 while stack and stack.pop()[0] != name:
@@ -111,16 +124,19 @@ def items_of(page: str) -> list[Item]:
         else:
             while stack and name in ENDED_BY.get(stack[-1][0], ()):
                 stack.pop()
+            dropped = any(g for _, _, g, _ in stack)
             rest = token["rest"] or token["rest2"] or ""
             suspect = "=" in rest and any(SUSPECT.search(m[1] or m[2] or m[3] or "") for m in MARKS.finditer(rest))
             suspect = suspect and name not in {"html", "body", *CONTENT}
             inside = any(c for *_, c in stack)
             gone = name in DROPPED or suspect or (name == "header" and not inside)
             if name not in VOID and not rest.endswith("/"):
+                edge = gone and not dropped
                 stack.append((name, suspect, gone, name in CONTENT))
+            dropped = dropped or gone
         known = name if name in NAMES else "other"
         key = f"{'/' * closing}{known}{'!' * suspect}"
-        items.append(Item(key, block=name in BLOCKS, inside=any(c for *_, c in stack), dropped=False))
+        items.append(Item(key, block=name in BLOCKS, inside=any(c for *_, c in stack), dropped=dropped, edge=edge))
     if at < len(page):
         add_text(page[at:])
     return items

@@ -308,7 +308,6 @@ def identify(docs: DataFrame, model: Model, ranks: bytes, keep: list, text_col:
     when the model knows no language. Ties go to the language first in order.
     Repeated rows are predicted alike; no shuffle.
     """
-    found = predictions(model, ranks, docs.sparkSession)(F.col(text_col))
-    return docs.select(*keep, found.alias("found_language")).select(
-        *[F.col(f"`{c}`") if isinstance(c, str) else c for c in docs.select(*keep).columns], "found_language.*"
-    )
+    kept = docs.select(*keep).columns
+    found = predictions(model, ranks, docs.sparkSession)(F.col(text_col)).alias("found_language")
+    return docs.select(*keep, found).select(*[f"`{c}`" for c in kept], "found_language.*")

@@ -110,7 +110,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     hash); of identical rows one stays. Texts move once, to meet the slim list
     of winners.
     """
-    key, mark, win = (own_name(docs.columns, n) for n in ("text_key", "fingerprint", "winner"))
+    key, won_id, won_key = (own_name(docs.columns, n) for n in ("text_key", "winner_id", "winner_key"))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), text_col)
     marked = settle(rows.select("id", "key", fingerprint_of(F.col(text_col)).alias("fingerprint")), "simhash")
     distinct = settle(marked.select("fingerprint").distinct(), "simhash-distinct")
@@ -121,8 +121,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         least.join(roots, "fingerprint", "left")
         .groupBy(F.coalesce("root", "fingerprint"))
         .agg(F.min("place").alias("place"))
-        .select(F.col("place.id").alias(mark), F.col("place.key").alias(win))
+        .select(F.col("place.id").alias(won_id), F.col("place.key").alias(won_key))
     )
     keyed = docs.withColumn(key, F.xxhash64(text_col))
-    kept = keyed.join(winners, keyed[id_col].eqNullSafe(winners[mark]) & (keyed[key] == winners[win]), "left_semi")
+    kept = keyed.join(winners, keyed[id_col].eqNullSafe(winners[won_id]) & (keyed[key] == winners[won_key]), "left_semi")
     return kept.dropDuplicates([id_col, key]).select(*docs.columns)

@@ -187,6 +187,7 @@ def test_main_text_without_boilerplate():
     expected = "Title & more\nFirst part of it.\nSecond <b> pér ©\nThird one ends here."
     assert html.main_text(PAGE, html.Weights()) == expected
     assert html.main_text(PAGE.replace("article>", "div>"), html.Weights()) == expected
+    assert html.main_text(PAGE.replace("<nav>", "<div>Our slogan</div><nav>"), html.Weights()) == expected
 
 
 def test_pages_of_the_table_give_their_articles(spark):
