@@ -18,9 +18,9 @@ from tallyforge.llm.bpe import splitter
 #: Tokens of a packed row.
 ROW_TOKENS = 2048
 #: Tokens that a task gathers before it packs them; bounds its memory.
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 #: Distinct words whose ids a task remembers.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 150_000
 
 PACKED = (
     "ids binary, cu_seqlens array<int>, resets array<int>, n_tokens int, "
