@@ -20,6 +20,11 @@ ANCHORED = 7
 SPARSE = 16
 #: Up to so many candidate lines (a long each) are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_LINES = 2_000_000
+#: Up to so many odd lines meet all lines of their bucket; more are dealt by rare shingles first.
+FEW_ODD = 256
+#: Longs of parity bits a line, a power of two, and what sums of fractions may be off by.
+PARITIES = 8
+SLACK = 1e-6
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -69,20 +74,6 @@ def _candidates(bands: DataFrame) -> DataFrame:
     return _star(bands.select("h", F.explode("bands").alias("band")))
 
 
-def _finer(rest: DataFrame, star: DataFrame, bands: DataFrame) -> DataFrame:
-    """Stars of finer buckets, which share a second band as well, within the buckets that have odd lines.
-
-    Lines that are alike share several bands, so they meet again in some finer
-    bucket, and mostly without the lines that were in the way. Each line is in
-    as many finer buckets as there are other bands, however large a bucket is.
-    """
-    mixed = star.join(rest.select("band").distinct(), "band")
-    members = mixed.select("band", "h").union(mixed.select("band", F.col("rep").alias("h"))).distinct()
-    second = members.join(bands, "h").select("h", F.col("band").alias("one"), F.explode("bands").alias("two"))
-    pairs = second.where("one <> two").select("h", F.xxhash64(F.least("one", "two"), F.greatest("one", "two")).alias("band"))
-    return _star(pairs.distinct())
-
-
 def _pieces(text: Column, size: int) -> Column:
     """Pieces that begin every ``size`` characters and overlap by a shingle less one character."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(text) - SHINGLE + 1, F.lit(1)), F.lit(size))
@@ -120,25 +111,100 @@ def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return lines.select("h", "line").join(F.broadcast(wanted) if small else wanted, "h").dropDuplicates(["h"])
 
 
+def _mixed(star: DataFrame, rest: DataFrame, roots: DataFrame) -> DataFrame:
+    """``band``, ``h``, ``root``, ``odd`` and ``n_odd`` of all lines of buckets that hold several components.
+
+    Odd lines are those outside the bucket's largest component.
+    """
+    mixed = star.join(rest.select("band").distinct(), "band")
+    members = mixed.select("band", "h").union(mixed.select("band", F.col("rep").alias("h"))).distinct()
+    placed = members.join(roots.select(F.col("a").alias("h"), F.col("b").alias("root")), "h", "left")
+    placed = settle(placed.select("band", "h", F.coalesce("root", "h").alias("root")), "lines-placed")
+    groups = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
+    main = groups.groupBy("band").agg(F.max(F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("n_odd"))
+    odd = (F.col("root") != F.col("main.root")).alias("odd")
+    return placed.join(main.where("n_odd > 0"), "band").select("band", "h", "root", odd, "n_odd")
+
+
+def _measures(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``h``, the number ``n`` of a line's shingles, and the parities ``p0``... of their numbers by 512 hash values.
+
+    Two parities differ only where a shingle is in one line and not in the
+    other, so lines have at least as many shingles apart as parities.
+    """
+    rows = texts.join(wanted, "h").select("h", F.explode(_shingles(F.col("line"))).alias("s"))
+    bit = F.expr("shiftleft(1L, CAST(s & 63 AS INT))")
+    word = F.expr(f"shiftrightunsigned(s, 6) & {PARITIES - 1}")
+    parities = [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(PARITIES)]
+    return rows.groupBy("h").agg(F.count("*").alias("n"), *parities)
+
+
+def _met(left: DataFrame, right: DataFrame, on: list[str], *more: Column) -> DataFrame:
+    """Pairs ``a`` < ``b`` of other components with equal ``on`` that may be alike by size and parities."""
+    x, y = left.alias("x"), right.alias("y")
+    both = F.col("x.n") + F.col("y.n")
+    apart = sum((F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(PARITIES)), F.lit(0))
+    fits = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * SIMILARITY - SLACK
+    fits &= apart <= both * (1 - SIMILARITY) / (1 + SIMILARITY) + SLACK
+    keys = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on]
+    met = x.join(y, [*keys, F.col("x.root") != F.col("y.root"), *more, fits])
+    return met.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b"))
+
+
+def _prefixes(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """``members`` with a row for each shingle ``s`` of a line's prefix: its rarest ones in the bucket.
+
+    Of two lines of ``n`` shingles or fewer that are alike, the longer one's
+    rarest floor(0.2 n) + 1 and the shorter one's rarest floor(n / 9) + 1
+    (``short``) share one, as both are in the same order. Shingles that no
+    other line of the bucket has meet nobody and are left out.
+    """
+    cut = texts.join(members.select("h").distinct(), "h").select("h", F.explode(_shingles(F.col("line"))).alias("s"))
+    rows = settle(members.select("band", "h").join(cut, "h"), "lines-shingles")
+    counted = rows.groupBy("band", "s").agg(F.count("*").alias("f"))
+    place = F.row_number().over(Window.partitionBy("band", "h").orderBy("f", "s"))
+    ranked = rows.join(counted, ["band", "s"]).withColumn("place", place).where("f > 1").drop("f")
+    longest = F.floor(F.col("n") * (1 - SIMILARITY) + SLACK) + 1
+    short = F.col("place") <= F.floor(F.col("n") * (1 - SIMILARITY) / (1 + SIMILARITY) + SLACK) + 1
+    return ranked.join(members, ["band", "h"]).where(F.col("place") <= longest).withColumn("short", short).drop("place")
+
+
+def _rest_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """All pairs ``a``, ``b`` of mixed buckets that may be alike and are not known to be of one component.
+
+    Odd lines meet every line of their bucket, or, where they are many, every
+    line that shares a shingle of both prefixes. What is left out is not alike.
+    """
+    measured = settle(members.join(_measures(texts, members.select("h").distinct()), "h"), "lines-mixed")
+    few, many = measured.where(F.col("n_odd") <= FEW_ODD), measured.where(F.col("n_odd") > FEW_ODD)
+    pairs = _met(few.where("odd"), few, ["band"])
+    if not many.isEmpty():
+        keyed = settle(_prefixes(many, texts), "lines-prefixes")
+        shorter = F.expr("(x.n <= y.n AND x.short) OR (y.n <= x.n AND y.short)")
+        pairs = pairs.union(_met(keyed.where("odd"), keyed, ["band", "s"], shorter))
+    return pairs.distinct()
+
+
 def _links(lines: DataFrame) -> DataFrame:
-    """Verified links ``a``, ``b`` between the hashes of different lines.
+    """Links ``a``, ``b`` between the hashes of different lines, with the components of all verified pairs.
 
-    In each bucket all lines are compared with its representative. Where some
-    are not alike to it, the bucket is cut into finer ones and those are
-    compared in the same way. The work grows with the lines, not with the pairs
-    of a bucket.
+    In each bucket all lines are compared with its representative. Where that
+    leaves several components in a bucket, its odd lines are compared with
+    every other line of their bucket, so that no link inside a bucket is missed.
     """
-    bands = settle(_bands(_signatures(lines)), "lines-bands")
-    star = settle(_candidates(bands), "lines-star")
+    star = settle(_candidates(_bands(_signatures(lines))), "lines-star")
     wanted = settle(star.select("h").union(star.select("rep")).distinct(), "lines-wanted")
     texts = settle(_texts(lines, wanted), "lines-texts")
     first = star.select(F.col("rep").alias("a"), F.col("h").alias("b")).distinct()
     alike = settle(_verified(first, texts), "lines-alike")
     done = alike.select(F.col("a").alias("rep"), F.col("b").alias("h"))
-    rest = star.join(done, ["rep", "h"], "left_anti")
-    finer = _finer(rest, star, bands).select(F.col("rep").alias("a"), F.col("h").alias("b")).distinct()
-    second = finer.join(first, ["a", "b"], "left_anti")
-    return alike.union(settle(_verified(second, texts), "lines-alike"))
+    rest = settle(star.join(done, ["rep", "h"], "left_anti"), "lines-rest")
+    if rest.isEmpty():
+        return alike
+    known = components(alike, "lines").where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    known = settle(known, "lines-known")
+    second = _rest_pairs(_mixed(star, rest, known), texts).join(first, ["a", "b"], "left_anti")
+    return known.union(settle(_verified(second, texts), "lines-alike"))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -171,3 +171,34 @@ def test_recall_among_lines_that_share_a_passage(docs):
             expected.add(1000 + i)
     cut = {r["doc_id"] for r in lines.dedup_lines(docs(rows)).collect() if r["n_removed"]}
     assert cut <= expected and len(cut) >= 0.97 * len(expected)
+
+
+def links_of_one_bucket(spark, texts, monkeypatch):
+    """Links when all lines share one band, whose representative is the first."""
+    star = spark.createDataFrame([(1, 0, h) for h in range(1, len(texts))], "band bigint, rep bigint, h bigint")
+    monkeypatch.setattr(lines, "_signatures", lambda _: None)
+    monkeypatch.setattr(lines, "_bands", lambda _: None)
+    monkeypatch.setattr(lines, "_candidates", lambda _: star)
+    return {tuple(r) for r in lines._links(spark.createDataFrame(list(enumerate(texts)), "h bigint, line string")).collect()}
+
+
+def test_odd_members_of_a_bucket_are_compared_with_all(spark, monkeypatch):
+    texts = ["a" * 30 + "b" * 5, "the one line that is alike", "the one line that is alike!", "other"]
+    assert links_of_one_bucket(spark, texts, monkeypatch) == {(1, 2)}
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+@pytest.mark.parametrize("share", [0.80, 0.84, 0.88])
+def test_templates_of_thousands_of_lines_lose_no_link(spark, monkeypatch, few, share):
+    """Lines share most of their text and are unlike; each has an alike partner only at one edit."""
+    monkeypatch.setattr(lines, "FEW_ODD", few)
+    rng = random.Random(int(share * 100))
+    template, texts = words(rng, 50), []
+    own = round(len(template) * (1 - share) / share)
+    for i in range(1200):
+        line = f"{template} " + "".join(rng.choice("klmnopqrstuvwxyz") for _ in range(own))
+        texts += [line, "xy" + line[2:] + "z"] if i % 2 else [line]
+    expected = [(n, n + 1) for n, (a, b) in enumerate(zip(texts, texts[1:])) if jaccard(a, b) >= 0.8]
+    assert len(expected) >= 600
+    found = links_of_one_bucket(spark, texts, monkeypatch)
+    assert union_find(range(len(texts)), found) == union_find(range(len(texts)), expected)
