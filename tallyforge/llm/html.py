@@ -33,13 +33,18 @@ CONTENT = {"article", "main"}
 #: An open element ends where one of these begins inside it.
 ENDED_BY = {"p": BLOCKS - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 ENDED_BY |= {"td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}}
-SUSPECT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|popup|modal|cookies?|consent|notice|gdpr|"
+_SUSPECT = (
+    r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|popup|modal|cookies?|consent|notice|gdpr|"
     r"newsletter|subscribe|signup|login|sidebar|side|widget|nav\w*|menu|breadcrumbs?|pagination|pager|toolbar|"
     r"header|masthead|foot\w*|copyright|comments?|respond|replies|disqus|reactions|related|recommend\w*|share\w*|"
-    r"social|follow|tags?|meta|complementary|contentinfo|navigation|search)(?:$|[\s_-])",
-    re.I,
+    r"social|follow|tags?|meta|complementary|contentinfo|navigation|search)"
 )
+SUSPECT = re.compile(rf"(?:^|[\s_-]){_SUSPECT}(?:$|[\s_-])", re.I)
+#: A name of such words only, which names its element as a whole.
+WHOLE = re.compile(rf"(?:^|\s){_SUSPECT}(?:[_-]+{_SUSPECT})*(?:$|\s)", re.I)
+HEADER = re.compile(r"(?<![^\s_-])header(?![^\s_-])", re.I)
+#: Blocks of running text, which adjoin others of the element around them.
+RUNNING = set("address blockquote body br center h1 h2 h3 h4 h5 h6 head header hgroup hr html p pre".split())
 NAMES = VOID | BLOCKS | DROPPED | CONTENT | set("a abbr b bdi bdo cite code del dfn em i ins kbd mark q s samp small "
                                                 "span strong sub sup time u var".split())
 
@@ -52,12 +57,35 @@ TOKEN = re.compile(
 MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
+@dataclass(eq=False)
+class Element:
+    """An open or closed element: ``gone`` says why it may be boilerplate, ``dropped`` whether it goes.
+
+    ``home`` is the article or main around it, ``box`` the innermost element that is no running text.
+    """
+
+    name: str
+    parent: Element | None = None
+    suspect: bool = False
+    gone: str = ""
+    words: int = 0
+    holds: set[str] = field(default_factory=set)
+    dropped: bool = False
+
+    def __post_init__(self) -> None:
+        up = self.parent
+        self.home = self if self.name in CONTENT else up and up.home
+        self.box = self if up is None or self.name in BLOCKS - RUNNING else up.box
+        self.around = self if up is None or self.name in BLOCKS or self.name == "a" else up.around
+
+
 @dataclass
 class Item:
     """A text or tag of a page.
 
     ``inside``: within a content element; ``dropped``: in or of an element that
-    is boilerplate by name; ``edge``: the tag that opens such an element.
+    is boilerplate by name; ``edge``: the tag that opens such an element; ``at``:
+    the innermost element it is in.
     """
 
     key: str
@@ -67,6 +95,7 @@ class Item:
     inside: bool = False
     dropped: bool = False
     edge: bool = False
+    at: Element | None = None
 
 
 @dataclass
@@ -92,19 +121,49 @@ def _suspicious(key: str) -> bool:
     return key.endswith("!") or key.rstrip("!").split(":")[-1].strip("/") in DROPPED | {"header", "a", "li", "ul"}
 
 
+def _gone(name: str, marks: str, inside: bool) -> str:
+    """Why an element may be boilerplate: by its ``tag``, as a ``whole`` or in ``part`` by its names, or not at all."""
+    if name in {"html", "body", *CONTENT}:
+        return ""
+    if name in DROPPED - {"form"} or (name == "header" and not inside):
+        return "tag"
+    if WHOLE.search(marks) and not (inside and name == "header"):
+        return "whole"
+    if inside:
+        marks = HEADER.sub(" ", marks)
+    return "part" if name == "form" or SUSPECT.search(marks) else ""
+
+
+def _settle(elements: list[Element]) -> None:
+    """Decide which elements are dropped, parents before children.
+
+    None goes that holds main. A form, or an element that is named so only in
+    part, as a wrapper of the page may be, also stays when it holds an article
+    or most of the page's words.
+    """
+    for e in reversed(elements[1:]):
+        e.parent.words += e.words
+        e.parent.holds |= e.holds | ({e.name} & CONTENT)
+    for e in elements[1:]:
+        holds = "main" in e.holds or (e.gone == "part" and (e.holds or 2 * e.words > elements[0].words))
+        if holds:
+            e.suspect = False
+        e.dropped = e.parent.dropped or (bool(e.gone) and not holds)
+        e.suspect = e.suspect or e.parent.suspect
+
+
 def items_of(page: str) -> list[Item]:
     """Tags and texts of a page in order, with raw-text elements and comments left out."""
     items: list[Item] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, suspect, dropped, content
+    elements = [Element("body")]
+    stack = list(elements)
 
     def add_text(raw: str) -> None:
         text = html.unescape(raw) if "&" in raw else raw
         words = len(text.split())
         if text:
-            around = next(((n, s) for n, s, _, _ in reversed(stack) if n in BLOCKS or n == "a"), ("body", False))
-            suspect = any(s for _, s, _, _ in stack)
-            key = f"word:{around[0]}{'!' * suspect}"
-            items.append(Item(key, text, words, False, *(_state(stack))))
+            stack[-1].words += words
+            items.append(Item("", text, words, at=stack[-1]))
 
     at = 0
     for token in TOKEN.finditer(page):
@@ -115,38 +174,38 @@ def items_of(page: str) -> list[Item]:
         if not name:
             continue
         closing = bool(token["close"] or token["close2"])
-        suspect = edge = False
-        dropped = any(g for _, _, g, _ in stack)
+        known = f"{'/' * closing}{name if name in NAMES else 'other'}"
         if closing:
-            if any(n == name for n, *_ in stack):
-                while stack and stack.pop()[0] != name:
-                    pass
-        else:
-            while stack and name in ENDED_BY.get(stack[-1][0], ()):
-                stack.pop()
-            dropped = any(g for _, _, g, _ in stack)
-            rest = token["rest"] or token["rest2"] or ""
-            suspect = "=" in rest and any(SUSPECT.search(m[1] or m[2] or m[3] or "") for m in MARKS.finditer(rest))
-            suspect = suspect and name not in {"html", "body", *CONTENT}
-            inside = any(c for *_, c in stack)
-            gone = name in DROPPED or suspect or (name == "header" and not inside)
-            if name not in VOID and not rest.endswith("/"):
-                edge = gone and not dropped
-                stack.append((name, suspect, gone, name in CONTENT))
-            dropped = dropped or gone
-        known = name if name in NAMES else "other"
-        key = f"{'/' * closing}{known}{'!' * suspect}"
-        items.append(Item(key, block=name in BLOCKS, inside=any(c for *_, c in stack), dropped=dropped, edge=edge))
+            ended = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
+            items.append(Item(known, block=name in BLOCKS, at=stack[-1]))
+            if ended:
+                items[-1].at = stack[ended - 1]
+                del stack[ended:]
+            continue
+        while len(stack) > 1 and name in ENDED_BY.get(stack[-1].name, ()):
+            stack.pop()
+        rest = token["rest"] or token["rest2"] or ""
+        marks = " ".join(m[1] or m[2] or m[3] or "" for m in MARKS.finditer(rest)) if "=" in rest else ""
+        gone = _gone(name, marks, stack[-1].home is not None)
+        own = Element(name, stack[-1], gone in {"whole", "part"} and name != "form", gone)
+        elements.append(own)
+        items.append(Item(known, block=name in BLOCKS, edge=True, at=own))
+        if name not in VOID and not rest.endswith("/"):
+            stack.append(own)
     if at < len(page):
         add_text(page[at:])
+    _settle(elements)
+    for item in items:
+        own = item.at
+        item.inside, item.dropped = own.home is not None, own.dropped
+        item.edge = item.edge and own.dropped and not own.parent.dropped
+        if item.text:
+            item.key = f"word:{own.around.name}{'!' * own.suspect}"
+        elif item.key[0] != "/":
+            item.key += "!" * (own.suspect and not own.parent.suspect)
     return items
 
 
-def _state(stack: list[tuple[str, bool, bool, bool]]) -> tuple[bool, bool]:
-    """Whether the open elements hold content, and whether one of them is boilerplate."""
-    return any(c for *_, c in stack), any(g for _, _, g, _ in stack)
-
-
 def best_region(scores: list[float]) -> tuple[int, int]:
     """Start and end of the contiguous run of the largest sum above zero, the first of equals; (0, 0) if none."""
     best, span, total, start = 0.0, (0, 0), 0.0, 0

@@ -213,3 +213,22 @@ def test_odd_pages(spark):
     assert texts[:3] == ["", "", "plain words only"] and texts[6] == "a\nb" and texts[7] == ""
     assert texts[8] == "\n".join(["word"] * 20_000)
     assert html.extract(frame.where("false"), weights, ["page_id"]).collect() == []
+
+
+@pytest.mark.parametrize(
+    "opened, closed",
+    [
+        ('<div class="has-sidebar"><main>', "</main></div>"),
+        ('<div id="content-sidebar-wrap"><article>', "</article></div>"),
+        ('<div class="page header-fixed">', "</div>"),
+        ('<form id="whole">', "</form>"),
+    ],
+)
+def test_wrappers_named_in_part_keep_the_page(opened, closed):
+    page = f'<body>{opened}<h1>Title</h1><p>Some words of the page are here.</p><div class="ad">Buy</div>{closed}</body>'
+    assert html.main_text(page, html.Weights()) == "Title\nSome words of the page are here."
+
+
+def test_header_of_an_entry_keeps_its_heading():
+    page = '<article><header class="entry-header"><h1>Title</h1></header><p>Words of the text.</p></article>'
+    assert html.main_text(page, html.Weights()) == "Title\nWords of the text."
