@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: What a region pays to go on behind an element that is dropped.
-DROPPED_COST = 2.0
+#: What a region pays to go on behind an element that is dropped outside the content: less than a word.
+DROPPED_COST = 0.5
 #: Bound of the training sample: pages that mark their content themselves, in the order of their hashes.
 SAMPLE_PAGES = 2_000
 
@@ -107,10 +107,10 @@ class Weights:
     def of(self, item: Item) -> float:
         """Words score above zero, the more so in elements that hold content; tags below, the more so outside it.
 
-        What is boilerplate by name goes anyway, so it costs as one tag, however much it holds.
+        What is boilerplate by name goes anyway, so it costs nothing inside the content and little outside it.
         """
         if item.dropped:
-            return -DROPPED_COST if item.edge else 0.0
+            return -DROPPED_COST if item.edge and not item.inside else 0.0
         share = self.seen.get(item.key)
         if share is None:
             share = 0.1 if _suspicious(item.key) else 0.9
@@ -218,12 +218,33 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return span
 
 
+def _whole(items: list[Item], start: int, end: int) -> tuple[int, int]:
+    """The region with the rest of the article or main it begins and ends in, or adjoining text of its element."""
+    texts = [i for i in range(start, end) if items[i].words and not items[i].dropped]
+    if not texts:
+        return start, end
+    first, last = items[texts[0]].at, items[texts[-1]].at
+    if first.home is None:
+        while start > 0 and (items[start - 1].dropped or items[start - 1].at.box is first.box):
+            start -= 1
+    if last.home is None:
+        while end < len(items) and (items[end].dropped or items[end].at.box is last.box):
+            end += 1
+    if first.home is not None or last.home is not None:
+        for i, item in enumerate(items):
+            if item.at.home is not None and item.at.home is first.home:
+                start = min(start, i)
+            if item.at.home is not None and item.at.home is last.home:
+                end = max(end, i + 1)
+    return start, end
+
+
 def main_text(page: str | None, weights: Weights) -> str:
     """Blocks of the best region, without boilerplate elements inside it, joined by line ends."""
     if not page:
         return ""
     items = items_of(page)
-    start, end = best_region([weights.of(item) for item in items])
+    start, end = _whole(items, *best_region([weights.of(item) for item in items]))
     blocks, held = [], []
     for item in items[start:end]:
         if item.text:
@@ -241,7 +262,7 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
 
     At most ``SAMPLE_PAGES`` such pages are taken, by the hash of their ids;
     Spark counts how often each tag, and words in each kind of element, lie
-    inside and outside the content. Keys are element names, so their number is
+    inside and outside the content, without what is dropped by name. Keys are element names, so their number is
     bounded. Without labelled pages, names alone decide.
     """
     labelled = pages.where(F.lower(F.col(html_col)).rlike("<(article|main)[\\s>]"))
@@ -253,6 +274,8 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
         for batch in batches:
             for page in batch.column(0).to_pylist():
                 for item in items_of(page):
+                    if item.dropped:
+                        continue
                     at = item.key, item.inside
                     seen[at] = seen.get(at, 0) + (item.words if item.text else 1)
         keys, inside = [k for k, _ in seen], [i for _, i in seen]

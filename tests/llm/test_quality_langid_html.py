@@ -215,6 +215,25 @@ def test_odd_pages(spark):
     assert html.extract(frame.where("false"), weights, ["page_id"]).collect() == []
 
 
+DROPPED_KINDS = [
+    '<div class="ad">Buy</div>', "<aside>Not this</aside>", "<form>Name</form>", '<p class="notice">We use cookies</p>', "<nav>Go</nav>"
+]
+
+
+@pytest.mark.parametrize("gone", DROPPED_KINDS)
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+def test_short_text_beside_dropped_elements_stays(gone, around):
+    long = "word " * 30
+    page = f"<body><{around}><h1>Title</h1>{gone}<p>{long}</p>{gone}<p>End.</p></{around}></body>"
+    assert html.main_text(page, html.Weights()) == f"Title\n{long.strip()}\nEnd."
+
+
+def test_weights_leave_dropped_elements_out(spark):
+    page = "<body><nav>" + "<p>one two</p>" * 9 + "</nav><article><p>one two</p></article></body>"
+    weights = html.train(spark.createDataFrame([(1, page)], "page_id bigint, html string"))
+    assert weights.seen["word:p"] > 0.8 and weights.seen["p"] > 0.7
+
+
 @pytest.mark.parametrize(
     "opened, closed",
     [
