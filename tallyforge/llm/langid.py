@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
@@ -22,8 +22,10 @@ LETTERS = re.compile(r"[^\W\d_]+")
 BLOCK_BYTES = 48
 #: Factor per byte that keeps sums of products of probabilities within a double's range.
 LIFT = 16.0
-#: Bound of the training sample: documents, taken in the order of their ids' hashes.
+#: Bound of the training sample: documents, shared out evenly among the languages and taken in the order of their
+#: ids' hashes; a language gets at least ``LEAST_DOCS``.
 SAMPLE_DOCS = 3_000
+LEAST_DOCS = 64
 EM_ROUNDS = 2
 #: Mass added to every piece of every language, relative to one expected piece.
 SMOOTHING = 0.02
@@ -179,25 +181,31 @@ def train(
 ) -> Model:
     """Piece chances per language by expectation maximisation over the words of ``docs``.
 
-    Rows without a language or text are left out. The sample is bounded by
-    ``SAMPLE_DOCS`` documents; their words are counted by language where they
-    are, expectations are summed by Spark, and the driver sees tables of
-    pieces by language only. The prior of a language is its share of the
-    sampled documents. Without a labelled row the model knows no language.
+    Rows without a language or text are left out. The languages and their
+    priors are counted over all other rows; the sample is bounded by
+    ``SAMPLE_DOCS`` and ``LEAST_DOCS`` documents of each language. Its words are
+    counted by language where they are, expectations are summed by Spark, and
+    the driver sees tables of pieces by language only. Without a labelled row
+    the model knows no language.
     """
     spark = docs.sparkSession
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    chosen = known.select(F.col(id_col).alias("id")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS).distinct()
-    sample = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sample = sample.join(F.broadcast(chosen), "id")
+    known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    by_lang = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(by_lang)
+    if not languages:
+        return Model([], np.zeros(0), np.zeros((0, 0)))
+    bound = max(SAMPLE_DOCS // len(languages), LEAST_DOCS)
+    keyed = known.withColumn("key", F.xxhash64("id", "text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "key"))
+    chosen = keyed.select("lang", "id", "key").withColumn("place", place).where(F.col("place") <= bound)
+    sample = keyed.join(F.broadcast(chosen.select("lang", "key").distinct()), ["lang", "key"])
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(*(column.to_pylist() for column in batch.columns)):
-                own = seen.setdefault(lang, Counter())
-                own.update(words_of(text))
-                own[""] += 1
+                seen.setdefault(lang, Counter()).update(words_of(text))
         for lang, own in seen.items():
             words, counts = list(own), list(own.values())
             yield pa.RecordBatch.from_pydict(
@@ -206,10 +214,6 @@ def train(
 
     counted = sample.select("lang", "text").mapInArrow(count_words, "lang string, word string, n bigint")
     words = settle(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid-words")
-    by_lang = {r["lang"]: r["n"] for r in words.where("word = ''").collect()}
-    languages = sorted(by_lang)
-    if not languages:
-        return Model([], np.zeros(0), np.zeros((0, 0)))
     documents = np.array([by_lang[lang] for lang in languages], dtype=float)
     pieces = Pieces(ranks)
     model = Model(languages, documents / documents.sum(), np.full((pieces.size, len(languages)), 1.0 / pieces.size))
@@ -229,7 +233,7 @@ def train(
             piece, language = np.nonzero(total)
             yield pa.RecordBatch.from_pydict({"piece": piece, "language": language, "n": total[piece, language]})
 
-        expected = words.where("word <> ''").mapInArrow(expect, "piece bigint, language bigint, n double")
+        expected = words.mapInArrow(expect, "piece bigint, language bigint, n double")
         table = expected.groupBy("piece", "language").agg(F.sum("n").alias("n")).toPandas()
         counts = np.zeros_like(model.chance)
         counts[table["piece"].to_numpy(int), table["language"].to_numpy(int)] = table["n"]

@@ -251,3 +251,14 @@ def test_wrappers_named_in_part_keep_the_page(opened, closed):
 def test_header_of_an_entry_keeps_its_heading():
     page = '<article><header class="entry-header"><h1>Title</h1></header><p>Words of the text.</p></article>'
     assert html.main_text(page, html.Weights()) == "Title\nWords of the text."
+
+
+def test_rare_languages_are_learnt(docs, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 1)
+    train = docs([(i, "the cat and the dog") for i in range(40)]).union(
+        docs([(99, "le chat et le chien")]).selectExpr("doc_id", "text", "'fr'", "source", "n_chars")
+    )
+    model = langid.train(train, RANKS)
+    assert model.languages == ["en", "fr"] and np.allclose(model.prior, [40 / 41, 1 / 41])
+    found = langid.identify(docs([(1, "le chat et le chien")]), model, RANKS, ["doc_id"]).first()
+    assert found["lang_pred"] == "fr"
