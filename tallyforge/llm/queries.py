@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import ann, bpe, chat, html, langid, lines, mixing, packing, quality, simhash
+from tallyforge.llm import ann, audit, bpe, chat, exact, fim, html, langid, lines, mixing, packing, quality, simhash
 from tallyforge.plans.fixtures import table
 
 QUERIES = {}
@@ -83,6 +83,26 @@ def packed_ids(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(packing.token_ids(table(spark, sf, "documents"), *vocabulary("byte_bpe_50k.tiktoken")))
 
 
+@query("op11_filter_audit")
+def filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op12_fill_in_middle")
+def fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf, "documents"), ["doc_id"])
+    return made.select(
+        *["doc_id", "n", "form", "prefix_chars", "middle_chars"],
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+@query("op13_top_products")
+def top_products(spark: SparkSession, sf: str) -> DataFrame:
+    return exact.top_products(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def vocabulary(name: str) -> tuple[bytes, str]:
     """Content of a public rank file and the pattern that goes with it."""
     import public_tokenizers
