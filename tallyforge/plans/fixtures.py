@@ -275,3 +275,13 @@ def transcript_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(
         "item_id", F.col("text").alias("reference"), F.expr(f"array_join(filter({heard}, w -> w <> ''), ' ')").alias("answer")
     )
+
+
+def played_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of users over time, and some users once more later on: the whole series, or without some of its events."""
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    again = events.where("user_id % 10 = 0").selectExpr("user_id + 1000000 AS user_id", "ts + INTERVAL 3 DAYS AS ts", "event_id", "value")
+    edited = events.where("user_id % 10 IN (0, 5) AND event_id % 23 <> 0").selectExpr(
+        "user_id + 2000000 AS user_id", "ts + INTERVAL 5 HOURS AS ts", "event_id", "value"
+    )
+    return events.union(again).union(edited)

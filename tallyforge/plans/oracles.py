@@ -667,6 +667,44 @@ l AS (
 SELECT user_id AS run_id, status, updates, entries FROM l JOIN e USING (user_id)"""
 
 
+# --- series ----------------------------------------------------------------------------------
+
+ORACLES["activity_segments"] = """
+WITH e AS (SELECT user_id, epoch_us(ts) / 1e6 AS sec, value, value >= 60 AS active, lag(value >= 60) OVER w AS before,
+  max(CASE WHEN value >= 60 THEN epoch_us(ts) / 1e6 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen, event_id
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (SELECT *, sum(CAST(NOT coalesce(before, false) AND coalesce(sec - seen > 10800, true) AS INT))
+  OVER (PARTITION BY user_id ORDER BY sec, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS segment FROM e WHERE active)
+SELECT user_id, count(*) AS rows, round(min(sec), 6) AS "start", round(max(sec), 6) AS "end", round(sum(value), 6) AS total, max(value) AS peak
+FROM n GROUP BY user_id, segment HAVING max(sec) - min(sec) >= 3600"""
+
+ORACLES["action_space_normalize"] = """
+WITH q AS (SELECT event_type, quantile_cont(value, 0.01) AS low, quantile_cont(value, 0.99) AS high FROM events GROUP BY ALL)
+SELECT event_id, event_type, round(CASE WHEN value IS NULL THEN NULL WHEN low = high THEN 0.0
+  ELSE greatest(-1.0, least(1.0, 2 * (value - low) / (high - low) - 1)) END, 9) AS scaled
+FROM events JOIN q USING (event_type)"""
+
+ORACLES["series_fingerprint_dedup"] = """
+WITH s AS (SELECT user_id, ts, event_id, value FROM events
+  UNION ALL SELECT user_id + 1000000, ts + INTERVAL 3 DAY, event_id, value FROM events WHERE user_id % 10 = 0
+  UNION ALL SELECT user_id + 2000000, ts + INTERVAL 5 HOUR, event_id, value FROM events WHERE user_id % 10 IN (0, 5) AND event_id % 23 <> 0),
+n AS (SELECT *, lag(value) OVER w AS before, lead(value) OVER w AS behind FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+p AS (SELECT user_id AS key, ts, event_id, CAST(floor(epoch_us(ts) / 1e6 / 3600.0) AS BIGINT) AS pos, CAST(floor(value / 10.0) AS BIGINT) AS height
+  FROM n WHERE value > before AND value >= behind),
+l AS (SELECT key, pos, height, unnest([lead({'t': pos, 'h': height}, 1) OVER w, lead({'t': pos, 'h': height}, 2) OVER w,
+  lead({'t': pos, 'h': height}, 3) OVER w]) AS next FROM p WINDOW w AS (PARTITION BY key ORDER BY ts, event_id)),
+m AS (SELECT DISTINCT key, pos, height AS first, next.h AS second, next.t - pos AS apart FROM l WHERE next IS NOT NULL),
+b AS (SELECT key, min(pos) AS begin, count(*) AS n FROM m GROUP BY key),
+f AS (SELECT key, begin, n, list((pos - begin, first, second, apart) ORDER BY pos, first, second, apart) AS whole FROM m JOIN b USING (key) GROUP BY ALL),
+c AS (SELECT key, n, begin, min(key) OVER (PARTITION BY whole) AS rep, arg_min(begin, key) OVER (PARTITION BY whole) AS rep_begin FROM f),
+r AS (SELECT m.* FROM m JOIN c USING (key) WHERE c.key = c.rep),
+h AS (SELECT x.key AS key_a, y.key AS key_b, y.pos - x.pos AS shift, count(*) AS votes FROM r x JOIN r y USING (first, second, apart)
+  WHERE x.key < y.key GROUP BY ALL HAVING count(*) >= 5),
+t AS (SELECT *, row_number() OVER (PARTITION BY key_a, key_b ORDER BY votes DESC, shift) AS place FROM h)
+SELECT key_a, key_b, shift, votes, false AS copy FROM t WHERE place = 1
+UNION ALL SELECT rep, key, begin - rep_begin, n, true FROM c WHERE key <> rep AND n >= 5"""
+
+
 # --- streams ---------------------------------------------------------------------------------
 
 
@@ -700,8 +738,8 @@ WITH e AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 30 MINUT
 n AS (SELECT user_id, ts, sum(CAST(opens AS INT)) OVER (PARTITION BY user_id ORDER BY ts
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS number FROM e),
 s AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 30 MINUTE AS b, count(*) AS events FROM n GROUP BY user_id, number)
-SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS session_start, strftime(b, '%Y-%m-%d %H:%M:%S') AS session_end, events
-FROM s WHERE b <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS session_start, strftime(b, '%Y-%m-%d %H:%M:%S') AS session_end, events,
+  b > (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS open FROM s"""
 
 # The twin's edit distance counts bytes, so every distinct unit of a pair is written as one byte.
 HEARD = r"""pairs AS (SELECT item_id, string_split(text, ' ') AS words, text FROM benchmark),

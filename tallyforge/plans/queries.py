@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.text import char_error_rate, word_error_rate
 from tallyforge.functions.variant import text_of
-from tallyforge.operators import catalog, corpus, evaluate, gates, monitors, ranking, records
+from tallyforge.operators import catalog, corpus, evaluate, gates, monitors, ranking, records, series
 from tallyforge.operators.suite import Benchmark, benchmarks_table, gates_table
 from tallyforge.plans import fixtures as fx
 from tallyforge.plans.fixtures import table
@@ -739,6 +739,28 @@ def _(spark, sf):
     return gates.run_ledger(events).select("run_id", "status", "updates", F.array_join(pairs, ",").alias("entries"))
 
 
+# --- series ----------------------------------------------------------------------------------
+
+
+@query("activity_segments")
+def _(spark, sf):
+    found = series.activity_segments(table(spark, sf, "events"), ["user_id"], "ts", "event_id", "value", 60.0, 10_800, 3_600)
+    rounded = [F.round(c, 6).alias(c) for c in ("start", "end", "total", "peak")]
+    return found.select("user_id", "rows", *rounded)
+
+
+@query("action_space_normalize")
+def _(spark, sf):
+    events = table(spark, sf, "events").select("event_id", "event_type", "value")
+    scaled = series.normalize_by_quantiles(events, ["event_type"], "value")
+    return scaled.select("event_id", "event_type", F.round("scaled", 9).alias("scaled"))
+
+
+@query("series_fingerprint_dedup")
+def _(spark, sf):
+    return series.repeated_series(fx.played_series(spark, sf), "user_id", "ts", "event_id", "value")
+
+
 # --- streams ---------------------------------------------------------------------------------
 
 
@@ -780,10 +802,10 @@ def _(spark, sf):
 
 @query("stream_sessions")
 def _(spark, sf):
-    """Sessions that the watermark has closed by the end of the table."""
+    """All sessions, and whether the watermark has not yet closed them by the end of the table."""
     sessions = stream_sessions(event_stream(spark, sf), "ts", "user_id", shared_dir(spark, "sessions"))
     shown = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("session_start", "session_end")]
-    return sessions.select("user_id", *shown, "events")
+    return sessions.select("user_id", *shown, "events", "open")
 
 
 @query("stream_late_audit")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators.monitors import ALERT_RULES, LOSS_SPIKE_RATIO, AlertRule, alert_rules, loss_spike_ratio
+from tallyforge.operators.ordered import islands
 from tallyforge.session import settled
 
 
@@ -79,28 +80,56 @@ def stream_window_alerts(
     return alert_rules(long, rules)
 
 
+def _micros(interval: str) -> Column:
+    zero = F.timestamp_micros(F.lit(0))
+    return F.unix_micros(zero + F.expr(f"INTERVAL {interval}"))
+
+
 def stream_sessions(
     events: DataFrame, ts: str, key: str, folder: str, gap: str = "30 minutes", watermark: str = "1 hour"
 ) -> DataFrame:
-    """``key, session_start, session_end, events`` of sessions that end ``gap`` after their last event.
-
-    A session is written once, when the watermark has passed its end, and its
-    state is dropped then. Sessions that are still open come with later events.
+    """``key, session_start, session_end, events, open`` of sessions that end ``gap`` after their last event.
+
+    Each batch joins its events to the sessions that were still open (see
+    ``islands``, which splits hot keys), writes those whose end the watermark
+    has passed, and carries the others on as a table. At the end of the stream
+    the carried ones are there too, flagged ``open``: every event with a time
+    is in one session. A late event counts as well; it joins an open session,
+    or is one of its own.
     """
-    sessions = (
-        events.withWatermark(ts, watermark)
-        .groupBy(key, F.session_window(ts, gap))
-        .agg(F.count(F.lit(1)).alias("events"))
-        .select(
-            key,
-            F.col("session_window.start").alias("session_start"),
-            F.col("session_window.end").alias("session_end"),
-            "events",
-        )
+    spark = events.sparkSession
+    closed, state, seen = f"{folder}/closed", f"{folder}/open", f"{folder}/seen"
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        at = F.unix_micros(ts)
+        rows = batch.where(F.col(ts).isNotNull()).select(key, at.alias("start"), at.alias("end"), F.lit(1).cast("long").alias("events"))
+        newest = rows.agg(F.max("start").alias("newest"))
+        if batch_id > 0:
+            rows = rows.unionByName(session.read.parquet(f"{state}/batch={batch_id - 1}"))
+            before = session.read.parquet(f"{seen}/batch={batch_id - 1}")
+            newest = newest.unionByName(before).agg(F.max("newest").alias("newest"))
+        _write(newest, seen, batch_id)
+        limit = session.read.parquet(f"{seen}/batch={batch_id}").select(F.col("newest") - _micros(watermark)).scalar()
+        ordered = rows.withColumnsRenamed({"start": "_from", "end": "_to"})
+        counted = {"events": (F.sum, F.col("events"))}
+        # An event exactly ``gap`` later begins the next session.
+        merged = islands(ordered, [key], ["_from"], F.col("_from"), F.col("_to"), _micros(gap) - 1, counted)
+        merged = settled(merged.select(key, "start", "end", "events", (F.col("end") + _micros(gap) > limit).alias("open")), "sessions")
+        _write(merged.where("NOT open").drop("open"), closed, batch_id)
+        _write(merged.where("open").drop("open"), state, batch_id)
+
+    _drain(events, "append", folder, handle)
+    last = spark.read.parquet(state).agg(F.max("batch").alias("b")).scalar()
+    carried = spark.read.parquet(state).where(F.col("batch") == last)
+    both = spark.read.parquet(closed).withColumn("open", F.lit(False)).unionByName(carried.withColumn("open", F.lit(True)))
+    return both.select(
+        key,
+        F.timestamp_micros("start").alias("session_start"),
+        F.timestamp_micros(F.col("end") + _micros(gap)).alias("session_end"),
+        "events",
+        "open",
     )
-    out = f"{folder}/sessions"
-    _drain(sessions, "append", folder, lambda rows, batch_id: _write(rows, out, batch_id))
-    return events.sparkSession.read.parquet(out).drop("batch")
 
 
 def stream_spike_state(
