@@ -16,10 +16,12 @@ from tallyforge.llm.common import settle
 #: Pivots, and about how many vectors they are chosen from. Both bound what the driver and every executor hold.
 PIVOTS = 64
 SAMPLE_VECTORS = 4_096
-#: Candidates and queries that meet in one task, and candidates evaluated at a time in order of their bounds.
+#: Candidates and queries that meet in one task, and candidates evaluated first in order of their bounds.
 PART_VECTORS = 4_000
 PART_QUERIES = 1_000
 STEP_VECTORS = 256
+#: Queries whose bounds are computed together.
+STEP_QUERIES = 32
 #: What distances, kept in single precision, and products are off by at most, relative to the largest ones.
 DISTANCE_SLACK = 1e-6
 PRODUCT_SLACK = 1e-12
@@ -63,29 +65,44 @@ def choose(sample: np.ndarray, largest: float, count: int = PIVOTS) -> Pivots:
     return pivots
 
 
-def best(
-    pivots: Pivots, query: np.ndarray, to_pivots: np.ndarray, known: float, points: np.ndarray, table: np.ndarray, least: np.ndarray, k: int
-) -> tuple[np.ndarray, np.ndarray]:
+def bounds(pivots: Pivots, norms: np.ndarray, to_pivots: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Upper bounds of the scores of queries (rows) with candidates (columns), from both tables of distances.
+
+    The greatest difference of distances over all pivots is the least
+    distance. ``table`` has a row per pivot.
+    """
+    apart = np.zeros((len(to_pivots), table.shape[1]), table.dtype)
+    step = np.empty_like(apart)
+    for own, row in zip(to_pivots.T, table):
+        np.subtract(row, own[:, None], out=step)
+        np.abs(step, out=step)
+        np.maximum(apart, step, out=apart)
+    return pivots.product_bound(norms[:, None], apart.astype(float))
+
+
+def best(bound: np.ndarray, query: np.ndarray, known: float, points: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and scores of the ``k`` best of ``points``, best first, ties to the smaller ``least``.
 
-    Each candidate's greatest lower bound over all pivots bounds its score
-    from above. Candidates are evaluated from the highest bound on, until it
-    is below the ``k``-th score or below ``known``, a score that is reached
-    elsewhere by ``k`` of them.
+    Candidates are evaluated from the highest ``bound`` on, in steps that
+    grow, until the bound is below the ``k``-th score or below ``known``, a
+    score that is reached elsewhere by ``k`` of them.
     """
-    bounds = pivots.product_bound(float((query.astype(float) ** 2).sum()), np.abs(table - to_pivots).max(axis=1))
-    order = np.argsort(-bounds, kind="stable")
+    rest, limit, size = np.arange(len(points)), known, STEP_VECTORS
     places, scores = np.zeros(0, np.int64), np.zeros(0, points.dtype)
-    for first in range(0, len(order), STEP_VECTORS):
-        now = order[first : first + STEP_VECTORS]
-        limit = max(known, scores[-1]) if len(scores) == k else known
-        now = now[bounds[now] >= limit]
-        if not len(now):
+    while True:
+        rest = rest[bound[rest] >= limit]
+        if not len(rest):
             break
-        places, scores = np.concatenate([places, now]), np.concatenate([scores, points[now] @ query])
+        now, rest = rest, rest[:0]
+        if len(now) > size:
+            order = np.argpartition(-bound[now], size)
+            now, rest = now[order[:size]], now[order[size:]]
+        found = points[now] @ query
+        places, scores = np.concatenate([places, now[found >= limit]]), np.concatenate([scores, found[found >= limit]])
         front = np.lexsort((least[places], -scores))[:k]
         places, scores = places[front], scores[front]
-    return places[scores >= known], scores[scores >= known]
+        limit, size = max(known, scores[-1]) if len(scores) == k else known, 4 * size
+    return places, scores
 
 
 def whole_numbers(embedding: Column, scale: int) -> Column:
@@ -140,8 +157,8 @@ def top_products(
     classes = settle(classes.select(F.monotonically_increasing_id().alias("class"), "v", "least", "asks"), "topk-classes")
     norm = F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
     stats = classes.agg(F.max(norm).alias("largest"), F.count("*").alias("n")).first()
-    # Products of whole numbers are exact in double precision below 2^53; larger ones take the slower whole numbers.
-    exact_in = np.float64 if stats["largest"] < 2.0**53 else np.int64
+    # Sums of products of whole numbers are exact below 2^24 and 2^53; larger ones take slower arithmetic.
+    exact_in = next((kind for kind, end in ((np.float32, 2.0**24), (np.float64, 2.0**53)) if stats["largest"] < end), np.int64)
     drawn = F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE_VECTORS / stats["n"]))
     sample = classes.where(drawn).select("v").limit(2 * SAMPLE_VECTORS).toPandas()["v"]
     if not len(sample):
@@ -183,15 +200,20 @@ def top_products(
             own = Pivots(*shared.value)
             out: list[list] = [[], [], [], []]
             if held.num_rows and asked.num_rows:
-                points, to = _matrix(held["v"].combine_chunks(), exact_in), _matrix(held["away"].combine_chunks(), float)
+                points, table = _matrix(held["v"].combine_chunks(), exact_in), _matrix(held["away"].combine_chunks(), np.float32)
                 names, least = held["class"].to_numpy(), held["least"].to_numpy()
                 queries = _matrix(asked["q"].combine_chunks(), exact_in)
-                away = own.distances(queries.astype(float), asking=True)
-                for asker, query, d, known in zip(asked["asker"].to_pylist(), queries, away, asked["known"].to_pylist()):
-                    limit = -np.inf if known is None else known
-                    places, scores = best(own, query, d, limit, points, to, least, k + 1)
-                    for values, more in zip(out, ([asker] * len(places), names[places], least[places], scores.astype(np.int64))):
-                        values.extend(more)
+                askers, known, table = asked["asker"].to_pylist(), asked["known"].to_pylist(), np.ascontiguousarray(table.T)
+                for first in range(0, len(queries), STEP_QUERIES):
+                    group = queries[first : first + STEP_QUERIES].astype(float)
+                    away = own.distances(group, asking=True).astype(np.float32)
+                    limits = bounds(own, (group**2).sum(axis=1), away, table)
+                    for i, bound in enumerate(limits, start=first):
+                        least_score = -np.inf if known[i] is None else known[i]
+                        places, scores = best(bound, queries[i], least_score, points, least, k + 1)
+                        found = [askers[i]] * len(places), names[places], least[places], scores.astype(np.int64)
+                        for values, more in zip(out, found):
+                            values.extend(more)
             columns = [pa.array(c, pa.int64()) for c in out]
             return pa.table(columns, names=["asker", "class", "least", "score"])
 

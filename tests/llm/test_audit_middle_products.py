@@ -225,8 +225,8 @@ def test_pivots_leave_most_vectors_of_clusters_out():
             evaluated += len(item)
             return np.asarray(self)[item]
 
-    for query in points[:50]:
-        to = pivots.distances(query[None], asking=True)[0]
-        places, scores = exact.best(pivots, query, to, -np.inf, points.view(Counted), table, least, 21)
+    to, norms = pivots.distances(points[:50], asking=True), (points[:50] ** 2).sum(axis=1)
+    for query, bound in zip(points, exact.bounds(pivots, norms, to, table.T)):
+        places, scores = exact.best(bound, query, -np.inf, points.view(Counted), least, 21)
         assert scores.tolist() == sorted(points @ query, reverse=True)[:21]
     assert evaluated < 0.5 * 50 * len(points)
