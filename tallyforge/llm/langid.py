@@ -18,12 +18,11 @@ from tallyforge.llm.common import settle
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
-#: A run of letters is scored in blocks of at most so many bytes; no piece crosses a block's edge.
-BLOCK_BYTES = 48
-#: Factor per byte that keeps sums of products of probabilities within a double's range.
-LIFT = 16.0
-#: Bound of the training sample: documents, shared out evenly among the languages and taken in the order of their
-#: ids' hashes; a language gets at least ``LEAST_DOCS``.
+#: Bytes after which a pass brings its chances back near one, and bytes of words of one length that go together.
+RESCALE = 8
+GROUP_BYTES = 400_000
+#: Bound of the training sample: documents, shared out evenly among the languages and taken in the order of the
+#: hashes of id and text; a language gets at least ``LEAST_DOCS``.
 SAMPLE_DOCS = 3_000
 LEAST_DOCS = 64
 EM_ROUNDS = 2
@@ -44,7 +43,7 @@ class Pieces:
     def __init__(self, ranks: bytes):
         pieces = [base64.b64decode(line.split()[0]) for line in ranks.splitlines()]
         usable = [p for p in pieces if len(p) == 1 or _is_word_part(p)]
-        self.size = len(usable)
+        self.size, self.longest = len(usable), max(map(len, usable))
         nodes: dict[int, int] = {}
         ends = {}
         for number, piece in enumerate(usable):
@@ -92,19 +91,6 @@ def words_of(text: str | None) -> list[str]:
     return LETTERS.findall(text.lower()) if text else []
 
 
-def blocks_of(word: str) -> list[bytes]:
-    """A space and the word in UTF-8, in blocks of at most ``BLOCK_BYTES`` that cut no character."""
-    whole = b" " + word.encode()
-    blocks, start = [], 0
-    while len(whole) - start > BLOCK_BYTES:
-        end = start + BLOCK_BYTES
-        while whole[end] & 0xC0 == 0x80:
-            end -= 1
-        blocks.append(whole[start:end])
-        start = end
-    return [*blocks, whole[start:]]
-
-
 @dataclass
 class Model:
     """Languages, their priors, and ``chance[piece, language]`` over a piece vocabulary."""
@@ -120,54 +106,72 @@ class Model:
     def log_likelihood(self, pieces: Pieces, words: list[str]) -> np.ndarray:
         """log P(word | language) for each word: a forward pass sums over all segmentations."""
         total = np.zeros((len(words), len(self.languages)))
-        for owner, blocks in _by_length(words):
-            total_of = np.log(_forward(pieces, self.chance, blocks)[:, -1])
-            np.add.at(total, owner, total_of - np.log(LIFT) * len(blocks[0]))
+        for owner, texts in _by_length(words):
+            alpha, scale = _forward(pieces, lambda which, found: self.chance[found], texts, len(self.languages))
+            total[owner] = np.log(alpha[:, -1]) + scale[:, -1]
         return total
 
 
 def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """Blocks of equal length, with the number of the word each belongs to."""
+    """A space and the word in UTF-8, with words of equal length together, and the numbers of the words."""
     by: dict[int, tuple[list, list]] = {}
     for number, word in enumerate(words):
-        for block in blocks_of(word):
-            owners, blocks = by.setdefault(len(block), ([], []))
-            owners.append(number)
-            blocks.append(block)
-    for owners, blocks in by.values():
-        for first in range(0, len(blocks), 50_000):
-            yield np.array(owners[first : first + 50_000]), blocks[first : first + 50_000]
-
-
-def _forward(pieces: Pieces, chance: np.ndarray, blocks: list[bytes]) -> np.ndarray:
-    """``alpha[block, position, language]``: lifted chance of the block's first bytes over all segmentations."""
-    alpha = np.zeros((len(blocks), len(blocks[0]) + 1, chance.shape[1]))
+        text = b" " + word.encode()
+        owners, texts = by.setdefault(len(text), ([], []))
+        owners.append(number)
+        texts.append(text)
+    for length, (owners, texts) in by.items():
+        step = max(1, GROUP_BYTES // length)
+        for first in range(0, len(texts), step):
+            yield np.array(owners[first : first + step]), texts[first : first + step]
+
+
+def _forward(pieces: Pieces, chance_of, texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """``alpha[text, position, column]``, the chance of a text's first bytes over all segmentations, and ``scale``.
+
+    The chance is alpha times e to the power of scale. Every few bytes alpha
+    is brought back near one, so texts of any length neither vanish nor
+    overflow; a piece reaches over ``pieces.longest`` bytes at most.
+    """
+    n = len(texts[0])
+    alpha, scale, last = np.zeros((len(texts), n + 1, width)), np.zeros((len(texts), n + 1, width)), 0
     alpha[:, 0] = 1.0
-    for start, end, which, found in pieces.spans(blocks):
-        alpha[which, end] += alpha[which, start] * chance[found] * LIFT ** (end - start)
-    return alpha
+    for start, end, which, found in pieces.spans(texts):
+        if start >= last + RESCALE:
+            last = start
+            now = alpha[:, start].copy()
+            now[now == 0.0] = 1.0
+            alpha[:, start : start + pieces.longest] /= now[:, None]
+            scale[:, start:] += np.log(now)[:, None]
+        alpha[which, end] += alpha[which, start] * chance_of(which, found)
+    return alpha, scale
 
 
 def expected_pieces(
     pieces: Pieces, chance: np.ndarray, words: list[str], language: np.ndarray, count: np.ndarray
 ) -> np.ndarray:
     """Expected piece counts over all segmentations (forward and backward), each word in its language."""
-    result = np.zeros_like(chance)
-    for owner, blocks in _by_length(words):
-        own = language[owner]
-        table = chance.T
-        alpha = np.zeros((len(blocks), len(blocks[0]) + 1))
-        beta = np.zeros_like(alpha)
-        alpha[:, 0] = beta[:, -1] = 1.0
-        spans = list(pieces.spans(blocks))
-        for start, end, which, found in spans:
-            alpha[which, end] += alpha[which, start] * table[own[which], found] * LIFT ** (end - start)
+    result, table = np.zeros_like(chance), chance.T
+    for owner, texts in _by_length(words):
+        own, n = language[owner], len(texts[0])
+        alpha, scale = _forward(pieces, lambda which, found, own=own: table[own[which], found][:, None], texts, 1)
+        alpha, scale = alpha[:, :, 0], scale[:, :, 0]
+        # Backward, each position has a scale of its own: beta times e to the power of behind. Every byte is a piece,
+        # so every position begins spans.
+        beta, behind, at = np.zeros_like(alpha), np.zeros_like(alpha), n
+        beta[:, -1] = 1.0
+        spans = list(pieces.spans(texts))
         for start, end, which, found in reversed(spans):
-            beta[which, start] += beta[which, end] * table[own[which], found] * LIFT ** (end - start)
-        weight = count[owner] / alpha[:, -1]
+            if start != at:
+                behind[:, at] += np.log(beta[:, at])
+                beta[:, at] = 1.0
+                behind[:, start], at = behind[:, at], start
+            beta[which, start] += beta[which, end] * table[own[which], found] * np.exp(behind[which, end] - behind[which, start])
+        whole = np.log(alpha[:, -1]) + scale[:, -1]
         for start, end, which, found in spans:
-            share = alpha[which, start] * table[own[which], found] * LIFT ** (end - start) * beta[which, end]
-            np.add.at(result, (found, own[which]), share * weight[which])
+            share = alpha[which, start] * table[own[which], found] * beta[which, end]
+            share = share * np.exp(scale[which, start] + behind[which, end] - whole[which])
+            np.add.at(result, (found, own[which]), share * count[owner][which])
     return result
 
 
@@ -196,10 +200,15 @@ def train(
     if not languages:
         return Model([], np.zeros(0), np.zeros((0, 0)))
     bound = max(SAMPLE_DOCS // len(languages), LEAST_DOCS)
+    # Only rows under a threshold of their language are ranked: about twice as many as are wanted. Equal rows are one.
+    span = 1 << 40
+    limits = [F.lit(x) for lang, n in by_lang.items() for x in (lang, min(span, span * 2 * bound // n))]
     keyed = known.withColumn("key", F.xxhash64("id", "text"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "key"))
-    chosen = keyed.select("lang", "id", "key").withColumn("place", place).where(F.col("place") <= bound)
-    sample = keyed.join(F.broadcast(chosen.select("lang", "key").distinct()), ["lang", "key"])
+    keyed = keyed.where(F.pmod("key", F.lit(span)) < F.create_map(*limits)[F.col("lang")])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(span)), "key"))
+    chosen = keyed.select("lang", "key").distinct().withColumn("place", place).where(F.col("place") <= bound)
+    sample = keyed.join(F.broadcast(chosen.select("lang", "key")), ["lang", "key"])
+    sample = sample.groupBy("lang", "key").agg(F.first("text").alias("text"))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}

@@ -22,9 +22,9 @@ def query(name: str):
 @query("op1_language_id")
 def language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    held_out = (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out")
     ranks, _ = vocabulary("byte_bpe_multi_50k.tiktoken")
-    model = langid.train(docs.where(~F.coalesce(held_out, F.lit(False))), ranks)
+    model = langid.train(docs.where(~held_out), ranks)
     return langid.identify(docs, model, ranks, ["doc_id", held_out])
 
 
