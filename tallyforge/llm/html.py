@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -157,6 +158,7 @@ def items_of(page: str) -> list[Item]:
     items: list[Item] = []
     elements = [Element("body")]
     stack = list(elements)
+    opened: Counter[str] = Counter()  # open elements by name, so that an end tag of none needs no look at the stack
 
     def add_text(raw: str) -> None:
         text = html.unescape(raw) if "&" in raw else raw
@@ -176,14 +178,15 @@ def items_of(page: str) -> list[Item]:
         closing = bool(token["close"] or token["close2"])
         known = f"{'/' * closing}{name if name in NAMES else 'other'}"
         if closing:
-            ended = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
+            ended = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0) if opened[name] else 0
             items.append(Item(known, block=name in BLOCKS, at=stack[-1]))
             if ended:
                 items[-1].at = stack[ended - 1]
+                opened.subtract(e.name for e in stack[ended:])
                 del stack[ended:]
             continue
         while len(stack) > 1 and name in ENDED_BY.get(stack[-1].name, ()):
-            stack.pop()
+            opened[stack.pop().name] -= 1
         rest = token["rest"] or token["rest2"] or ""
         marks = " ".join(m[1] or m[2] or m[3] or "" for m in MARKS.finditer(rest)) if "=" in rest else ""
         gone = _gone(name, marks, stack[-1].home is not None)
@@ -192,6 +195,7 @@ def items_of(page: str) -> list[Item]:
         items.append(Item(known, block=name in BLOCKS, edge=True, at=own))
         if name not in VOID and not rest.endswith("/"):
             stack.append(own)
+            opened[name] += 1
     if at < len(page):
         add_text(page[at:])
     _settle(elements)
