@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -172,8 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model from documents labelled by ``quality`` in ``labels``, whose lines take the document's label.
 
     The sample is bounded: the ``SAMPLE_DOCS`` labelled ids that come first by
-    hash, and of each the first ``CHAINS_PER_DOC`` chains of ``CHAIN_LINES``
-    lines. Only feature rows reach the driver. Without labels every line is
+    hash, and of each ``CHAINS_PER_DOC`` chains of ``CHAIN_LINES`` lines,
+    chosen by hash over the whole text. Only feature rows reach the driver. Without labels every line is
     taken as content.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("good")).where(
@@ -195,8 +196,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 @F.arrow_udf(ArrayType(DoubleType()))
 def _chain_features(texts: pa.Array) -> pa.Array:
-    bound = CHAIN_LINES * CHAINS_PER_DOC
-    return pa.array([measure(t.as_py())[1][:bound].ravel() for t in texts], pa.list_(pa.float64()))
+    return pa.array([_chosen_chains(t.as_py() or "").ravel() for t in texts], pa.list_(pa.float64()))
+
+
+def _chosen_chains(text: str) -> np.ndarray:
+    """Feature rows of the chosen chains in their order; only the last chain of a text may be short."""
+    rows, own = measure(text)[1], zlib.crc32(text.encode())
+    starts = sorted(range(0, len(rows), CHAIN_LINES), key=lambda start: (zlib.crc32(b"%d" % start, own), start))
+    return np.concatenate([rows[:0], *[rows[start : start + CHAIN_LINES] for start in sorted(starts[:CHAINS_PER_DOC])]])
 
 
 COLUMNS = {
