@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import own_name, settle, word_count
+from tallyforge.operators.ordered import row_numbers
 
 #: A document is taken this often at most.
 MAX_COPIES = 3
 #: Units in a leaf of the reduction tree, and residuals in an inner node.
 LEAF_UNITS = 4_000
 FAN_IN = 256
+#: Equal rows that are listed at once.
+BLOCK_ROWS = 100_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_copies: int = MAX_COPIES) -> DataFrame:
@@ -95,11 +98,13 @@ def _round_group(last: bool):
 
 
 def mix_units(units: DataFrame, weights=(1, 2, 3), max_copies: int = MAX_COPIES) -> DataFrame:
-    """``units`` with ``source_size``, ``target`` and ``copies``, how often the mix takes the unit.
+    """``units`` with ``source_size``, ``target``, ``whole`` and ``more``: how often the mix takes each row of a unit,
+    and how many of its rows once more.
 
     ``units``: ``id``, ``source``, ``mark`` (long that tells units apart), ``size``
-    (words of one copy), ``rows`` (rows that share the fate). The whole part
-    of target by source size is taken for certain. The fraction is rounded in
+    (words of one copy), ``rows`` (equal rows). The whole part of target by
+    source size is taken for certain, and so is the whole number of further
+    rows that the fraction gives for a unit of many rows. What is left, less than a row, is rounded in
     leaves dealt by ``mark``; each leaf leaves one open unit per source at
     most, and those meet in a tree of nodes of ``FAN_IN`` leaves until one per
     source remains, which is drawn. Words are kept exactly up to that last
@@ -116,8 +121,11 @@ def mix_units(units: DataFrame, weights=(1, 2, 3), max_copies: int = MAX_COPIES)
     leaves = max(1, -(-units.count() // LEAF_UNITS))
     rows = (
         joined.withColumn("whole", F.when(F.col("size") > 0, F.least(F.floor(wanted), F.lit(max_copies))).otherwise(0).cast("int"))
-        .withColumn("share", F.when(F.col("size") > 0, wanted - F.col("whole")).otherwise(0.0))
-        .withColumn("mass", (F.col("size") * F.col("rows")).cast("double"))
+        .withColumn("all", F.when(F.col("size") > 0, F.col("rows") * (wanted - F.col("whole"))).otherwise(0.0))
+        .withColumn("sure", F.when(F.col("rows") > 1, F.floor("all")).otherwise(0))
+        .withColumn("share", F.col("all") - F.col("sure"))
+        .withColumn("mass", F.col("size").cast("double"))
+        .drop("all")
         .withColumn("node", F.pmod(F.xxhash64("mark"), F.lit(leaves)))
     )
     decided = []
@@ -133,8 +141,8 @@ def mix_units(units: DataFrame, weights=(1, 2, 3), max_copies: int = MAX_COPIES)
     result = decided[0]
     for more in decided[1:]:
         result = result.union(more)
-    copies = (F.col("whole") + F.round("share")).cast("int")
-    return result.withColumns({"copies": copies, "id": F.col("id").cast(kind)}).drop("whole", "share", "mass", "node")
+    more = (F.col("sure") + F.round("share")).cast("long")
+    return result.withColumns({"more": more, "id": F.col("id").cast(kind)}).drop("sure", "share", "mass", "node")
 
 
 def _units(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -154,21 +162,20 @@ def mix_plan(
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``size``, ``source_size``, ``target`` of its source, ``copies``, ``taken`` words.
 
-    Rows of equal id, source and text share their fate. A null source is a
+    Of rows of equal id, source and text as many are taken as their share
+    gives. A null source is a
     source of its own, last in order. Wordless and null texts have size 0 and
     take nothing; a source without words has target 0. An empty table gives no
     rows. The result depends on the rows alone, not on how they are split.
     """
     mixed = mix_units(_units(docs, id_col, text_col, source_col), weights)
-    return mixed.select(
-        F.col("id").alias(id_col),
-        "size",
-        "source_size",
-        "target",
-        "copies",
-        (F.col("copies") * F.col("size")).alias("taken"),
-        F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("row"),
-    ).drop("row")
+    blocks = F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / BLOCK_ROWS)))
+    ends = F.col("block") * BLOCK_ROWS + 1, F.least("rows", (F.col("block") + 1) * BLOCK_ROWS)
+    each = mixed.withColumn("block", blocks).withColumn("row", F.explode(F.sequence(*ends)))
+    copies = F.col("whole") + (F.col("row") <= F.col("more")).cast("int")
+    return each.withColumn("copies", copies).select(
+        F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+    )
 
 
 def apply_mix(
@@ -176,17 +183,14 @@ def apply_mix(
 ) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, columns as they came.
 
-    Wordless documents belong to no share and are left out. Texts move once,
-    to meet the plan.
+    Wordless documents belong to no share and are left out. Of equal rows as
+    many are taken as their share gives. Texts move once, to meet the plan.
     """
-    taken = mix_units(_units(docs, id_col, text_col, source_col), weights).where("copies > 0")
-    names = {n: own_name(docs.columns, n) for n in ("mix_key", "mix_id", "mix_source", "mix_mark", "mix_copies")}
-    plan = taken.select(
-        F.col("id").alias(names["mix_id"]),
-        F.col("source").alias(names["mix_source"]),
-        F.col("key").alias(names["mix_mark"]),
-        F.col("copies").alias(names["mix_copies"]),
-    )
+    taken = mix_units(_units(docs, id_col, text_col, source_col), weights).where("whole + more > 0")
+    wishes = ("mix_key", "mix_id", "mix_source", "mix_mark", "mix_whole", "mix_more", "mix_rows", "mix_order", "mix_row")
+    names = {n: own_name(docs.columns, n) for n in wishes}
+    planned = {"id": "mix_id", "source": "mix_source", "key": "mix_mark", "whole": "mix_whole", "more": "mix_more", "rows": "mix_rows"}
+    plan = settle(taken.select(*[F.col(c).alias(names[n]) for c, n in planned.items()]), "mix-plan")
     keyed = docs.withColumn(names["mix_key"], F.xxhash64(text_col))
     met = keyed.join(
         plan,
@@ -194,5 +198,17 @@ def apply_mix(
         & keyed[source_col].eqNullSafe(plan[names["mix_source"]])
         & (keyed[names["mix_key"]] == plan[names["mix_mark"]]),
     )
-    copies = F.explode(F.sequence(F.lit(1), F.col(names["mix_copies"])))
-    return met.withColumn(names["mix_copies"], copies).select(*docs.columns)
+    whole, more, rows = (F.col(names[n]) for n in ("mix_whole", "mix_more", "mix_rows"))
+    some = (more > 0) & (more < rows)
+
+    def taken_rows(part: DataFrame, copies) -> DataFrame:
+        return part.withColumn(names["mix_whole"], F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*docs.columns)
+
+    result = taken_rows(met.where(~some), whole + (more > 0).cast("int"))
+    if plan.where(some).isEmpty():
+        return result
+    # Of some equal rows a part is taken once more: they are numbered, spread over as many blocks as they need.
+    ordered = met.where(some).withColumn(names["mix_order"], F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    same = [names["mix_id"], names["mix_source"], names["mix_mark"]]
+    numbered = row_numbers(ordered, same, [names["mix_order"]], names["mix_row"])
+    return result.union(taken_rows(numbered, whole + (F.col(names["mix_row"]) <= more).cast("int")))

@@ -83,13 +83,26 @@ def test_mix_of_odd_rows(docs):
     assert sorted((str(r["doc_id"]), r["size"]) for r in plan) == [
         ("1", 3), ("1", 3), ("2", 0), ("3", 0), ("4", 20_000), ("None", 2)
     ]
-    assert len({r["copies"] for r in plan if r["doc_id"] == 1}) == 1
+    assert all(0 <= r["copies"] <= 3 and r["taken"] == r["copies"] * r["size"] for r in plan)
     mixed = mixing.apply_mix(frame)
     assert mixed.columns == frame.columns
     assert mixed.count() == sum(r["copies"] for r in plan)
     assert mixing.mix_plan(docs([])).collect() == [] and mixing.apply_mix(docs([])).collect() == []
 
 
+def test_repeated_rows_come_near_their_target(docs):
+    """One document many times over is taken in part; each of its rows is whole."""
+    rows = [(1, "a b c d e", "x")] * 400 + [(i, "f g h i j", "y") for i in range(1000, 1400)] + [(2, "k " * 7, "y")] * 31
+    plan = mixing.mix_plan(docs(rows)).toPandas()
+    target = {"x": plan[plan.doc_id == 1].target.iloc[0], "y": plan[plan.doc_id == 2].target.iloc[0]}
+    taken = {"x": plan[plan.doc_id == 1].taken.sum(), "y": plan[plan.doc_id != 1].taken.sum()}
+    assert len(plan) == len(rows) and plan.copies.between(0, 3).all()
+    assert abs(taken["x"] - target["x"]) <= 5 and abs(taken["y"] - target["y"]) <= 7
+    mixed = mixing.apply_mix(docs(rows)).toPandas()
+    words = mixed.text.str.split().str.len()
+    assert {s: int(words[mixed.source == s].sum()) for s in "xy"} == taken
+
+
 def ids_of(text):
     return np.frombuffer(CODEC.encode([text])[0][0], "<u4").tolist()
 

@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -128,11 +129,37 @@ def test_expected_pieces_match_enumeration():
     assert np.allclose(expected, 2 * counts / total)
 
 
-def test_blocks_cut_no_character():
-    for word in ("a" * 200, "é" * 100, "日" * 40, "short"):
-        blocks = langid.blocks_of(word)
-        assert b"".join(blocks) == b" " + word.encode() and all(len(b) <= langid.BLOCK_BYTES for b in blocks)
-        assert all(b.decode() for b in blocks)
+def slow_log_chance(text, chance):
+    """log of the sum over all segmentations, position by position in logarithms."""
+    alpha = [0.0]
+    for end in range(1, len(text) + 1):
+        ways = [alpha[start] + np.log(chance[text[start:end]]) for start in range(max(0, end - 4), end) if chance.get(text[start:end])]
+        alpha.append(np.logaddexp.reduce(ways))
+    return alpha[-1]
+
+
+def test_long_and_rare_words_keep_their_likelihood():
+    """Runs of any length, and chances so small that a plain product of a few of them would vanish."""
+    vocabulary, pieces, model = small_model()
+    rare = langid.Model(model.languages, model.prior, model.chance * 1e-30)
+    for word in ("a" * 200, "abcab" * 300, "é" * 100, "日" * 40, "zq" * 5_000):
+        for own in (model, rare):
+            found = own.log_likelihood(pieces, [word])[0]
+            expected = [slow_log_chance(b" " + word.encode(), dict(zip(vocabulary, c))) for c in own.chance.T]
+            assert np.allclose(found, expected, rtol=1e-9) and np.isfinite(found).all()
+    counts = langid.expected_pieces(pieces, rare.chance, ["ab" * 400, "a"], np.array([0, 1]), np.array([3.0, 1.0]))
+    lengths = np.array([len(p) for p in vocabulary])
+    assert np.isfinite(counts).all() and np.allclose((counts * lengths[:, None]).sum(axis=0), [3 * 801, 2, 0])
+
+
+def test_scores_of_unseen_scripts_are_chances():
+    _, pieces, model = small_model()
+    tiny = langid.Model(model.languages, model.prior, np.full_like(model.chance, 1e-12))
+    scorer = langid.Scorer.__new__(langid.Scorer)
+    scorer.model, scorer.pieces = tiny, pieces
+    scorer._forget()
+    (lang, score), = scorer(["ⴰⵣⵓⵍ" * 500])
+    assert lang == "x" and score == pytest.approx(1 / 3)
 
 
 def test_languages_held_out(spark):
@@ -262,3 +289,35 @@ def test_rare_languages_are_learnt(docs, monkeypatch):
     assert model.languages == ["en", "fr"] and np.allclose(model.prior, [40 / 41, 1 / 41])
     found = langid.identify(docs([(1, "le chat et le chien")]), model, RANKS, ["doc_id"]).first()
     assert found["lang_pred"] == "fr"
+
+
+def test_sample_of_a_hot_copy_is_bounded(docs, monkeypatch):
+    """Rows that repeat one document do not fill the sample, nor does a rare language lose its place."""
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 20)
+    monkeypatch.setattr(langid, "LEAST_DOCS", 5)
+    rows = [(7, "the same text again")] * 400 + [(i, f"plain words number {i}") for i in range(100, 160)] + [(1, "les mots")]
+    frame = docs(rows).selectExpr("doc_id", "text", "IF(doc_id = 1, 'fr', IF(doc_id IS NULL, NULL, 'en')) AS lang")
+    model = langid.train(frame, vocabulary("byte_bpe_multi_50k.tiktoken")[0])
+    assert model.languages == ["en", "fr"] and model.prior[1] == pytest.approx(1 / len(rows))
+    found = langid.identify(frame, model, vocabulary("byte_bpe_multi_50k.tiktoken")[0], ["doc_id"]).collect()
+    assert len(found) == len(rows) and all(0 <= r["score"] <= 1 for r in found)
+
+
+def test_chains_come_from_the_whole_text():
+    """A footer at the end of a long document is chosen as often as its start."""
+    hits = 0
+    for n in range(200):
+        text = "\n".join([f"line {n} of the text"] * 640 + ["### footer ###"] * 64)
+        rows = quality._chosen_chains(text)
+        whole = quality.measure(text)[1]
+        assert len(rows) == 64
+        hits += any(np.array_equal(rows[k : k + 32], whole[-32:]) for k in (0, 32))
+    assert 5 < hits < 60
+    assert len(quality._chosen_chains("")) == 0 and len(quality._chosen_chains("one\ntwo")) == len(quality.measure("one\ntwo")[1])
+
+
+@pytest.mark.parametrize("page", ["<div>" * 90_000 + "</b>" * 90_000, "<b>" * 100_000 + "</i>x" * 100_000, "<p><li>" * 100_000])
+def test_open_elements_cost_linear_time(page):
+    started = time.perf_counter()
+    html.main_text(page, html.Weights())
+    assert time.perf_counter() - started < 30
