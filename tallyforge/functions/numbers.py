@@ -47,6 +47,9 @@ LISTED_LOWER_IS_BETTER = (
 # Fields under which an object holds an action.
 ACTION_FIELDS = ("action", "predicted_action", "trajectory")
 
+# Fixed value: a number in loose text.
+NUMBER_IN_TEXT = r"-?\d+(?:\.\d+)?"
+
 NUMERIC_TEXT = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
@@ -64,24 +67,25 @@ def _numbers(value: str) -> str:
     return bind(listed, "_l", "CASE WHEN NOT exists(_l, _x -> _x IS NULL) THEN _l END")
 
 
-# Objects and texts inside one another are opened so many times.
-NESTED = 6
-
-
 # The parser stops behind the first value; this tells texts that are one value from texts that go on.
 WHOLE_JSON = r'([\]}"]\s*$)|(^\s*(-?[0-9][0-9.eE+-]*|true|false|null)\s*$)'
 
 
-def _opened(value: str) -> str:
-    """One level less: what an object holds under an action field, or what a JSON text says; else the value itself."""
-    return bind(
-        value,
-        "_u",
-        f"""CASE {kind('_u')} WHEN 'OBJECT' THEN {first_present('_u', ACTION_FIELDS)}
-        WHEN 'STRING' THEN coalesce(
-            CASE WHEN CAST(_u AS STRING) RLIKE r'{WHOLE_JSON}' THEN try_parse_json(CAST(_u AS STRING)) END, _u)
-        ELSE _u END""",
-    )
+def _innermost(value: str) -> str:
+    """What objects hold under an action field, and what JSON texts say, opened one inside the other to the end.
+
+    Each step uses up a brace or a quote of the value's JSON, which bounds the
+    steps; a list takes none, and nothing is opened behind the last one.
+    """
+    parsed = f"CASE WHEN CAST(_a.v AS STRING) RLIKE r'{WHOLE_JSON}' THEN try_parse_json(CAST(_a.v AS STRING)) END"
+    said = "CASE WHEN _j IS NULL THEN named_struct('v', _a.v, 'open', false) ELSE named_struct('v', _j, 'open', true) END"
+    step = f"""CASE WHEN NOT _a.open THEN _a ELSE CASE {kind('_a.v')}
+        WHEN 'OBJECT' THEN named_struct('v', {first_present('_a.v', ACTION_FIELDS)}, 'open', true)
+        WHEN 'STRING' THEN {bind(parsed, '_j', said)}
+        ELSE named_struct('v', _a.v, 'open', false) END END"""
+    steps = f"""CASE WHEN {kind('_u')} IN ('OBJECT', 'STRING')
+        THEN sequence(1, regexp_count(to_json(_u), '[{{"]') + 1) ELSE CAST(array() AS ARRAY<INT>) END"""
+    return bind(value, "_u", f"aggregate({steps}, named_struct('v', _u, 'open', true), (_a, _i) -> {step}, _a -> _a.v)")
 
 
 def vector_of(value: str) -> str:
@@ -90,11 +94,9 @@ def vector_of(value: str) -> str:
     Text that is not JSON gives the numbers found in it. One element that is no
     number voids the whole vector.
     """
-    found = r"regexp_extract_all(CAST(_v AS STRING), r'-?\d+(?:\.\d+)?', 0)"
+    found = rf"regexp_extract_all(CAST(_v AS STRING), r'{NUMBER_IN_TEXT}', 0)"
     loose = f"CASE WHEN size({found}) > 0 THEN transform({found}, _c -> CAST(_c AS DOUBLE)) END"
-    for _ in range(NESTED):
-        value = _opened(value)
-    return bind(value, "_v", f"CASE WHEN {kind('_v')} = 'STRING' THEN {loose} ELSE {_numbers('_v')} END")
+    return bind(_innermost(value), "_v", f"CASE WHEN {kind('_v')} = 'STRING' THEN {loose} ELSE {_numbers('_v')} END")
 
 
 def mean4(total: Column, count: Column) -> Column:

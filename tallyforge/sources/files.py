@@ -12,7 +12,9 @@ def file_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """``file, bytes, sha256, set_id``, one row per file.
 
     ``set_id`` is the digest of the sorted relative names, joined by line breaks;
-    names are listed by the driver anyway when Spark plans the scan.
+    names are listed by the driver anyway when Spark plans the scan. A file is
+    read by one task and has to stay below 2 GB, the longest value of a row;
+    tables are written in part files well below that.
     """
     files = (
         spark.read.format("binaryFile")

@@ -28,16 +28,19 @@ def last_prediction(rows: DataFrame, order: str = "place") -> DataFrame:
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """``id, prediction`` (VARIANT). A path that ends in ``.json`` holds one JSON document per file."""
     if path.endswith(".json"):
-        document = spark.read.option("wholetext", "true").text(path).select(F.parse_json("value").alias("doc"))
+        # Of several documents the one whose file comes last by name counts last.
+        file = F.col("_metadata.file_path").alias("file")
+        document = spark.read.option("wholetext", "true").text(path).select(file, F.parse_json("value").alias("doc"))
         listed = f"coalesce({items(field('doc', 'predictions'))}, {items('doc')})"
         document = document.withColumn("listed", F.expr(listed))
-        rows = document.select(F.posexplode("listed").alias("place", "row"))
+        rows = document.select("file", F.posexplode("listed").alias("at", "row"))
+        place = F.struct("file", "at").alias("place")
         flat = (
             document.filter(F.col("listed").isNull())
-            .select(F.explode(F.expr(entries("doc"))).alias("id", "prediction"))
-            .select("id", F.expr("coalesce(prediction, parse_json('null'))").alias("prediction"), F.lit(0).alias("place"))
+            .select("file", F.lit(0).alias("at"), F.explode(F.expr(entries("doc"))).alias("id", "prediction"))
+            .select("id", F.expr("coalesce(prediction, parse_json('null'))").alias("prediction"), place)
         )
-        return last_prediction(rows.select(*_id_and_prediction("row"), "place").unionByName(flat))
+        return last_prediction(rows.select(*_id_and_prediction("row"), place).unionByName(flat))
     lines = scanned_lines(spark, path).filter(F.trim("value") != "")
     rows = lines.withColumn("row", F.parse_json("value"))
     return last_prediction(rows.select(*_id_and_prediction("row"), "place"))

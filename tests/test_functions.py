@@ -98,6 +98,22 @@ def test_vector_of(spark):
     assert evaluate_json(spark, vector_of("v"), values) == expected
 
 
+def test_vector_of_deep_payloads(spark):
+    """Objects and texts inside one another, 40 and more of them."""
+    values, expected = [], []
+    for depth in (1, 7, 15):
+        nested, text = [1.5, depth], [depth]
+        for i in range(depth):
+            nested = {("action", "predicted_action", "trajectory")[i % 3]: nested}
+            text = json.dumps({"action": text}) if i % 5 == 0 else {"action": text}
+        values += [nested, text, {"action": json.dumps(nested)}, 'say "no" 7 times {']
+        expected += [[1.5, depth], [depth], [1.5, depth], [7]]
+    objects = [3]
+    for _ in range(45):
+        objects = {"action": objects}
+    assert evaluate_json(spark, vector_of("v"), [*values, objects]) == [*expected, [3]]
+
+
 def test_object_of_and_references(spark):
     values = [{"a": 1}, '{"b": 2}', " ", "[1]", 5, None]
     shown = evaluate_json(spark, f"to_json({object_of('v')})", values)

@@ -129,6 +129,11 @@ def test_prediction_files(spark, tmp_path):
     assert predictions(spark, tmp_path / "p.jsonl") == expected
     (tmp_path / "list.json").write_text(json.dumps(lines))
     assert predictions(spark, tmp_path / "list.json") == expected
+    folder = tmp_path / "several.json"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps([{"id": "x", "prediction": "early"}] * 5 + [{"id": "y", "prediction": "only"}]))
+    (folder / "b.json").write_text(json.dumps({"x": "late"}))
+    assert predictions(spark, folder) == {"x": "late", "y": "only"}
     (tmp_path / "held.json").write_text(json.dumps({"predictions": lines}))
     assert predictions(spark, tmp_path / "held.json") == expected
     (tmp_path / "flat.json").write_text(json.dumps({"a": "x", "b": [1], "c": None}))
