@@ -705,6 +705,29 @@ SELECT key_a, key_b, shift, votes, false AS copy FROM t WHERE place = 1
 UNION ALL SELECT rep, key, begin - rep_begin, n, true FROM c WHERE key <> rep AND n >= 5"""
 
 
+def _branches(name: str, rows: str) -> str:
+    shown = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-') || ','" for c in ("doc_id", "text", "lang"))
+    sums = ", ".join(f"sum(CAST('0x' || substr(d, {8 * i + 1}, 8) AS BIGINT)) AS s{i}" for i in range(4))
+    return f"""{name}_rows AS (SELECT coalesce(source, '') AS shard, coalesce(length(text), 0) AS size, md5({shown}) AS d FROM {rows}),
+{name}_folded AS (SELECT shard, substr(d, 1, 2) AS branch, count(*) AS rows, CAST(sum(size) AS BIGINT) AS size, {sums} FROM {name}_rows GROUP BY ALL),
+{name} AS (SELECT shard, branch, rows, size, md5(concat_ws(',', rows, s0, s1, s2, s3)) AS digest FROM {name}_folded)"""
+
+
+_NAMED_SUMS = ", ".join(f"sum(CAST('0x' || substr(md5(shard || ':' || digest), {8 * i + 1}, 8) AS BIGINT))" for i in range(4))
+ORACLES["manifest_snapshot"] = f"""
+WITH {_branches("b", "documents")},
+s AS (SELECT shard, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(size) AS BIGINT) AS size,
+  md5(string_agg(branch || ':' || digest, ',' ORDER BY branch)) AS digest FROM b GROUP BY shard)
+SELECT *, (SELECT md5(concat_ws(',', {_NAMED_SUMS})) FROM s) AS snapshot_id FROM s"""
+
+ORACLES["manifest_changes"] = f"""
+WITH edited AS (SELECT * REPLACE (CASE WHEN doc_id % 97 = 5 THEN text || '!' ELSE text END AS text) FROM documents WHERE length(text) > 20),
+{_branches("o", "documents")},
+{_branches("n", "edited")}
+SELECT shard, branch, coalesce(o.rows, 0) AS rows_before, coalesce(n.rows, 0) AS rows_after
+FROM o FULL JOIN n USING (shard, branch) WHERE o.digest IS DISTINCT FROM n.digest"""
+
+
 # --- streams ---------------------------------------------------------------------------------
 
 

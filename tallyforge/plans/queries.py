@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.text import char_error_rate, word_error_rate
 from tallyforge.functions.variant import text_of
-from tallyforge.operators import catalog, corpus, evaluate, gates, monitors, ranking, records, series
+from tallyforge.operators import catalog, corpus, evaluate, gates, monitors, ranking, records, series, snapshot
 from tallyforge.operators.suite import Benchmark, benchmarks_table, gates_table
 from tallyforge.plans import fixtures as fx
 from tallyforge.plans.fixtures import table
@@ -761,6 +761,23 @@ def _(spark, sf):
     return series.repeated_series(fx.played_series(spark, sf), "user_id", "ts", "event_id", "value")
 
 
+def document_branches(docs):
+    return snapshot.branch_digests(docs, F.col("source"), [F.col(c) for c in ("doc_id", "text", "lang")], F.length("text"))
+
+
+@query("manifest_snapshot")
+def _(spark, sf):
+    return snapshot.manifest_snapshot(document_branches(table(spark, sf, "documents")))
+
+
+@query("manifest_changes")
+def _(spark, sf):
+    """Branches that differ once some texts are edited, and rows whose text is empty are gone."""
+    docs = table(spark, sf, "documents")
+    edited = docs.where("length(text) > 20").withColumn("text", F.expr("CASE WHEN doc_id % 97 = 5 THEN concat(text, '!') ELSE text END"))
+    return snapshot.changed_branches(document_branches(docs), document_branches(edited))
+
+
 # --- streams ---------------------------------------------------------------------------------
 
 
