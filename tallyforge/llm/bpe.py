@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
 #: Distinct words of one recursive query, and words whose ids a task remembers.
-QUERY_WORDS = 50_000
-MEMORY_WORDS = 400_000
+QUERY_WORDS = 10_000
+MEMORY_WORDS = 300_000
 #: Tokens of one decoding query, and characters of texts handled at once.
-QUERY_TOKENS = 1_000_000
-GROUP_CHARS = 4_000_000
+QUERY_TOKENS = 200_000
+GROUP_CHARS = 2_000_000
 #: Words of more bytes are contracted by a heap: the recursion costs rows times steps.
 RECURSION_BYTES = 64
 
@@ -68,14 +68,16 @@ class Codec:
     ``ranks`` is the content of the file: base64 of a token's bytes and its
     rank, which is its id. The merge table holds every pair of tokens whose
     bytes together are a token. Distinct words are encoded and their ids
-    decoded once and remembered; the memory is emptied when it is full.
+    decoded once. Their ids are remembered, and what they decode to where that
+    is not the word itself; the memory is emptied when it is full.
     """
 
     def __init__(self, ranks: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.token_bytes = {rank: token for token, rank in self.ranks.items()}
         self.split = splitter(pattern)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         merges = [
             (a, b, rank)
@@ -85,7 +87,7 @@ class Codec:
         ]
         left, right, rank = (pa.array(x, pa.int32()) for x in (zip(*merges) if merges else ([], [], [])))
         pieces = {"tok": pa.array(self.ranks.values(), pa.int32()), "piece": [t.decode("latin-1") for t in self.ranks]}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self._table("merges", pa.table({"l": left, "r": right, "rank": rank}))
         self._table("pieces", pa.table(pieces))
 
@@ -101,25 +103,29 @@ class Codec:
         missing = words - known.keys()
         if len(known) + len(missing) > MEMORY_WORDS:
             known.clear()
+            self.odd.clear()
             missing = words
         self._learn(missing)
-        ids, decoded = [], []
-        for own in split:
-            pairs = [known[w] for w in own]
-            ids.append(b"".join([p[0] for p in pairs]))
-            decoded.append(b"".join([p[1] for p in pairs]))
-        return ids, decoded
+        ids = [b"".join([known[w] for w in own]) for own in split]
+        if not self.odd:
+            return ids, ["".join(own).encode() for own in split]
+        return ids, [b"".join([self.odd.get(w) or w.encode() for w in own]) for own in split]
+
+    def _remember(self, word: str, ids: bytes, decoded: bytes) -> None:
+        self.known[word] = ids
+        if decoded != word.encode():
+            self.odd[word] = decoded
 
     def _learn(self, words: set[str]) -> None:
         """Ids of new words, and the bytes those ids decode to; equal words share the work."""
-        known, parts = self.known, []
+        parts = []
         for word in words:
             raw = word.encode()
             if (whole := self.ranks.get(raw)) is not None:
-                known[word] = whole.to_bytes(4, "little"), self.token_bytes[whole]
+                self._remember(word, whole.to_bytes(4, "little"), self.token_bytes[whole])
             elif len(raw) > RECURSION_BYTES:
                 ids = np.array(self._long(raw), "<u4").tobytes()
-                known[word] = ids, self.decode([ids])[0]
+                self._remember(word, ids, self.decode([ids])[0])
             else:
                 parts.append((word, raw))
         for first in range(0, len(parts), QUERY_WORDS):
@@ -146,7 +152,7 @@ class Codec:
         flat, at = ids.values.to_numpy().astype("<u4").tobytes(), (ids.offsets.to_numpy() * 4).tolist()
         decoded = [text.encode("latin-1") for text in found["bytes"].to_pylist()]
         for (word, _), a, b, own in zip(parts, at, at[1:], decoded):
-            self.known[word] = flat[a:b], own
+            self._remember(word, flat[a:b], own)
 
     def _long(self, raw: bytes) -> list[int]:
         """The same contraction by a heap of pairs over linked places."""
@@ -174,7 +180,14 @@ class Codec:
         return [self.ranks[t] for t in tokens if t]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        """Bytes of each id sequence, by aggregation in token order."""
+        """Bytes of each id sequence, by aggregation in token order; a single id is looked up."""
+        result = [self.token_bytes[int.from_bytes(own, "little")] if len(own) == 4 else b"" for own in ids]
+        places = [i for i, own in enumerate(ids) if len(own) > 4]
+        for i, text in zip(places, self._decode_all([ids[i] for i in places])):
+            result[i] = text
+        return result
+
+    def _decode_all(self, ids: list[bytes]) -> list[bytes]:
         result, group, held = [], [], 0
         for own in ids:
             group.append(np.frombuffer(own, "<u4"))
@@ -230,20 +243,19 @@ def token_columns(ranks: bytes, pattern: str, spark) -> object:
 
     def encode_decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec(shared.value, pattern)
+
+        def columns(texts: list[str]) -> pa.Array:
+            return pa.StructArray.from_arrays([pa.array(x, pa.binary()) for x in codec.encode(texts)], names=["ids", "decoded"])
+
         for texts in batches:
-            ids, decoded, group, size = [], [], [], 0
-            for text in texts.to_pylist():
-                group.append(text or "")
+            coded, group, size = [], [], 0
+            for text in texts:
+                group.append(text.as_py() or "")
                 size += len(group[-1])
                 if size >= GROUP_CHARS:
-                    more = codec.encode(group)
-                    ids, decoded = ids + more[0], decoded + more[1]
+                    coded.append(columns(group))
                     group, size = [], 0
-            more = codec.encode(group)
-            ids, decoded = ids + more[0], decoded + more[1]
-            yield pa.StructArray.from_arrays(
-                [pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["ids", "decoded"]
-            )
+            yield pa.concat_arrays([*coded, columns(group)])
 
     return F.arrow_udf(encode_decode, StructType().add("ids", BinaryType()).add("decoded", BinaryType()))
 
