@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,15 +13,18 @@ from tallyforge.llm.common import components, own_name, settle
 #: Lines are alike from this Jaccard similarity of their sets of all ``SHINGLE`` characters in a row.
 SIMILARITY = 0.8
 SHINGLE = 5
-#: Signatures: ``BANDS`` bands of ``BAND_ROWS`` minima over anchored shingles of ``ANCHORED`` characters.
+#: Signatures: ``BANDS`` bands of ``BAND_ROWS`` minima over shingles of ``ANCHORED`` characters, blanks left out.
 BANDS = 8
 BAND_ROWS = 4
 ANCHORED = 7
-#: Lines with fewer blanks than one in so many characters are anchored at every character.
+#: Characters a blank from which on lines are anchored at every character; up to twice as many at words too.
 SPARSE = 16
-#: Up to so many candidate lines (a long each) are broadcast to fetch their texts; more are joined by shuffle.
+#: Plan only, results agree: up to so many candidate lines (a long each), or numbers of lines to drop, are broadcast;
+#: more are joined by shuffle.
 BROADCAST_LINES = 2_000_000
-#: Up to so many odd lines meet all lines of their bucket; more are dealt by rare shingles first.
+#: Lines of a mixed bucket that all others are compared with, one after the other.
+STARS = 3
+#: Plan only, results agree: up to so many odd lines meet all lines of their bucket; more are dealt by rare shingles first.
 FEW_ODD = 256
 #: Longs of parity bits a line, a power of two, and what sums of fractions may be off by.
 PARITIES = 8
@@ -37,62 +41,70 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
-    """``h`` and the minima of each distinct line's anchored shingles under ``BANDS * BAND_ROWS`` orders.
-
-    A shingle starts at every word (at every character where blanks are
-    sparse) and takes the characters from there, blanks left out: a
-    content-defined choice among all character shingles, so equal stretches of
-    two lines give equal shingles. Masks of a 32-bit hash give the orders.
+    """``h``, ``kind`` and the minima of each distinct line's anchored shingles under ``BANDS * BAND_ROWS`` orders.
+
+    A shingle takes the characters from its anchor on, blanks left out.
+    Anchors are the starts of words (kind 0), or all characters where blanks
+    are sparse (kind 1): a content-defined choice, so equal stretches of two
+    lines give equal shingles. Lines between ``SPARSE`` and twice as many
+    characters a blank have signatures of both kinds, so a few blanks more or
+    less part no two lines. Masks of a 32-bit hash give the orders.
     """
     blanks = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
-    units = F.when(F.length("line") > SPARSE * (blanks + 1), F.split("line", "")).otherwise(F.split("line", " "))
-    placed = lines.select("h", units.alias("units")).select(
-        "h", "units", F.explode(F.sequence(F.lit(0), F.size("units") - 1)).alias("i")
-    )
+    words = F.when(F.length("line") <= 2 * SPARSE * (blanks + 1), F.split("line", " "))
+    letters = F.when(F.length("line") > SPARSE * (blanks + 1), F.split(F.replace("line", F.lit(" "), F.lit("")), ""))
+    kinds = lines.select("h", F.posexplode(F.array(words, letters)).alias("kind", "units")).where("units IS NOT NULL")
+    placed = kinds.select("h", "kind", "units", F.explode(F.sequence(F.lit(0), F.size("units") - 1)).alias("i"))
     run = F.concat_ws("", *[F.get("units", F.col("i") + j) for j in range(ANCHORED)])
-    hashed = placed.where(F.get("units", "i") != "").select("h", F.hash(F.substring(run, 1, ANCHORED)).alias("s"))
+    hashed = placed.where(F.get("units", "i") != "").select("h", "kind", F.hash(F.substring(run, 1, ANCHORED)).alias("s"))
     masks = random.Random(20_011)
     minima = [
         F.min(F.col("s").bitwiseXOR(F.lit(masks.getrandbits(31)))).alias(f"m{k}") for k in range(BANDS * BAND_ROWS)
     ]
-    return hashed.groupBy("h").agg(*minima)
+    return hashed.groupBy("h", "kind").agg(*minima)
 
 
 def _bands(signatures: DataFrame) -> DataFrame:
-    """``h`` and the keys of its bands, which tell the bands apart too."""
-    keys = [F.xxhash64(F.lit(b), *[f"m{b * BAND_ROWS + r}" for r in range(BAND_ROWS)]) for b in range(BANDS)]
+    """``h`` and the keys of its bands, which tell the bands and kinds apart too."""
+    number = [F.lit(b) + BANDS * F.col("kind") for b in range(BANDS)]
+    keys = [F.xxhash64(number[b], *[f"m{b * BAND_ROWS + r}" for r in range(BAND_ROWS)]) for b in range(BANDS)]
     return signatures.select("h", F.array(*keys).alias("bands"))
 
 
-def _star(rows: DataFrame) -> DataFrame:
-    """``band``, ``rep``, ``h``: each line of a bucket against the bucket's representative, its smallest line."""
-    least = F.min("h").over(Window.partitionBy("band"))
-    return rows.select("band", least.alias("rep"), "h").where("rep <> h")
-
-
 def _candidates(bands: DataFrame) -> DataFrame:
-    return _star(bands.select("h", F.explode("bands").alias("band")))
+    """``band``, ``rep``, ``h``: each line of a bucket against the bucket's representative, its smallest line.
 
+    Buckets are folded before they meet their lines again, so that none comes to one task.
+    """
+    rows = settle(bands, "lines-bands").select("h", F.explode("bands").alias("band"))
+    buckets = rows.groupBy("band").agg(F.min("h").alias("rep"), F.max("h").alias("most"), F.count("*").alias("n")).where("n > 1")
+    buckets = settle(buckets, "lines-buckets")
+    more = rows.join(buckets.where("n > 2").select("band", "rep"), "band").where("rep <> h")
+    return buckets.where("n = 2").select("band", "rep", F.col("most").alias("h")).union(more.select("band", "rep", "h"))
 
-def _pieces(text: Column, size: int) -> Column:
+
+def _overlapping(text: Column, size: int) -> Column:
     """Pieces that begin every ``size`` characters and overlap by a shingle less one character."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(text) - SHINGLE + 1, F.lit(1)), F.lit(size))
     return F.transform(starts, lambda p: F.substring(text, p, F.lit(size + SHINGLE - 1)))
 
 
-def _shingles(line: Column) -> Column:
-    """Hashes (64 bits) of all shingles of a line, each once.
+def _pieces(text: Column, size: int) -> Column:
+    """Small overlapping pieces of a text. A character is found by walking from the start, so large pieces are cut first."""
+    large = _overlapping(text, 4096)
+    return F.when(F.length(text) <= 4096, _overlapping(text, size)).otherwise(
+        F.flatten(F.transform(large, lambda part: _overlapping(part, size)))
+    )
 
-    A character is found by walking from the start, so the line is cut into
-    pieces, and those again, before shingles are taken.
-    """
+
+def _shingles(line: Column) -> Column:
+    """Hashes (64 bits) of all shingles of a line, each once."""
 
     def within(part: Column) -> Column:
         last = F.greatest(F.length(part) - SHINGLE + 1, F.lit(1))
         return F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(part, i, F.lit(SHINGLE))))
 
-    small = F.flatten(F.transform(_pieces(line, 4096), lambda part: _pieces(part, 32)))
-    return F.array_distinct(F.flatten(F.transform(small, within)))
+    return F.array_distinct(F.flatten(F.transform(_pieces(line, 32), within)))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -126,28 +138,38 @@ def _mixed(star: DataFrame, rest: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(main.where("n_odd > 0"), "band").select("band", "h", "root", odd, "n_odd")
 
 
-def _measures(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+def _measures(texts: DataFrame) -> DataFrame:
     """``h``, the number ``n`` of a line's shingles, and the parities ``p0``... of their numbers by 512 hash values.
 
     Two parities differ only where a shingle is in one line and not in the
     other, so lines have at least as many shingles apart as parities.
     """
-    rows = texts.join(wanted, "h").select("h", F.explode(_shingles(F.col("line"))).alias("s"))
+    rows = texts.select("h", F.explode(_shingles(F.col("line"))).alias("s"))
     bit = F.expr("shiftleft(1L, CAST(s & 63 AS INT))")
     word = F.expr(f"shiftrightunsigned(s, 6) & {PARITIES - 1}")
     parities = [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(PARITIES)]
     return rows.groupBy("h").agg(F.count("*").alias("n"), *parities)
 
 
-def _met(left: DataFrame, right: DataFrame, on: list[str], *more: Column) -> DataFrame:
-    """Pairs ``a`` < ``b`` of other components with equal ``on`` that may be alike by size and parities."""
-    x, y = left.alias("x"), right.alias("y")
+def _may_be_alike() -> Column:
+    """Whether lines ``x`` and ``y`` with their measures may be alike by size and parities; no alike pair fails."""
     both = F.col("x.n") + F.col("y.n")
     apart = sum((F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(PARITIES)), F.lit(0))
     fits = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * SIMILARITY - SLACK
-    fits &= apart <= both * (1 - SIMILARITY) / (1 + SIMILARITY) + SLACK
+    return fits & (apart <= both * (1 - SIMILARITY) / (1 + SIMILARITY) + SLACK)
+
+
+def _plausible(pairs: DataFrame, measured: DataFrame) -> DataFrame:
+    x = pairs.join(measured.withColumnRenamed("h", "a"), "a").alias("x")
+    met = x.join(measured.alias("y"), F.col("x.b") == F.col("y.h"))
+    return met.where(_may_be_alike()).select("a", "b")
+
+
+def _met(left: DataFrame, right: DataFrame, on: list[str], *more: Column) -> DataFrame:
+    """Pairs ``a`` < ``b`` of other components with equal ``on`` that may be alike by size and parities."""
+    x, y = left.alias("x"), right.alias("y")
     keys = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on]
-    met = x.join(y, [*keys, F.col("x.root") != F.col("y.root"), *more, fits])
+    met = x.join(y, [*keys, F.col("x.root") != F.col("y.root"), *more, _may_be_alike()])
     return met.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b"))
 
 
@@ -169,14 +191,14 @@ def _prefixes(members: DataFrame, texts: DataFrame) -> DataFrame:
     return ranked.join(members, ["band", "h"]).where(F.col("place") <= longest).withColumn("short", short).drop("place")
 
 
-def _rest_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+def _rest_pairs(members: DataFrame, texts: DataFrame, measured: DataFrame) -> DataFrame:
     """All pairs ``a``, ``b`` of mixed buckets that may be alike and are not known to be of one component.
 
     Odd lines meet every line of their bucket, or, where they are many, every
     line that shares a shingle of both prefixes. What is left out is not alike.
     """
-    measured = settle(members.join(_measures(texts, members.select("h").distinct()), "h"), "lines-mixed")
-    few, many = measured.where(F.col("n_odd") <= FEW_ODD), measured.where(F.col("n_odd") > FEW_ODD)
+    rows = settle(members.join(measured, "h"), "lines-mixed")
+    few, many = rows.where(F.col("n_odd") <= FEW_ODD), rows.where(F.col("n_odd") > FEW_ODD)
     pairs = _met(few.where("odd"), few, ["band"])
     if not many.isEmpty():
         keyed = settle(_prefixes(many, texts), "lines-prefixes")
@@ -185,26 +207,59 @@ def _rest_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
+def _stars(star: DataFrame, texts: DataFrame, measured: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links, pairs tried, and ``band``, ``rep``, ``h`` of the lines that are odd to their bucket's first representative.
+
+    Where lines are odd, the smallest of them is compared with the whole
+    bucket too, up to ``STARS`` times: each time costs as many pairs as the
+    bucket has lines, and lines that are alike find into few components.
+    """
+    links, tried, rest, now, odd = [], [], None, star, star
+    for turn in range(STARS):
+        pairs = now.select(F.least("rep", "h").alias("a"), F.greatest("rep", "h").alias("b")).distinct()
+        for before in tried:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        tried.append(settle(pairs, "lines-tried"))
+        links.append(settle(_verified(_plausible(tried[-1], measured), texts), "lines-alike"))
+        if rest is not None and turn == STARS - 1:
+            break
+        a, b, found = F.col("a"), F.col("b"), reduce(DataFrame.union, links)
+        linked = found.select(a.alias("rep"), b.alias("h")).union(found.select(b.alias("rep"), a.alias("h")))
+        left = now.join(linked, ["rep", "h"], "left_anti")
+        odd = settle(left if rest is None else left.join(odd, ["band", "h"], "left_semi"), "lines-odd")
+        if rest is None:
+            rest = odd
+            members = star.select("band", "h").union(star.select("band", F.col("rep").alias("h")).distinct())
+        least = odd.groupBy("band").agg(F.min("h").alias("next"))
+        if odd.isEmpty():
+            break
+        now = settle(members.join(least, "band").where("h <> next").select("band", F.col("next").alias("rep"), "h"), "lines-star")
+        odd = odd.join(least, "band").where("h <> next").select("band", "h")
+    return reduce(DataFrame.union, links), reduce(DataFrame.union, tried), rest
+
+
 def _links(lines: DataFrame) -> DataFrame:
     """Links ``a``, ``b`` between the hashes of different lines, with the components of all verified pairs.
 
-    In each bucket all lines are compared with its representative. Where that
-    leaves several components in a bucket, its odd lines are compared with
-    every other line of their bucket, so that no link inside a bucket is missed.
+    In each bucket all lines are compared with its representative, and with
+    further ones where lines are odd. Where that leaves several components in
+    a bucket, the lines outside its largest one are compared with every other
+    line of their bucket, so that no link inside a bucket is missed.
     """
     star = settle(_candidates(_bands(_signatures(lines))), "lines-star")
     wanted = settle(star.select("h").union(star.select("rep")).distinct(), "lines-wanted")
     texts = settle(_texts(lines, wanted), "lines-texts")
-    first = star.select(F.col("rep").alias("a"), F.col("h").alias("b")).distinct()
-    alike = settle(_verified(first, texts), "lines-alike")
-    done = alike.select(F.col("a").alias("rep"), F.col("b").alias("h"))
-    rest = settle(star.join(done, ["rep", "h"], "left_anti"), "lines-rest")
+    measured = settle(_measures(texts), "lines-measured")
+    alike, tried, rest = _stars(star, texts, measured)
+    # In a bucket of two lines there is no other pair to try.
+    larger = star.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    rest = rest.join(larger, "band", "left_semi")
     if rest.isEmpty():
         return alike
     known = components(alike, "lines").where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     known = settle(known, "lines-known")
-    second = _rest_pairs(_mixed(star, rest, known), texts).join(first, ["a", "b"], "left_anti")
-    return known.union(settle(_verified(second, texts), "lines-alike"))
+    second = _rest_pairs(_mixed(star, rest, known), texts, measured).join(tried, ["a", "b"], "left_anti")
+    return known.select(F.col("b").alias("a"), F.col("a").alias("b")).union(settle(_verified(second, texts), "lines-alike"))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,7 +288,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text or its blank lines; a null text stays null with no lines. Rows of
     equal id and text are one document given twice and are cut alike. An
     empty table gives no rows. Counts whose names the table has already get
-    underscores behind. Texts move once, to meet the list of lines to drop.
+    underscores behind. Texts move once to meet the list of lines to drop,
+    or not at all where that is short.
     """
     gone = repeated_lines(docs, id_col, text_col)
     names = {n: own_name(docs.columns, n) for n in ("lines_doc", "lines_id", "lines_key", "lines_gone", "n_lines", "n_removed")}
@@ -241,8 +297,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col("id").alias(names["lines_id"]), F.col("doc").alias(names["lines_key"]), F.col("gone").alias(names["lines_gone"])
     )
     keyed = docs.withColumn(names["lines_doc"], F.xxhash64(text_col))
+    gone = settle(gone, "lines-gone")
+    listed = gone.agg(F.coalesce(F.sum(1 + F.size(names["lines_gone"])), F.lit(0))).first()[0]
     met = keyed.join(
-        gone,
+        F.broadcast(gone) if listed <= BROADCAST_LINES else gone,
         keyed[id_col].eqNullSafe(gone[names["lines_id"]]) & (keyed[names["lines_doc"]] == gone[names["lines_key"]]),
         "left",
     )

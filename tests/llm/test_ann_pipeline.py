@@ -1,15 +1,19 @@
 """Nearest vectors against brute force, and the pipeline's stages on their own inputs."""
 
+import base64
+import hashlib
 import re
 
 import numpy as np
 import pytest
 from conftest import plain
 from pyspark.sql import functions as F
+from test_dedup import slow_fingerprint, union_find
+from test_mixing_tokens_chat import slow_targets
 
 import corpus_pipeline
 from tallyforge.llm import ann, lines, quality, simhash
-from tallyforge.llm.queries import QUERIES
+from tallyforge.llm.queries import QUERIES, vocabulary
 
 SF = "/root/testdata/sf0.001"
 
@@ -96,6 +100,39 @@ def test_stage_of_mixing_takes_copies(stages):
     assert 0.8 < words(after) / words(before.values()) < 1.2
 
 
+def test_near_duplicate_stage_matches_all_pairs(stages):
+    rows = [(r["doc_id"], r["text"]) for r in stages[2].collect()]
+    prints = {i: slow_fingerprint(t) for i, t in rows}
+    ids = sorted(prints)
+    pairs = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 2]
+    assert {r["doc_id"] for r in stages[3].collect()} == set(union_find(ids, pairs).values())
+
+
+def test_mixing_stage_comes_near_plain_targets(stages):
+    words = lambda text: len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    sizes, largest, taken = {}, {}, {}
+    for r in stages[3].collect():
+        sizes[r["source"]] = sizes.get(r["source"], 0) + words(r["text"])
+        largest[r["source"]] = max(largest.get(r["source"], 0), words(r["text"]))
+    for r in stages[4].collect():
+        taken[r["source"]] = taken.get(r["source"], 0) + words(r["text"])
+    for source, target in slow_targets(sizes).items():
+        assert abs(taken.get(source, 0) - target) <= largest[source] + 1, source
+
+
+def test_token_stage_gives_the_ids_of_the_library(stages):
+    import tiktoken
+
+    ranks, pattern = vocabulary("byte_bpe_multi_50k.tiktoken")
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+    expected = []
+    for r in stages[4].collect():
+        ids = np.array(own.encode_ordinary(r["text"] or ""), "<u4")
+        expected.append((r["doc_id"], len(ids), hashlib.sha256(ids.tobytes()).hexdigest()))
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in stages[5].collect()) == sorted(expected)
+
+
 def test_last_stage_decodes_to_the_texts(spark, stages):
     texts = stages[4].select("doc_id", F.sha2("text", 256).alias("decoded_sha256"))
     assert plain(stages[5].select("doc_id", "decoded_sha256").collect()) == plain(texts.collect())

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -173,6 +174,29 @@ def test_recall_among_lines_that_share_a_passage(docs):
     assert cut <= expected and len(cut) >= 0.97 * len(expected)
 
 
+@pytest.mark.parametrize("blanks", [0, 5, 40, 99])
+def test_a_blank_more_or_less_parts_no_lines(docs, blanks):
+    """Lines of long words around the limit where anchors change, and lines without blanks."""
+    rng = random.Random(blanks)
+    units = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(12, 20))) for _ in range(100)]
+    line = "".join(u + (" " if i < blanks else "") for i, u in enumerate(units))
+    more, less = line[:700] + " " + line[700:], line.replace(" ", "", 1)
+    cut = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs([(1, line), (2, more), (3, less), (4, "other line")])).collect()}
+    assert cut == {1: line, 2: "", 3: "", 4: "other line"}
+
+
+def alike_pairs(texts):
+    """All pairs at 0.8 or more, through an index of shingles: sizes of intersections, no pair left out."""
+    sets = [{t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in texts]
+    numbers = {s: n for n, s in enumerate(set().union(*sets))}
+    table = np.zeros((len(texts), len(numbers)), np.float32)
+    for row, own in zip(table, sets):
+        row[[numbers[s] for s in own]] = 1
+    shared, sizes = table @ table.T, table.sum(axis=1)
+    a, b = np.nonzero(shared >= 0.8 * (sizes[:, None] + sizes[None] - shared) - 1e-3)
+    return [(int(x), int(y)) for x, y in zip(a, b) if x < y and jaccard(texts[x], texts[y]) >= 0.8]
+
+
 def links_of_one_bucket(spark, texts, monkeypatch):
     """Links when all lines share one band, whose representative is the first."""
     star = spark.createDataFrame([(1, 0, h) for h in range(1, len(texts))], "band bigint, rep bigint, h bigint")
@@ -198,7 +222,7 @@ def test_templates_of_thousands_of_lines_lose_no_link(spark, monkeypatch, few, s
     for i in range(1200):
         line = f"{template} " + "".join(rng.choice("klmnopqrstuvwxyz") for _ in range(own))
         texts += [line, "xy" + line[2:] + "z"] if i % 2 else [line]
-    expected = [(n, n + 1) for n, (a, b) in enumerate(zip(texts, texts[1:])) if jaccard(a, b) >= 0.8]
+    expected = alike_pairs(texts)
     assert len(expected) >= 600
     found = links_of_one_bucket(spark, texts, monkeypatch)
     assert union_find(range(len(texts)), found) == union_find(range(len(texts)), expected)
