@@ -103,17 +103,30 @@ def _copies(marks: DataFrame) -> DataFrame:
     return folded.join(reps, same).select("key", F.col("rep.key").alias("rep"), (F.col("begin") - F.col("rep.begin")).alias("shift"), "n")
 
 
-def _rarest(marks: DataFrame, votes: int) -> DataFrame:
-    """Marks of each key but for its ``votes - 1`` most frequent ones, most frequent over all keys.
+def _ranked(marks: DataFrame, votes: int) -> DataFrame:
+    """``marks`` of keys that have ``votes`` or more, with ``place``: 1 for a key's mark that is most frequent over all keys.
 
-    Two series that share ``votes`` marks or more share one of these: in the
-    common order of all marks the first shared one is followed by ``votes - 1``
-    more in both.
+    At one shift the marks that two series share come in the same order in
+    both. If they are ``votes`` or more, the first of them has ``votes - 1``
+    more behind it in both series, so it is none of the most frequent ones
+    (``place < votes``) of either.
     """
     counts = marks.groupBy(*MARK).agg(F.count(F.lit(1)).alias("f"))
     sizes = marks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= votes)
     ranked = row_numbers(marks.join(counts, MARK), ["key"], ["f", *MARK, "at"], "rank")
-    return ranked.join(sizes, "key").where(F.col("rank") <= F.col("n") - votes + 1).select("key", *MARK).distinct()
+    return ranked.join(sizes, "key").select("key", "at", *MARK, (F.col("n") - F.col("rank") + 1).alias("place"))
+
+
+PAIR = ["key_a", "key_b", "shift"]
+
+
+def _shared(pairs: DataFrame, frequent: DataFrame, marks: DataFrame, mine: str, other: str, sign: int) -> DataFrame:
+    """``pairs`` once for each of the first ``most`` frequent marks of ``mine`` that the shifted series ``other`` has too."""
+    of_mine = frequent.withColumnsRenamed({"key": mine, "at": "at_mine"})
+    of_other = marks.select(F.col("key").alias(other), F.col("at").alias("at_other"), *MARK)
+    held = pairs.join(of_mine, mine).where(F.col("place") <= F.col("most"))
+    held = held.withColumn("at_other", F.col("at_mine") + sign * F.col("shift"))
+    return held.join(of_other, [other, "at_other", *MARK]).select(*PAIR)
 
 
 def repeated_series(
@@ -136,21 +149,28 @@ def repeated_series(
     Keys with the same marks throughout are copies (``copy``): each is paired
     with the smallest of them only, and that one stands for them in the other
     pairs, so a group of any size gives as many rows as it has keys. Keys meet
-    through their rarer marks only (``_rarest``), which loses no pair, and only
-    pairs that met have their votes counted. Frequent marks thus neither meet
+    through their rarer marks only (``_ranked``), which loses no pair and counts
+    the votes of these; votes of the at most ``votes - 1`` more frequent marks of
+    a key are looked up for what met. Frequent marks thus neither meet
     all their keys nor get lost. Series with fewer than ``votes`` marks are
     never paired; an empty table gives no rows.
     """
     marks = settled(landmarks(series, key, ts, tie, value, unit, bucket, fan), "series-marks")
     copies = settled(_copies(marks), "series-copies")
     single = settled(marks.join(copies.where("key = rep").select("key"), "key", "left_semi"), "series-single")
-    rare = settled(_rarest(single, votes), "series-rare")
-    a, b = rare.withColumnRenamed("key", "key_a"), rare.withColumnRenamed("key", "key_b")
-    pairs = settled(a.join(b, MARK).where("key_a < key_b").select("key_a", "key_b").distinct(), "series-pairs")
-    left = pairs.join(single.withColumnsRenamed({"key": "key_a", "at": "at_a"}), "key_a")
-    right = single.withColumnsRenamed({"key": "key_b", "at": "at_b"})
+    ranked = settled(_ranked(single, votes), "series-ranked")
+    rare, frequent = ranked.where(F.col("place") >= votes).drop("place"), ranked.where(F.col("place") < votes)
+    a, b = (rare.withColumnsRenamed({"key": f"key_{side}", "at": f"at_{side}"}) for side in "ab")
     shift = (F.col("at_b") - F.col("at_a")).alias("shift")
-    histogram = left.join(right, ["key_b", *MARK]).groupBy("key_a", "key_b", shift).agg(F.count(F.lit(1)).alias("votes"))
+    met = a.join(b, MARK).where("key_a < key_b").groupBy("key_a", "key_b", shift).agg(F.count(F.lit(1)).alias("n"))
+    met = settled(met, "series-met")
+    # A pair that lacks votes finds them among one side's most frequent marks, and misses fewer of these than it has votes.
+    few = met.where(F.col("n") < votes).select(*PAIR, F.col("n").alias("most"))
+    probed = _shared(few, frequent, ranked, "key_a", "key_b", 1).union(_shared(few, frequent, ranked, "key_b", "key_a", -1))
+    near = settled(met.where(F.col("n") >= votes).select(*PAIR).union(probed).distinct(), "series-near").withColumn("most", F.lit(votes))
+    late = _shared(near, frequent, ranked, "key_a", "key_b", 1).union(_shared(near, frequent, rare, "key_b", "key_a", -1))
+    whole = met.join(near.select(*PAIR), PAIR, "left_semi").union(late.withColumn("n", F.lit(1).cast("long")))
+    histogram = whole.groupBy(*PAIR).agg(F.sum("n").alias("votes"))
     best = F.max(F.struct("votes", (-F.col("shift")).alias("back"))).alias("best")
     counted = histogram.where(F.col("votes") >= votes).groupBy("key_a", "key_b").agg(best)
     matched = counted.select("key_a", "key_b", (-F.col("best.back")).alias("shift"), F.col("best.votes").alias("votes"), F.lit(False).alias("copy"))

@@ -190,6 +190,25 @@ def test_repeated_series_match_all_pairs(spark, levels):
     assert series.repeated_series(df.where("false"), "k", "ts", "i", "v").collect() == []
 
 
+def test_chance_meetings_are_dropped_before_votes_are_looked_up(spark, monkeypatch):
+    """Series that share a mark by chance must not have all their marks moved to each other."""
+    rng, rows, counts = random.Random(12), [], {}
+    for key in range(60):
+        rows += [(len(rows) + t, f"k{key}", ZERO + timedelta(hours=2 * t), float(rng.randint(0, 12))) for t in range(60)]
+    settled = series.settled
+
+    def counting(df, name):
+        kept = settled(df, name)
+        counts[name] = kept.count()
+        return kept
+
+    monkeypatch.setattr(series, "settled", counting)
+    df = spark.createDataFrame(rows, KIND)
+    found = {tuple(r) for r in series.repeated_series(df, "k", "ts", "i", "v", 3600.0, 1.0, 3, 5).collect()}
+    assert found == slow_pairs(slow_marks(rows, 3600.0, 1.0), 5)
+    assert counts["series-met"] > 1000 and counts["series-near"] < counts["series-met"] / 10
+
+
 def slow_sessions(rows, gap):
     found = []
     for key, own in by_key(rows).items():
