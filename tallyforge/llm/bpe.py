@@ -13,7 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Distinct words of one recursive query, and words whose ids a task remembers.
 QUERY_WORDS = 10_000
@@ -237,27 +237,34 @@ def splitter(pattern: str):
     return split
 
 
-def token_columns(ranks: bytes, pattern: str, spark) -> object:
-    """A column function from text to ``ids`` (binary of 32-bit ids) and ``decoded``, the bytes those ids stand for."""
+def token_rows(ranks: bytes, pattern: str, spark) -> object:
+    """A function over batches whose last column is the text: it gives way to ``ids`` (binary of 32-bit ids) and ``decoded``.
+
+    Rows leave in groups of about ``GROUP_CHARS`` characters, so a task holds the result of a group and not of a batch.
+    """
     shared = spark.sparkContext.broadcast(ranks)
 
-    def encode_decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def encode_decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value, pattern)
 
-        def columns(texts: list[str]) -> pa.Array:
-            return pa.StructArray.from_arrays([pa.array(x, pa.binary()) for x in codec.encode(texts)], names=["ids", "decoded"])
+        def coded(batch: pa.RecordBatch, first: int, texts: list[str]) -> pa.RecordBatch:
+            kept = batch.slice(first, len(texts)).columns[:-1]
+            found = [pa.array(x, pa.binary()) for x in codec.encode(texts)]
+            return pa.RecordBatch.from_arrays([*kept, *found], names=[*batch.schema.names[:-1], "ids", "decoded"])
 
-        for texts in batches:
-            coded, group, size = [], [], 0
-            for text in texts:
+        for batch in batches:
+            group, size, first = [], 0, 0
+            for text in batch.column(batch.num_columns - 1):
                 group.append(text.as_py() or "")
                 size += len(group[-1])
                 if size >= GROUP_CHARS:
-                    coded.append(columns(group))
+                    yield coded(batch, first, group)
+                    first += len(group)
                     group, size = [], 0
-            yield pa.concat_arrays([*coded, columns(group)])
+            if group:
+                yield coded(batch, first, group)
 
-    return F.arrow_udf(encode_decode, StructType().add("ids", BinaryType()).add("decoded", BinaryType()))
+    return encode_decode
 
 
 def tokenize(docs: DataFrame, ranks: bytes, pattern: str, keep: list, text_col: str = "text") -> DataFrame:
@@ -267,9 +274,9 @@ def tokenize(docs: DataFrame, ranks: bytes, pattern: str, keep: list, text_col:
     null and empty texts give empty binaries. Repeated rows come back alike.
     The vocabulary bounds the broadcast rank file. No shuffle.
     """
-    found = token_columns(ranks, pattern, docs.sparkSession)(F.col(text_col))
-    kept = docs.select(*keep).columns
-    return docs.select(*keep, found.alias("found_tokens")).select(*[f"`{c}`" for c in kept], "found_tokens.*")
+    rows = docs.select(*keep, F.col(text_col).alias("found_text"))
+    schema = StructType([*rows.schema.fields[:-1], StructField("ids", BinaryType()), StructField("decoded", BinaryType())])
+    return rows.mapInArrow(token_rows(ranks, pattern, docs.sparkSession), schema)
 
 
 def decode_ids(tokens: DataFrame, ranks: bytes, pattern: str, keep: list, ids_col: str = "ids") -> DataFrame:

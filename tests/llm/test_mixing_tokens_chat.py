@@ -6,6 +6,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -140,6 +141,17 @@ def test_memory_is_emptied_when_full():
         bpe.MEMORY_WORDS = limit
 
 
+def test_results_leave_in_groups(spark, monkeypatch):
+    """A batch of long texts must not be held as a whole result beside its input."""
+    monkeypatch.setattr(bpe, "GROUP_CHARS", 100)
+    texts = [None, "", "one two " * 9, "x" * 300] * 25
+    batch = pa.RecordBatch.from_pydict({"i": list(range(100)), "t": pa.array(texts, pa.string())})
+    found = list(bpe.token_rows(RANKS, PATTERN, spark)(iter([batch, batch.slice(0, 0)])))
+    assert len(found) >= 25 and max(b.num_rows for b in found) <= 4
+    assert [i for b in found for i in b.column("i").to_pylist()] == list(range(100))
+    assert [d for b in found for d in b.column("decoded").to_pylist()] == [(t or "").encode() for t in texts]
+
+
 def test_tokens_of_odd_rows(docs):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(None, None), (0, "")]
     frame = docs(rows).withColumnsRenamed({"lang": "ids", "source": "decoded", "n_chars": "found_tokens"})
