@@ -104,9 +104,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("h").alias("a"), F.col("line").alias("line_a"))
     right = texts.select(F.col("h").alias("b"), F.col("line").alias("line_b"))
     met = pairs.join(left, "a").join(right, "b")
-    sets = met.select("a", "b", _shingles(F.col("line_a")).alias("x"), _shingles(F.col("line_b")).alias("y"))
-    shared = sets.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("all"))
-    return shared.where(F.col("n") >= SIMILARITY * (F.col("all") - F.col("n"))).select("a", "b")
+    # A filter over computed columns would compute both sets again for each mention; bound like this they are made once.
+    sets = F.array(F.struct(_shingles(F.col("line_a")).alias("x"), _shingles(F.col("line_b")).alias("y")))
+    sizes = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s.x, s.y)).alias("n"), (F.size(s.x) + F.size(s.y)).alias("all")))
+    return met.where(F.exists(sizes, lambda s: s.n >= SIMILARITY * (s.all - s.n))).select("a", "b")
 
 
 def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -241,7 +242,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     or not at all where that is short.
     """
     gone = repeated_lines(docs, id_col, text_col)
-    names = {n: own_name(docs.columns, n) for n in ("lines_doc", "lines_id", "lines_key", "lines_gone", "n_lines", "n_removed")}
+    names = {n: own_name(docs.columns, n) for n in ("lines_doc", "lines_id", "lines_key", "lines_gone", "lines_split", "n_lines", "n_removed")}
     gone = gone.select(
         F.col("id").alias(names["lines_id"]), F.col("doc").alias(names["lines_key"]), F.col("gone").alias(names["lines_gone"])
     )
@@ -253,7 +254,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         keyed[id_col].eqNullSafe(gone[names["lines_id"]]) & (keyed[names["lines_doc"]] == gone[names["lines_key"]]),
         "left",
     )
-    split = F.split(text_col, "\n")
+    # A column of its own: inside the functions over its elements the text would be split again for each.
+    met = met.withColumn(names["lines_split"], F.split(text_col, "\n"))
+    split = F.col(names["lines_split"])
     all_ = F.sequence(F.lit(0), F.size(split) - 1)
     kept = F.transform(F.array_except(all_, names["lines_gone"]), lambda i: F.get(split, i))
     text = F.when(F.col(names["lines_gone"]).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))

@@ -226,3 +226,14 @@ def test_templates_of_thousands_of_lines_lose_no_link(spark, monkeypatch, few, s
     assert len(expected) >= 600
     found = links_of_one_bucket(spark, texts, monkeypatch)
     assert union_find(range(len(texts)), found) == union_find(range(len(texts)), expected)
+
+
+def test_a_text_is_split_once_and_not_for_each_kept_line(docs, capsys):
+    frame = docs([(1, "first line of words\nsecond line here\nfirst line of words"), (2, "second line here\nother"), (3, None)])
+    cut = lines.dedup_lines(frame)
+    assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in cut.collect()} == {
+        1: ("first line of words\nsecond line here", 3, 1), 2: ("other", 2, 1), 3: (None, 0, 0)
+    }
+    cut.explain(True)
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1]
+    assert "split(" in plan and "lambdafunction(split(" not in plan
