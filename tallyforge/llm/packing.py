@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,14 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from tallyforge.llm.bpe import splitter
-
 #: Tokens of a packed row.
 ROW_TOKENS = 2048
 #: Tokens that a task gathers before it packs them; bounds its memory.
 BLOCK_TOKENS = 2_000_000
-#: Distinct words whose ids a task remembers.
-MEMORY_WORDS = 150_000
 
 PACKED = (
     "ids binary, cu_seqlens array<int>, resets array<int>, n_tokens int, "
@@ -90,24 +85,15 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return rows
 
 
-class WordIds:
-    """Ids of texts by a rank file, remembered by word; the memory is emptied when it is full."""
+class TextIds:
+    """Ids of whole texts by a rank file: the encoder cuts a text into matches of ``pattern`` and encodes each by itself."""
 
     def __init__(self, ranks: bytes, pattern: str):
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.split = splitter(pattern)
-        self.known: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        words, known = self.split(text), self.known
-        missing = {w for w in words if w not in known}
-        if len(known) + len(missing) > MEMORY_WORDS:
-            known.clear()
-            missing = set(words)
-        for w in missing:
-            known[w] = array("I", self.encoding.encode_ordinary(w)).tobytes()
-        return b"".join([known[w] for w in words])
+        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
 
 def token_ids(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,7 +104,7 @@ def token_ids(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        ids = WordIds(shared.value, pattern)
+        ids = TextIds(shared.value, pattern)
         for texts in batches:
             yield pa.array([ids(t.as_py()) if t.is_valid else b"" for t in texts], pa.binary())
 

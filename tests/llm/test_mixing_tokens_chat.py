@@ -209,6 +209,16 @@ def test_packing_of_odd_rows(docs, tmp_path):
     assert packing.pack(packing.token_ids(docs([]), RANKS, PATTERN)).collect() == []
 
 
+def test_a_text_is_encoded_in_one_call_and_not_word_by_word(monkeypatch):
+    calls, encode = [], packing.tiktoken.Encoding.encode_ordinary
+    monkeypatch.setattr(packing.tiktoken.Encoding, "encode_ordinary", lambda own, text: calls.append(text) or encode(own, text))
+    ids = packing.TextIds(RANKS, PATTERN)
+    found = [np.frombuffer(ids(text), "<u4").tolist() for text in ODD]
+    assert calls == ODD
+    assert found == [ORACLE.encode_ordinary(text) for text in ODD]
+    assert found == [ids_of(text) for text in ODD]
+
+
 def message(conv, turn, role, *parts):
     return conv, turn, role, [dict(zip(("kind", "text", "ref", "tokens"), p)) for p in parts] if parts else None
 
