@@ -69,7 +69,9 @@ class Codec:
     rank, which is its id. The merge table holds every pair of tokens whose
     bytes together are a token. Distinct words are encoded and their ids
     decoded once. Their ids are remembered, and what they decode to where that
-    is not the word itself; the memory is emptied when it is full.
+    is not the word itself. When the younger half of the memory is full, it
+    takes the place of the older half, except for the words just met, which
+    stay in both; so frequent words are not learnt again.
     """
 
     def __init__(self, ranks: bytes, pattern: str):
@@ -78,6 +80,7 @@ class Codec:
         self.split = splitter(pattern)
         self.known: dict[str, bytes] = {}
         self.odd: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         merges = [
             (a, b, rank)
@@ -101,11 +104,16 @@ class Codec:
         split, known = [self.split(t) for t in texts], self.known
         words = set().union(*split)
         missing = words - known.keys()
-        if len(known) + len(missing) > MEMORY_WORDS:
-            known.clear()
-            self.odd.clear()
-            missing = words
-        self._learn(missing)
+        recalled, odd = missing & self.older[0].keys(), self.older[1]
+        again = {w: self.older[0][w] for w in recalled}, {w: odd[w] for w in recalled & odd.keys()}
+        if 2 * (len(known) + len(missing)) > MEMORY_WORDS:
+            self.older = known, self.odd
+            kept = words & known.keys()
+            self.odd = {w: self.odd[w] for w in kept & self.odd.keys()}
+            self.known = known = {w: known[w] for w in kept}
+        known.update(again[0])
+        self.odd.update(again[1])
+        self._learn(missing - recalled)
         ids = [b"".join([known[w] for w in own]) for own in split]
         if not self.odd:
             return ids, ["".join(own).encode() for own in split]

@@ -141,6 +141,19 @@ def test_memory_is_emptied_when_full():
         bpe.MEMORY_WORDS = limit
 
 
+def test_frequent_words_stay_in_a_full_memory(monkeypatch):
+    """Every text has new words that fill the memory; a word that each of them has is learnt once."""
+    monkeypatch.setattr(bpe, "MEMORY_WORDS", 16)
+    codec, learnt, learn = bpe.Codec(RANKS, PATTERN), [], bpe.Codec._learn
+    monkeypatch.setattr(bpe.Codec, "_learn", lambda own, words: learnt.extend(words) or learn(own, words))
+    texts = [f"qzfrequentqz\u00e9 qz{chr(97 + i)}one qz{chr(97 + i)}two qz{chr(97 + i)}three" for i in range(20)]
+    for text in texts:
+        ids, decoded = codec.encode([text])
+        assert np.frombuffer(ids[0], "<u4").tolist() == ORACLE.encode_ordinary(text) and decoded[0] == text.encode()
+        assert len(codec.known.keys() | codec.older[0].keys()) <= 16
+    assert learnt.count("qzfrequentqz\u00e9") == 1
+
+
 def test_results_leave_in_groups(spark, monkeypatch):
     """A batch of long texts must not be held as a whole result beside its input."""
     monkeypatch.setattr(bpe, "GROUP_CHARS", 100)
