@@ -145,14 +145,20 @@ def _measures(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _met(left: DataFrame, right: DataFrame, on: list[str], *more: Column) -> DataFrame:
-    """Pairs ``a`` < ``b`` of other components with equal ``on`` that may be alike by size and parities."""
+    """Pairs ``a`` < ``b`` of other components with equal ``on`` that may be alike by size and parities.
+
+    ``left`` are odd lines. A pair is met in the least of its common ``bands`` only, whichever of its lines is odd there:
+    of two lines of other components in a bucket at least one is.
+    """
     x, y = left.alias("x"), right.alias("y")
     both = F.col("x.n") + F.col("y.n")
     apart = sum((F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(PARITIES)), F.lit(0))
     fits = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * SIMILARITY - SLACK
     fits &= apart <= both * (1 - SIMILARITY) / (1 + SIMILARITY) + SLACK
     keys = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on]
-    met = x.join(y, [*keys, F.col("x.root") != F.col("y.root"), *more, fits])
+    once = (F.col("x.h") < F.col("y.h")) | ~F.col("y.odd")
+    least = F.col("x.band") == F.array_min(F.array_intersect("x.bands", "y.bands"))
+    met = x.join(y, [*keys, F.col("x.root") != F.col("y.root"), once, *more, fits, least])
     return met.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b"))
 
 
@@ -180,7 +186,8 @@ def _rest_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     Odd lines meet every line of their bucket, or, where they are many, every
     line that shares a shingle of both prefixes. What is left out is not alike.
     """
-    measured = settle(members.join(_measures(texts, members.select("h").distinct()), "h"), "lines-mixed")
+    own = members.groupBy("h").agg(F.collect_set("band").alias("bands"))
+    measured = settle(members.join(_measures(texts, own.select("h")), "h").join(own, "h"), "lines-mixed")
     few, many = measured.where(F.col("n_odd") <= FEW_ODD), measured.where(F.col("n_odd") > FEW_ODD)
     pairs = _met(few.where("odd"), few, ["band"])
     if not many.isEmpty():

@@ -237,3 +237,23 @@ def test_a_text_is_split_once_and_not_for_each_kept_line(docs, capsys):
     cut.explain(True)
     plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1]
     assert "split(" in plan and "lambdafunction(split(" not in plan
+
+
+def test_a_pair_of_odd_lines_in_several_buckets_is_met_once(spark, monkeypatch):
+    """Lines 1 to 9 are alike by size and parities and share three buckets, in which 1 to 6 are odd; 20 has one more."""
+    rows = [(band, h, min(h, 7), h < 7, 6) for band in (30, 10, 20) for h in range(1, 10)]
+    rows += [(40, h, min(h, 7), h < 7, 2) for h in (5, 6)] + [(band, 20, 20, True, 6) for band in (30, 40)]
+    members = spark.createDataFrame(rows, "band bigint, h bigint, root bigint, odd boolean, n_odd bigint")
+    text = "one line of a template that many others share"
+    texts = spark.createDataFrame([(h, text) for h in [*range(1, 10), 20]], "h bigint, line string")
+    made, met = [], lines._met
+    monkeypatch.setattr(lines, "_met", lambda *args: made.append(met(*args)) or made[-1])
+    expected = {(a, b) for a in range(1, 7) for b in range(a + 1, 10)} | {(a, 20) for a in range(1, 10)}
+    for few in (100, 0):
+        made.clear()
+        monkeypatch.setattr(lines, "FEW_ODD", few)
+        assert {tuple(r) for r in lines._rest_pairs(members, texts).collect()} == expected
+        found = [tuple(r) for r in made[-1].collect()]
+        assert set(found) == expected
+        if few:
+            assert len(found) == len(expected)
