@@ -23,6 +23,9 @@ SPARSE = 16
 BROADCAST_LINES = 2_000_000
 #: Plan only, results agree: up to so many odd lines meet all lines of their bucket; more are dealt by rare shingles first.
 FEW_ODD = 256
+#: Plan only, results agree: from so many pairs a line of mixed buckets on, one in ``AHEAD`` is verified ahead of the others.
+MANY_PAIRS = 4
+AHEAD = 8
 #: Longs of parity bits a line, a power of two, and what sums of fractions may be off by.
 PARITIES = 8
 SLACK = 1e-6
@@ -203,6 +206,8 @@ def _links(lines: DataFrame) -> DataFrame:
     In each bucket all lines are compared with its representative. Where that
     leaves several components in a bucket, its odd lines are compared with
     every other line of their bucket, so that no link inside a bucket is missed.
+    Where these pairs are many, a part of them is verified first, and of the
+    others those that it leaves in different components.
     """
     star = settle(_candidates(_bands(_signatures(lines))), "lines-star")
     wanted = settle(star.select("h").union(star.select("rep")).distinct(), "lines-wanted")
@@ -215,8 +220,22 @@ def _links(lines: DataFrame) -> DataFrame:
         return alike
     known = components(alike, "lines").where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     known = settle(known, "lines-known")
-    second = _rest_pairs(_mixed(star, rest, known), texts).join(first, ["a", "b"], "left_anti")
-    return known.union(settle(_verified(second, texts), "lines-alike"))
+    mixed = _mixed(star, rest, known)
+    second = settle(_rest_pairs(mixed, texts).join(first, ["a", "b"], "left_anti"), "lines-second")
+    if second.count() < MANY_PAIRS * wanted.count():
+        return known.union(settle(_verified(second, texts), "lines-alike"))
+    ahead = F.pmod(F.xxhash64("a", "b"), F.lit(AHEAD)) == 0
+    known = settle(known.union(_verified(second.where(ahead), texts)), "lines-known")
+    return known.union(settle(_verified(_apart(second.where(~ahead), known), texts), "lines-alike"))
+
+
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs whose lines the links do not join already: any other pair changes no component."""
+    roots = settle(components(links, "lines"), "lines-roots")
+    of_a = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
+    of_b = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+    met = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+    return met.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

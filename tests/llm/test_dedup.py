@@ -257,3 +257,23 @@ def test_a_pair_of_odd_lines_in_several_buckets_is_met_once(spark, monkeypatch):
         assert set(found) == expected
         if few:
             assert len(found) == len(expected)
+
+
+def test_pairs_that_links_join_already_are_not_verified(spark, monkeypatch):
+    """A template's lines are linked in many ways; verified in part ahead, the others are mostly joined already."""
+    rng = random.Random(31)
+    template, texts = words(rng, 60), ["z" * 40]
+    for i in range(60):
+        at = rng.randrange(len(template) - 4)
+        texts.append(f"{template[:at]}{rng.choice('klmn') * 4}{template[at + 4 :]} " + words(rng, 1))
+    expected = union_find(range(len(texts)), alike_pairs(texts))
+    verified, asked = lines._verified, []
+    monkeypatch.setattr(lines, "_verified", lambda pairs, own: asked.append(pairs.count()) or verified(pairs, own))
+    found, sizes = {}, {}
+    for many in (10**9, 0):
+        asked.clear()
+        monkeypatch.setattr(lines, "MANY_PAIRS", many)
+        found[many] = union_find(range(len(texts)), links_of_one_bucket(spark, texts, monkeypatch))
+        sizes[many] = sum(asked[1:])
+    assert found[0] == found[10**9] == expected
+    assert sizes[0] < sizes[10**9] / 2
