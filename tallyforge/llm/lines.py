@@ -23,9 +23,12 @@ SPARSE = 16
 BROADCAST_LINES = 2_000_000
 #: Plan only, results agree: up to so many odd lines meet all lines of their bucket; more are dealt by rare shingles first.
 FEW_ODD = 256
-#: Plan only, results agree: from so many pairs a line of mixed buckets on, one in ``AHEAD`` is verified ahead of the others.
+#: Plan only, results agree: from so many meetings in buckets a candidate line on, or where buckets have many odd lines, one
+#: pair in ``AHEAD`` is met and verified ahead of the others.
 MANY_PAIRS = 4
 AHEAD = 8
+#: Plan only, results agree: up to so many characters a line's shingles are taken in one pass, as strings first.
+ONE_PASS = 65_536
 #: Longs of parity bits a line, a power of two, and what sums of fractions may be off by.
 PARITIES = 8
 SLACK = 1e-6
@@ -90,7 +93,10 @@ def _pieces(text: Column, size: int) -> Column:
 def _shingles(line: Column) -> Column:
     """Hashes (64 bits) of all shingles of a line, each once.
 
-    A character is found by walking from the start, so the line is cut into
+    One pattern gives all shingles of a line in one pass. Its places are
+    UTF-16 units, so lines with characters beyond these are walked, and so
+    are short lines, whose one shingle is the line, and very long ones. A
+    character is found by walking from the start, so such a line is cut into
     pieces, and those again, before shingles are taken.
     """
 
@@ -99,7 +105,10 @@ def _shingles(line: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(part, i, F.lit(SHINGLE))))
 
     small = F.flatten(F.transform(_pieces(line, 4096), lambda part: _pieces(part, 32)))
-    return F.array_distinct(F.flatten(F.transform(small, within)))
+    walked = F.flatten(F.transform(small, within))
+    passed = F.transform(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)), lambda s: F.xxhash64(s))
+    plain = F.length(line).between(SHINGLE, ONE_PASS) & ~line.rlike("[\\x{10000}-\\x{10FFFF}]")
+    return F.array_distinct(F.when(plain, passed).otherwise(walked))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -148,39 +157,57 @@ def _measures(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _met(left: DataFrame, right: DataFrame, on: list[str], *more: Column) -> DataFrame:
-    """Pairs ``a`` < ``b`` of other components with equal ``on`` that may be alike by size and parities.
-
-    ``left`` are odd lines. A pair is met in the least of its common ``bands`` only, whichever of its lines is odd there:
-    of two lines of other components in a bucket at least one is.
-    """
+    """Pairs ``a`` < ``b`` of other components with equal ``on``, and ``more``, that may be alike by size and parities."""
     x, y = left.alias("x"), right.alias("y")
     both = F.col("x.n") + F.col("y.n")
     apart = sum((F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(PARITIES)), F.lit(0))
     fits = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * SIMILARITY - SLACK
     fits &= apart <= both * (1 - SIMILARITY) / (1 + SIMILARITY) + SLACK
     keys = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on]
-    once = (F.col("x.h") < F.col("y.h")) | ~F.col("y.odd")
-    least = F.col("x.band") == F.array_min(F.array_intersect("x.bands", "y.bands"))
-    met = x.join(y, [*keys, F.col("x.root") != F.col("y.root"), once, *more, fits, least])
+    met = x.join(y, [*keys, F.col("x.root") != F.col("y.root"), *more, fits])
     return met.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b"))
 
 
-def _prefixes(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """``members`` with a row for each shingle ``s`` of a line's prefix: its rarest ones in the bucket.
+def _prefixes(measured: DataFrame, texts: DataFrame) -> DataFrame:
+    """A row of each line for each shingle ``s`` of its prefix, its rarest ones, with the line's ``bands`` of ``measured``.
 
     Of two lines of ``n`` shingles or fewer that are alike, the longer one's
     rarest floor(0.2 n) + 1 and the shorter one's rarest floor(n / 9) + 1
     (``short``) share one, as both are in the same order. Shingles that no
-    other line of the bucket has meet nobody and are left out.
+    other line has meet nobody and are left out. The order is one for all
+    buckets, so a line's shingles are made and ranked once, not in each bucket.
     """
-    cut = texts.join(members.select("h").distinct(), "h").select("h", F.explode(_shingles(F.col("line"))).alias("s"))
-    rows = settle(members.select("band", "h").join(cut, "h"), "lines-shingles")
-    counted = rows.groupBy("band", "s").agg(F.count("*").alias("f"))
-    place = F.row_number().over(Window.partitionBy("band", "h").orderBy("f", "s"))
-    ranked = rows.join(counted, ["band", "s"]).withColumn("place", place).where("f > 1").drop("f")
+    own = ["h", "root", "n", *[f"p{k}" for k in range(PARITIES)]]
+    members = settle(measured.groupBy(*own).agg(F.collect_set("band").alias("bands")), "lines-members")
+    cut = texts.join(members.select("h", "n"), "h").select("h", "n", F.explode(_shingles(F.col("line"))).alias("s"))
+    counted = cut.withColumn("f", F.count("*").over(Window.partitionBy("s")))
+    ranked = counted.withColumn("place", F.row_number().over(Window.partitionBy("h").orderBy("f", "s"))).where("f > 1")
     longest = F.floor(F.col("n") * (1 - SIMILARITY) + SLACK) + 1
     short = F.col("place") <= F.floor(F.col("n") * (1 - SIMILARITY) / (1 + SIMILARITY) + SLACK) + 1
-    return ranked.join(members, ["band", "h"]).where(F.col("place") <= longest).withColumn("short", short).drop("place")
+    return ranked.where(F.col("place") <= longest).select("h", "s", short.alias("short")).join(members, "h")
+
+
+def _meeting(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Lines of mixed buckets as they meet: by bucket where its odd lines are few, else by shingles of their prefixes."""
+    own = members.groupBy("h").agg(F.collect_set("band").alias("bands"))
+    measured = settle(members.join(_measures(texts, own.select("h")), "h").join(own, "h"), "lines-mixed")
+    few, many = measured.where(F.col("n_odd") <= FEW_ODD), measured.where(F.col("n_odd") > FEW_ODD)
+    return few, None if many.isEmpty() else settle(_prefixes(many, texts), "lines-prefixes")
+
+
+def _pairs(few: DataFrame, keyed: DataFrame | None, *more: Column) -> DataFrame:
+    """Pairs ``a``, ``b`` that meet by bucket or by shingle, each once.
+
+    Odd lines meet every line of a bucket: of two lines of other components at least one is odd. A pair is met in the
+    least of its common ``bands`` only, whichever of its lines is odd there.
+    """
+    least = F.col("x.band") == F.array_min(F.array_intersect("x.bands", "y.bands"))
+    once = (F.col("x.h") < F.col("y.h")) | ~F.col("y.odd")
+    pairs = _met(few.where("odd"), few, ["band"], once, *more, least)
+    if keyed is not None:
+        shorter = F.expr("(x.n <= y.n AND x.short) OR (y.n <= x.n AND y.short)")
+        pairs = pairs.union(_met(keyed, keyed, ["s"], F.col("x.h") < F.col("y.h"), shorter, *more, F.arrays_overlap("x.bands", "y.bands")))
+    return pairs.distinct()
 
 
 def _rest_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -189,15 +216,7 @@ def _rest_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     Odd lines meet every line of their bucket, or, where they are many, every
     line that shares a shingle of both prefixes. What is left out is not alike.
     """
-    own = members.groupBy("h").agg(F.collect_set("band").alias("bands"))
-    measured = settle(members.join(_measures(texts, own.select("h")), "h").join(own, "h"), "lines-mixed")
-    few, many = measured.where(F.col("n_odd") <= FEW_ODD), measured.where(F.col("n_odd") > FEW_ODD)
-    pairs = _met(few.where("odd"), few, ["band"])
-    if not many.isEmpty():
-        keyed = settle(_prefixes(many, texts), "lines-prefixes")
-        shorter = F.expr("(x.n <= y.n AND x.short) OR (y.n <= x.n AND y.short)")
-        pairs = pairs.union(_met(keyed.where("odd"), keyed, ["band", "s"], shorter))
-    return pairs.distinct()
+    return _pairs(*_meeting(members, texts))
 
 
 def _links(lines: DataFrame) -> DataFrame:
@@ -206,8 +225,8 @@ def _links(lines: DataFrame) -> DataFrame:
     In each bucket all lines are compared with its representative. Where that
     leaves several components in a bucket, its odd lines are compared with
     every other line of their bucket, so that no link inside a bucket is missed.
-    Where these pairs are many, a part of them is verified first, and of the
-    others those that it leaves in different components.
+    Where these pairs may be many, a part of them is met and verified first,
+    and of the others those that it leaves in different components.
     """
     star = settle(_candidates(_bands(_signatures(lines))), "lines-star")
     wanted = settle(star.select("h").union(star.select("rep")).distinct(), "lines-wanted")
@@ -221,21 +240,27 @@ def _links(lines: DataFrame) -> DataFrame:
     known = components(alike, "lines").where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     known = settle(known, "lines-known")
     mixed = _mixed(star, rest, known)
-    second = settle(_rest_pairs(mixed, texts).join(first, ["a", "b"], "left_anti"), "lines-second")
-    if second.count() < MANY_PAIRS * wanted.count():
-        return known.union(settle(_verified(second, texts), "lines-alike"))
-    ahead = F.pmod(F.xxhash64("a", "b"), F.lit(AHEAD)) == 0
-    known = settle(known.union(_verified(second.where(ahead), texts)), "lines-known")
-    return known.union(settle(_verified(_apart(second.where(~ahead), known), texts), "lines-alike"))
-
-
-def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """The pairs whose lines the links do not join already: any other pair changes no component."""
-    roots = settle(components(links, "lines"), "lines-roots")
-    of_a = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
-    of_b = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-    met = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
-    return met.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    few, keyed = _meeting(mixed, texts)
+
+    def linked(*more: Column) -> DataFrame:
+        pairs = settle(_pairs(few, keyed, *more).join(first, ["a", "b"], "left_anti"), "lines-second")
+        return settle(known.union(_verified(pairs, texts)), "lines-alike")
+
+    meetings = few.agg(F.sum(F.when(F.col("odd"), 0).otherwise(F.col("n_odd")))).first()[0] or 0
+    if keyed is None and meetings < MANY_PAIRS * wanted.count():
+        return linked()
+    ahead = F.pmod(F.xxhash64(F.least("x.h", "y.h"), F.greatest("x.h", "y.h")), F.lit(AHEAD)) == 0
+    known = linked(ahead)
+    roots = settle(components(known, "lines"), "lines-roots")
+    few, keyed = _renewed(few, roots), None if keyed is None else _renewed(keyed, roots)
+    return linked(~ahead)
+
+
+def _renewed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``members`` with the ``root`` that later links give their lines; lines without links keep themselves."""
+    of = roots.select(F.col("node").alias("h"), F.col("root").alias("later"))
+    met = members.join(of, "h", "left").withColumn("root", F.coalesce("later", "h")).drop("later")
+    return settle(met, "lines-renewed")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

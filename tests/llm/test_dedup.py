@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tallyforge.llm import lines, simhash
 from tallyforge.llm.common import components
@@ -277,3 +278,50 @@ def test_pairs_that_links_join_already_are_not_verified(spark, monkeypatch):
         sizes[many] = sum(asked[1:])
     assert found[0] == found[10**9] == expected
     assert sizes[0] < sizes[10**9] / 2
+
+
+def test_shingles_are_all_runs_of_characters(spark):
+    rng = random.Random(17)
+    alphabet = ["a", "b", " ", "\t", "\r", "\x85", "\u2028", "é", "日", "\ufffd", "e\u0301", ".", "$"]
+    texts = ["", "a", "abcd", "abcde", "a😀", "😀" * 9, "ab😀cd😀ef gh", "x\r" * 40, "y" * 70_000 + "z"]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 300))) for _ in range(60)]
+    texts += ["".join(rng.choice([*alphabet, "😀", "\U0010ffff"]) for _ in range(100)) for _ in range(9)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, line string")
+    for row in frame.select("line", lines._shingles(F.col("line")).alias("s")).collect():
+        own = {row.line[k : k + 5].encode() for k in range(max(1, len(row.line) - 4))}
+        assert len(row.s) == len(own)
+        assert {x % 2**64 for x in row.s} == {xxhash.xxh64_intdigest(x, 42) for x in own}
+
+
+def test_shingles_of_a_line_in_several_buckets_are_ranked_once(spark, monkeypatch):
+    rng = random.Random(19)
+    template = words(rng, 30)
+    own = {h: f"{template} {words(rng, 3)}" for h in range(30)}
+    members = [(band, h, h, h > 0, 29) for band in range(5) for h in own]
+    members = spark.createDataFrame(members, "band bigint, h bigint, root bigint, odd boolean, n_odd bigint")
+    texts = spark.createDataFrame(list(own.items()), "h bigint, line string")
+    prefixes, made = lines._prefixes, []
+    monkeypatch.setattr(lines, "FEW_ODD", 0)
+    monkeypatch.setattr(lines, "_prefixes", lambda *args: made.append(prefixes(*args)) or made[-1])
+    found = {tuple(r) for r in lines._rest_pairs(members, texts).collect()}
+    assert set(alike_pairs([own[h] for h in range(30)])) <= found
+    (ranked,) = made
+    assert 0 < ranked.count() == ranked.select("h", "s").distinct().count()
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_pairs_that_links_join_already_are_not_met(spark, monkeypatch, few):
+    """Of a group of alike lines a part is met first; the pairs which that joins are not made, by bucket or by shingle."""
+    rng = random.Random(23)
+    template, texts = words(rng, 80), ["z" * 40]
+    for _ in range(60):
+        at = rng.randrange(len(template) - 4)
+        texts.append(f"{template[:at]}{rng.choice('klmn') * 4}{template[at + 4 :]} " + words(rng, 1))
+    met, made = lines._met, []
+    monkeypatch.setattr(lines, "FEW_ODD", few)
+    monkeypatch.setattr(lines, "MANY_PAIRS", 0)
+    monkeypatch.setattr(lines, "_met", lambda *args: made.append(met(*args).distinct()) or made[-1])
+    links = links_of_one_bucket(spark, texts, monkeypatch)
+    expected = alike_pairs(texts)
+    assert union_find(range(len(texts)), links) == union_find(range(len(texts)), expected)
+    assert sum(pairs.count() for pairs in made) < len(expected) / 2
