@@ -20,6 +20,9 @@ from tallyforge.session import settled
 #: Rows of a chunk in which trailing frames are computed.
 CHUNK_ROWS = 1_000_000
 
+#: Buckets of keys that are counted before keys are.
+KEY_BUCKETS = 1 << 16
+
 
 def _in_blocks(df: DataFrame, keys: list[str], order: list[str], value: Column) -> DataFrame:
     """Adds ``_value`` and ``_block``, which grows along ``order`` within a key; rows of one block fit a task."""
@@ -141,6 +144,17 @@ def framed(
     )
 
 
+def crowded(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The keys, not null, with more than ``rows`` rows.
+
+    Buckets of keys are counted first, so where no bucket is that full nothing
+    moves for each key.
+    """
+    bucketed = df.where(F.col(key).isNotNull()).select(key, F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).alias("_bucket"))
+    full = bucketed.groupBy("_bucket").count().where(F.col("count") > rows).select("_bucket")
+    return bucketed.join(F.broadcast(full), "_bucket", "left_semi").groupBy(key).count().where(F.col("count") > rows).select(key)
+
+
 def islands(
     df: DataFrame,
     keys: list[str],

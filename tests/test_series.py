@@ -209,6 +209,52 @@ def test_chance_meetings_are_dropped_before_votes_are_looked_up(spark, monkeypat
     assert counts["series-met"] > 1000 and counts["series-near"] < counts["series-met"] / 10
 
 
+@pytest.mark.parametrize("rare,class_marks,votes", [(2, 256, 5), (0, 256, 5), (2, 4, 5), (0, 8, 4), (1, 6, 3), (0, 256, 2), (0, 256, 1)])
+def test_common_marks_meet_in_twos_and_lose_no_pair(spark, rare, class_marks, votes):
+    rng, rows = random.Random(31 + votes), []
+    songs = [sorted((2 * rng.randint(0, 90), float(rng.randint(0, 6))) for _ in range(45)) for _ in range(5)]
+    for s, song in enumerate(songs):
+        for part, cut in enumerate([song, song[:24], song[18:], [x for x in song if rng.random() > 0.2]]):
+            rows += [(len(rows) + i, f"s{s}-{part}", ZERO + timedelta(hours=t + 7 * part), v) for i, (t, v) in enumerate(cut)]
+    rows += [(len(rows) + t, "long", ZERO + timedelta(hours=t), float(rng.randint(0, 6))) for t in range(300)]
+    df = spark.createDataFrame(rows, KIND)
+    found = {tuple(r) for r in series.repeated_series(df, "k", "ts", "i", "v", 3600.0, 1.0, 3, votes, rare, class_marks).collect()}
+    assert found == slow_pairs(slow_marks(rows, 3600.0, 1.0), votes)
+
+
+def test_series_that_share_a_common_mark_by_chance_make_few_meetings(spark, monkeypatch):
+    """All 150 keys have six marks in common, at other distances: 11,175 pairs of keys for each mark, which need not meet."""
+    rng, rows, counts = random.Random(4), [], {}
+    for key in range(150):
+        when = 0
+        for motif in range(6):
+            for v in (0, 9 + motif, 0, 20 + motif, 0):
+                rows.append((len(rows), f"k{key}", ZERO + timedelta(hours=when), 10.0 * v))
+                when += 1
+            when += rng.randint(10, 4000)
+    settled = series.settled
+
+    def counting(df, name):
+        kept = settled(df, name)
+        counts[name] = kept.count()
+        return kept
+
+    monkeypatch.setattr(series, "settled", counting)
+    df = spark.createDataFrame(rows, KIND)
+    found = {tuple(r) for r in series.repeated_series(df, "k", "ts", "i", "v", 3600.0, 1.0).collect()}
+    assert found == slow_pairs(slow_marks(rows, 3600.0, 1.0), 5)
+    assert counts["series-met"] < 1000
+
+
+@pytest.mark.parametrize("key_rows", [0, 20, 10_000])
+def test_landmarks_of_long_keys_are_those_of_short_ones(spark, key_rows):
+    rows = rows_of(600) + [(9000, None, ZERO, 1.0), (9001, "nan", ZERO, math.nan), (9002, "x", None, 1.0)]
+    marks = series.landmarks(spark.createDataFrame(rows, KIND), "k", "ts", "i", "v", 3600.0, 10.0, 3, key_rows).collect()
+    expected = slow_marks([r for r in rows if r[2] is not None], 3600.0, 10.0)
+    assert {(r.key, r.begin, r.at, r.first, r.second, r.apart) for r in marks} == {(k, min(m)[0], *x) for k, m in expected.items() for x in m}
+    assert len(marks) == sum(map(len, expected.values()))
+
+
 def slow_sessions(rows, gap):
     found = []
     for key, own in by_key(rows).items():
