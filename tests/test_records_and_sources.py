@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,3 +201,19 @@ def test_file_manifest(spark, tmp_path):
     assert set(rows) == {"b.bin", "sub/a.bin"}
     assert rows["b.bin"].sha256 == hashlib.sha256(b"bb").hexdigest() and rows["b.bin"].bytes == 2
     assert rows["b.bin"].set_id == hashlib.sha256(b"b.bin\nsub/a.bin").hexdigest()[:16]
+
+
+@pytest.mark.parametrize("most", [None, "1000"])
+def test_files_too_long_for_a_row_are_in_the_manifest(spark, tmp_path, most):
+    (tmp_path / "part 1%20").mkdir()
+    content = {"part 1%20/long one.bin": random.Random(1).randbytes(3_000_001), "longer.bin": b"x" * 5000, "short.bin": b"s" * 1000}
+    for name, data in content.items():
+        (tmp_path / name).write_bytes(data)
+    if most:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", most)
+    try:
+        rows = file_manifest(spark, str(tmp_path)).collect() if most else file_manifest(spark, str(tmp_path), whole_bytes=1000).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert sorted((r.file, r.bytes, r.sha256) for r in rows) == sorted((n, len(d), hashlib.sha256(d).hexdigest()) for n, d in content.items())
+    assert {r.set_id for r in rows} == {hashlib.sha256("\n".join(sorted(content)).encode()).hexdigest()[:16]}
